@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspan.llm import simhash
+from voxelspan.llm import quality_rules, simhash
 from voxelspan.llm.common import table
 
 QUERIES: dict = {}
@@ -16,6 +16,14 @@ def query(f):
     return f
 
 
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_quality_rules"] = quality_rules.JUDGE_SQL
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))

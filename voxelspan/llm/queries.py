@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspan.llm import packing, quality_rules, simhash, wavelet
+from voxelspan.llm import packing, quality_rules, simhash, warc, wavelet
 from voxelspan.llm.common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,14 @@ def query(f):
     return f
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op1_warc"] = warc.ROUND_TRIP_SQL
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))

@@ -25,10 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 
     The folder goes when the session ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), f"voxelspan-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxelspan-"))
+        root = spark.sparkContext.getCheckpointDir()
+    if "://" not in root:
+        root = f"file://{root.removeprefix('file:')}"
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspan.llm import packing, quality_rules, simhash, topk, warc, wavelet
+from voxelspan.llm import packing, quality_rules, simhash, topk, toxicity, warc, wavelet
 from voxelspan.llm.common import table
 
 QUERIES: dict = {}
@@ -46,6 +46,12 @@ def op6_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op6_pivot_topk"] = topk.SEARCH_SQL
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)

@@ -26,7 +26,7 @@ def texts(seed):
     rng = random.Random(seed)
     fresh = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
     passage, exact = fresh(60), fresh(35)
-    out = [None, "", "one", " ".join(exact), "a " * 400, "a b " * 60, " ".join(fresh(34))]
+    out = [None, "", "one", " ".join(exact), "a " * 400, "a b " * 60, "solo " * 41, " ".join(w for x in fresh(9) for w in [x] * 50), " ".join(fresh(34))]
     for _ in range(90):  # more contexts of one passage than CROWD
         out.append(" ".join(fresh(rng.randrange(30)) + passage + fresh(rng.randrange(30))))
     base = fresh(150)

@@ -1,9 +1,9 @@
 """Substring dedup: words of passages that stand in the corpus more than once, by an FM-index per shard.
 
 Every window of ``least`` words has a minimizer, the smallest hash of the grams in it; equal windows have equal ones.
-Consecutive windows of one minimizer form a segment, and only segments whose minimizer the corpus has twice go on,
-each to the shard of its minimizer: two equal windows always meet there, and each window goes to one shard only. Equal
-segments are one row with a count. A shard builds the suffix order of its segments, their Burrows-Wheeler transform,
+Consecutive windows whose minimizer stands in the same place form a segment, so no segment holds a window twice. Only
+segments whose minimizer the corpus has twice go on, each to the shard of its minimizer: two equal windows always meet
+there, and each window goes to one shard only. Equal segments are one row with a count. A shard builds the suffix order of its segments, their Burrows-Wheeler transform,
 and a wavelet matrix over it with sampled counts, and streams the segments against it: backward search extends a
 match to the left while the index holds it twice; where it fails, the search starts again at the next window end that
 could still succeed. What comes out are the intervals whose matching statistics reach ``least``.
@@ -62,14 +62,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def segments_of(hashes: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word, number of windows and minimizer of each segment; offsets bound the texts in hashes."""
     gram = min(GRAM, least)
-    low = sliding_min(rolling(hashes, gram), least - gram + 1)
+    grams = rolling(hashes, gram)
+    low = sliding_min(grams, least - gram + 1)
     count = np.maximum(0, np.diff(offsets) - least + 1)
     text = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     if not len(text):
         return text, place, place, np.zeros(0, np.int64)
     h = low[offsets[text] + place]
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])])
+    leaves = grams[offsets[text] + place] == h  # the window's first gram is its minimizer: the next window has another
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | leaves[:-1]])
     first = np.flatnonzero(new)
     since = np.arange(len(text)) - np.repeat(first, np.diff(np.concatenate([first, [len(text)]])))
     starts = np.flatnonzero(since % RUN == 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspan.llm import packing, quality_rules, sentencepieces, simhash, substrings, topk, toxicity, warc, wavelet
+from voxelspan.llm import cotraining, packing, quality_rules, sentencepieces, simhash, substrings, topk, toxicity, warc, wavelet
 from voxelspan.llm.common import table
 
 QUERIES: dict = {}
@@ -25,6 +25,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op1_warc"] = warc.ROUND_TRIP_SQL
 
 
+@query
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))

@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 DEPTH = 4
 WITH = f"WITH {POINTS_SQL}"
 #: Camera, ray and density of the sample queries.
-CAMERA, RAY, REACH, DENSITY = (100.0, 50.0, 20.0), (0.0, 0.1, 1.0), 5.0, 50.0
+CAMERA, RAY, REACH, DENSITY = (5.0, 2.0, 1.0), (1.0, 0.0, 0.0), 5.0, 50.0
 
 
 def query(sql: str | None = None):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def upload_state(parts: DataFrame) -> DataFrame:
@@ -32,39 +33,27 @@ def click_shapes(clicks: DataFrame, session: str, order: list[str], arity: int)
 
 OUTPUT = "uploader_id string, n_parts int, content binary"
 
+def _assembled(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Holds an upload's parts until all have come, gives them out in order, then remembers only that it did.
 
-class Assembler(StatefulProcessor):
-    """Holds an upload's parts until all have come, gives them out in order and forgets them.
-
-    A part that comes again, before or after the upload was complete within the time to live, changes nothing.
+    A part that comes again, before or after the upload was complete, changes nothing.
     """
-
-    def init(self, handle) -> None:
-        self.parts = handle.getMapState("parts", "chunk_number int", "content binary", ttlDurationMs=3_600_000)
-        self.done = handle.getValueState("done", "done boolean", ttlDurationMs=3_600_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        total = None
-        for frame in rows:
-            for r in frame.sort_values("chunk_number").itertuples():
-                total = int(r.total_chunks)
-                if not self.done.exists() and not self.parts.containsKey((int(r.chunk_number),)):
-                    self.parts.updateValue((int(r.chunk_number),), (bytes(r.content),))
-        if total is None or self.done.exists():
-            return
-        held = sorted((int(k[0]), bytes(v[0])) for k, v in self.parts.iterator())
-        if len(held) >= total:
-            self.done.update((True,))
-            self.parts.clear()
-            yield pd.DataFrame({"uploader_id": [key[0]], "n_parts": [len(held)], "content": [b"".join(c for _, c in held)]})
-
-    def close(self) -> None:
-        pass
+    held = pickle.loads(state.get[0]) if state.exists else {}
+    total = None
+    for frame in frames:
+        for number, count, content in zip(frame["chunk_number"], frame["total_chunks"], frame["content"]):
+            total = int(count)
+            if held is not None:
+                held.setdefault(int(number), bytes(content))
+    whole = held is not None and total is not None and len(held) >= total
+    state.update((pickle.dumps(None if whole else held),))
+    if whole:
+        yield pd.DataFrame({"uploader_id": [key[0]], "n_parts": [len(held)], "content": [b"".join(held[k] for k in sorted(held))]})
 
 
 def assemble_stream(parts: DataFrame) -> DataFrame:
     """A stream of (uploader_id, chunk_number, total_chunks, content) to one of complete uploads."""
-    return parts.groupBy("uploader_id").transformWithStateInPandas(Assembler(), OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+    return parts.groupBy("uploader_id").applyInPandasWithState(_assembled, OUTPUT, "parts binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def session_points(events: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 
@@ -44,7 +44,17 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    gc.collect()
+    spark._jvm.System.gc()  # the shuffles behind the table are not needed any more: Spark deletes them once unreferenced
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of materialize() that nothing will read again."""
+    spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> int:

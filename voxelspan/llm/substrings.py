@@ -22,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspan.llm.common import materialize, words_of
+from voxelspan.llm.common import discard, materialize, words_of
 
 #: Words of a gram; windows of a segment at most, so that suffixes differ within 64 words; words of a shard.
-GRAM, RUN, SHARD_WORDS = 11, 25, 800_000
+GRAM, RUN, SHARD_WORDS = 7, 29, 800_000
 #: Distinct segments of a minimizer above which those are cut down to their repeated windows before the shard.
 CROWD = 64
+#: Segments that a task remembers having given out the words of; more only means that words travel again.
+SENT = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -224,16 +226,25 @@ def intervals(docs: DataFrame, least: int = 35) -> DataFrame:
 
     all_anchors = materialize(keyed.mapInArrow(anchors, "_k1 bigint, _k2 bigint, h bigint, i int, n int"))
     twice = all_anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    wanted = all_anchors.join(twice, "h", "left_semi").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("i", "n", "h")).alias("runs"))
+    wanted = materialize(all_anchors.join(twice, "h", "left_semi").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("i", "n", "h")).alias("runs")))
+    discard(all_anchors)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # segments whose words this task has given out already
         for batch in batches:
             for k in range(batch.num_rows):
                 words = batch.column(2)[k].as_py().encode("utf-8", "surrogatepass").split()
                 runs = batch.column(3)[k].as_py()
                 same = lambda c: pa.array([batch.column(c)[k].as_py()] * len(runs), pa.int64())
                 texts = [b" ".join(words[r["i"] : r["i"] + r["n"] + least - 1]) for r in runs]
-                yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array([r["i"] for r in runs], pa.int32()), pa.array([r["h"] for r in runs], pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["_k1", "_k2", "i", "h", "words"])
+                s1, s2 = (np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in texts), np.uint64, len(texts)).view(np.int64) for seed in (0, 1))
+                for j, x in enumerate(s1.tolist()):
+                    if x in sent:
+                        texts[j] = None
+                    elif len(sent) < SENT:
+                        sent.add(x)
+                columns = [same(0), same(1), pa.array([r["i"] for r in runs], pa.int32()), pa.array([r["h"] for r in runs], pa.int64()), pa.array(s1), pa.array(s2), pa.array(texts, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["_k1", "_k2", "i", "h", "s1", "s2", "words"])
 
     def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -247,31 +258,44 @@ def intervals(docs: DataFrame, least: int = 35) -> DataFrame:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     joined = keyed.join(wanted, ["_k1", "_k2"]).select("_k1", "_k2", "_text", "runs")
-    name = {"s1": F.xxhash64("words"), "s2": F.xxhash64(F.lit(1), "words")}
-    cuts = materialize(joined.mapInArrow(batched, "_k1 bigint, _k2 bigint, i int, h bigint, words string").withColumns(name))
-    distinct = cuts.groupBy("h", "s1", "s2").agg(F.first("words").alias("words"), F.count("*").alias("n"))
+    cuts = materialize(joined.mapInArrow(batched, "_k1 bigint, _k2 bigint, i int, h bigint, s1 bigint, s2 bigint, words string"))
+    discard(wanted)
+    distinct = cuts.groupBy("h", "s1", "s2").agg(F.max("words").alias("words"), F.count("*").alias("n"))
     distinct = materialize(distinct.withColumn("o", F.lit(0)))
-    crowds = distinct.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("h")
+    placed = materialize(cuts.select("_k1", "_k2", "i", "s1", "s2"))
+    discard(cuts)
+    crowds = materialize(distinct.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("h"))
     crowded = distinct.join(crowds, "h", "left_semi")
     calm = distinct.join(crowds, "h", "left_anti")
-    parts = materialize(calm.select("h", "s1", "s2", "o", "words", "n").unionByName(_repeated_parts(crowded, least)))
-    total = parts.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
+    named = {"p1": F.xxhash64("words"), "p2": F.xxhash64(F.lit(1), "words")}
+    cut_down = materialize(_repeated_parts(crowded, least).withColumns(named))
     # a piece may stand in several segments; in the index it is one text, as often as they stand together
-    pieces = parts.groupBy("h", "words").agg(F.sum("n").alias("n")).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
+    joint = cut_down.groupBy("h", "p1", "p2").agg(F.max("words").alias("words"), F.sum("n").alias("n"))
+    total = sum(x.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0 for x in (distinct, cut_down))
+    shards = max(1, -(-total // SHARD_WORDS))
+    whole = calm.withColumns({"p1": F.col("s1"), "p2": F.col("s2")}).select("h", "p1", "p2", "words", "n")
+    pieces = whole.unionByName(joint).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
 
     def search(table: pa.Table) -> pa.Table:
         texts = table.column("words").combine_chunks()
         row, a, b = shard_intervals(texts, table.column("n").to_numpy(), least)
-        return pa.table({"h": table.column("h").take(pa.array(row)), "words": table.column("words").take(pa.array(row)), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
-
-    hits = pieces.select("shard", "h", "words", "n").groupBy("shard").applyInArrow(search, "h bigint, words string, a int, b int")
-    hits = hits.groupBy("h", "words").agg(F.collect_list(F.struct("a", "b")).alias("ab"))
-    by_segment = parts.join(hits, ["h", "words"]).select("s1", "s2", F.explode(F.transform("ab", lambda x: F.struct((x["a"] + F.col("o")).alias("a"), (x["b"] + F.col("o")).alias("b")))).alias("x"))
-    by_segment = by_segment.groupBy("s1", "s2").agg(F.collect_set("x").alias("x"))
-    placed = cuts.select("_k1", "_k2", "i", "s1", "s2").join(by_segment, ["s1", "s2"])
-    spans = placed.select("_k1", "_k2", F.explode(F.transform("x", lambda x: F.struct((x["a"] + F.col("i")).alias("a"), (x["b"] + F.col("i")).alias("b")))).alias("x"))
-    return spans.groupBy("_k1", "_k2").agg(F.collect_set("x").alias("spans"))
+        at = pa.array(row)
+        return pa.table({c: table.column(c).take(at) for c in ("h", "p1", "p2")} | {"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
+
+    hits = pieces.select("shard", "h", "p1", "p2", "words", "n").groupBy("shard").applyInArrow(search, "h bigint, p1 bigint, p2 bigint, a int, b int")
+    hits = materialize(hits)
+    by_piece = hits.join(cut_down.select("h", "p1", "p2", "s1", "s2", "o"), ["h", "p1", "p2"])
+    by_piece = by_piece.select("s1", "s2", F.struct((F.col("a") + F.col("o")).alias("a"), (F.col("b") + F.col("o")).alias("b")).alias("x"))
+    direct = hits.join(crowds, "h", "left_anti").select(F.col("p1").alias("s1"), F.col("p2").alias("s2"), F.struct("a", "b").alias("x"))
+    by_segment = direct.unionByName(by_piece)
+    by_segment = materialize(by_segment.groupBy("s1", "s2").agg(F.collect_set("x").alias("x")))
+    for done in (distinct, cut_down, hits, crowds):
+        discard(done)
+    spans = placed.join(by_segment, ["s1", "s2"]).select("_k1", "_k2", F.explode(F.transform("x", lambda x: F.struct((x["a"] + F.col("i")).alias("a"), (x["b"] + F.col("i")).alias("b")))).alias("x"))
+    out = materialize(spans.groupBy("_k1", "_k2").agg(F.collect_set("x").alias("spans")))
+    discard(placed)
+    discard(by_segment)
+    return out
 
 
 def _repeated_parts(segments: DataFrame, least: int) -> DataFrame:

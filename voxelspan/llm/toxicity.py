@@ -22,7 +22,7 @@ from voxelspan.llm.common import words_of
 WINDOW, STRIDE, HIDDEN, ATTEND = 32, 24, 8, 6
 GRAMS, BUCKETS = (4, 5), 1 << 20
 #: Labelled documents that the model is fitted on at most: those whose hashed doc_id comes first.
-SAMPLE = 2500
+SAMPLE = 3000
 SHRINK = 4.0
 FEATURES = 3 + 2 * len(GRAMS)
 
@@ -224,11 +224,15 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 14, seed: int
     seen = [both]
     for n in GRAMS:
         h, count = gram_buckets(words, n)
-        first = np.cumsum(count) - count
-        m = count[word]
-        at = np.repeat(first[word] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-        key = np.unique(np.repeat(text, m) * BUCKETS + h[at])
-        seen.append(counts(key // BUCKETS, key % BUCKETS, BUCKETS))
+        first, sums = np.cumsum(count) - count, (np.zeros(BUCKETS), np.zeros(BUCKETS))
+        for lo in range(0, len(y), 128):  # some texts at a time: their n-grams are many
+            a, b = np.searchsorted(text, [lo, lo + 128])
+            m = count[word[a:b]]
+            at = np.repeat(first[word[a:b]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            key = np.unique(np.repeat(text[a:b], m) * BUCKETS + h[at])
+            for label, total in zip((1, 0), sums):
+                total += np.bincount(key[y[key // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
+        seen.append(sums)
     common = np.flatnonzero(both[0] + both[1] >= 2)
     made = lambda less: Tables(words, log_odds(np.maximum(both[0] - less[0], 0), np.maximum(both[1] - less[1], 0), rate), [log_odds(np.maximum(a - less[0], 0), np.maximum(b - less[1], 0), rate) for a, b in seen[1:]])
     final = Tables(words.take(pa.array(common)), log_odds(both[0][common], both[1][common], rate), [log_odds(a, b, rate) for a, b in seen[1:]])
@@ -268,7 +272,13 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 14, seed: int
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 network.p[k] -= (rate_now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        _, logit = network.logits(network.project(x), own[: len(codes)], offsets)
+        parts = []
+        for lo in range(0, len(y), 128):
+            cut = offsets[lo : lo + 129]
+            used, local = np.unique(own[cut[0] : cut[-1]], return_inverse=True)
+            gates = network.project(np.concatenate([x[used], np.zeros((1, FEATURES), np.float32)]))
+            parts.append(network.logits(gates, local, cut - cut[0])[1])
+        logit = np.concatenate(parts)
     top = np.full(len(y), -np.inf)
     np.maximum.at(top, wtext, logit.astype(np.float64))
     a, b = 1.0, 0.0

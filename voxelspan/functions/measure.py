@@ -39,7 +39,8 @@ def angle(a: Point, at: Point, c: Point) -> Column:
     dot = u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
     sizes = (u[0] * u[0] + u[1] * u[1] + u[2] * u[2]) * (v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
     cosine = F.try_divide(dot, F.sqrt(sizes))
-    return rounded(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))) * F.lit(180.0) / F.lit(3.141592653589793))
+    within = F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))  # these skip nulls
+    return F.when(cosine.isNotNull(), rounded(F.acos(within) * F.lit(180.0) / F.lit(3.141592653589793)))
 
 
 def triangle(p1: Point, p2: Point, p3: Point, variant: str = "first") -> tuple[Column, Column, Column]:

@@ -56,7 +56,8 @@ def lloyd_cells(cells: DataFrame, share: float = 0.5, iterations: int = 10, cap:
 
     A cell goes to one task; one of more than ``cap`` points is clustered in parts of at most that many.
     """
-    names = [c for c in cells.columns if c != "cell_code"]
+    every = list(cells.columns)
+    names = [c for c in every if c != "cell_code"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos").reset_index(drop=True)
@@ -75,7 +76,7 @@ def lloyd_cells(cells: DataFrame, share: float = 0.5, iterations: int = 10, cap:
         how = {x: "mean" for x in names} | {"pos": "min", "depth": "min", "intensity": "max", "_part": "min"}
         out = rows.groupby("_l").agg({x: how[x] for x in [*names, "_part"]}).reset_index(drop=True)
         out["cell_code"] = rows["cell_code"].iloc[0]
-        return out[list(cells.columns)]
+        return out[every]
 
     sizes = cells.groupBy("cell_code").agg(F.ceil(F.count("*") / cap).alias("_parts"))
     parted = cells.join(sizes, "cell_code").withColumn("_part", F.pmod(F.xxhash64("pos"), F.col("_parts"))).drop("_parts")

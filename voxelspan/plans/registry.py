@@ -373,7 +373,7 @@ def len_sql(a: int, b: int) -> str:
 def angle_sql(a: int, at: int, c: int) -> str:
     dot = " + ".join(f"({n}{a} - {n}{at}) * ({n}{c} - {n}{at})" for n in "xyz")
     size = lambda k: "(" + " + ".join(f"({n}{k} - {n}{at}) * ({n}{k} - {n}{at})" for n in "xyz") + ")"
-    return rnd_sql(f"acos(least(greatest(({dot}) / nullif(sqrt({size(a)} * {size(c)}), 0), {d(-1.0)}), {d(1.0)})) * {d(180.0)} / {d(3.141592653589793)}")
+    return f"CASE WHEN {size(a)} * {size(c)} > 0 THEN " + rnd_sql(f"acos(least(greatest(({dot}) / sqrt({size(a)} * {size(c)}), {d(-1.0)}), {d(1.0)})) * {d(180.0)} / {d(3.141592653589793)}") + " END"
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:

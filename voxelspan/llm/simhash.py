@@ -7,7 +7,7 @@ of the links it found, never all pairs, and connected components follow by star
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -109,6 +109,16 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     return spread.select("fp", "c", "v", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
 
+def groups(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """doc_id and fp of each row, and each fingerprint's group: fp, root, component_id (the group's smallest doc_id)."""
+    marked = materialize(fingerprints(docs, shingle, seed))
+    firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    parts = connected_components(links(firsts.select("fp"), max_bits))
+    rooted = firsts.join(parts, firsts["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked, rooted.join(lowest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) for each row of docs.
 
@@ -116,24 +126,19 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed:
     its component the smallest doc_id that is there, null if there is none. Repeated rows each return a row. Columns
     of docs other than doc_id and text are not looked at.
     """
-    marked = materialize(fingerprints(docs, shingle, seed))
-    firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    parts = connected_components(links(firsts.select("fp"), max_bits))
-    rooted = firsts.join(parts, firsts["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
+    marked, named = groups(docs, max_bits, shingle, seed)
     out = marked.join(named, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """Of each group of near-duplicates one row of docs stays: its smallest doc_id's.
+def survivors(docs: DataFrame, marked: DataFrame, named: DataFrame, mark: Callable[[str | None], int]) -> DataFrame:
+    """Of each group one row of docs stays: its smallest doc_id's.
 
-    Of rows with that same doc_id in one group, the one whose other columns sort first stays. Rows without a doc_id
-    can't be named by a result keyed on it and always stay.
+    marked holds doc_id and fp of each row, named the groups of the fps, mark gives a text's fp. Of rows with that same
+    doc_id in one group, the one whose other columns sort first stays. Rows without a doc_id can't be named by a result
+    keyed on it and always stay.
     """
-    groups = near_duplicates(docs, **options)
-    keep = materialize(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_n")))
+    keep = materialize(marked.join(named, "fp").where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_n")))
     out = docs.where("doc_id is not null").join(keep.where("_n = 1"), F.col("doc_id") == F.col("_keep"), "left_semi")
     if not keep.where("_n > 1").isEmpty():
         order = [F.col(f"`{c}`").cast("string") for c in docs.columns]
@@ -141,3 +146,13 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
         again = again.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
         out = out.unionByName(again.where("_r = 1").drop("_r"))
     return out.unionByName(docs.where("doc_id is null"))
+
+
+def deduplicate(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """Of each group of near-duplicates one row of docs stays, chosen as survivors() says."""
+
+    def mark(text: str | None) -> int:
+        fp = fingerprint(text, shingle, seed)
+        return fp - (1 << 64) if fp >> 63 else fp
+
+    return survivors(docs, *groups(docs, max_bits, shingle, seed), mark)

@@ -63,3 +63,16 @@ def test_without_labels_or_rows(spark):
     docs, none = spark.createDataFrame(corpus(3, 7), DOCS + ", g int"), spark.createDataFrame([], LABELS)
     assert C.train(docs, none) is None and {r["kept"] for r in C.score(docs, None).collect()} == {True}
     assert C.train(docs.limit(0), none) is None and C.score(docs.limit(0), None).collect() == []
+
+
+def test_every_unlabelled_document_takes_part(spark):
+    """6,000 unlabelled documents: as many are handed over as by the same rounds over all of them in memory."""
+    rows = corpus(6200, 9)
+    docs = spark.createDataFrame([r[:5] for r in rows], DOCS).repartition(3)
+    few = [r for r in rows[:200] if zlib.crc32(str(r[0]).encode()) % 5]
+    got = C.train(docs, spark.createDataFrame([(r[0], r[5], 0) for r in rows[:200]], LABELS))
+    want = C.co_train(views(few), np.array([r[5] for r in few]), views(rows[200:]))
+    assert max(map(max, got.exchanged)) > 4000
+    assert len(got.exchanged) == len(want.exchanged) and np.allclose(got.exchanged, want.exchanged, atol=20)
+    a, b = (m.scores(*views(rows[:500]))[2] for m in (got, want))
+    assert np.abs(a - b).max() < 0.2 and ((a >= 0.5) == (b >= 0.5)).mean() > 0.99

@@ -1,15 +1,15 @@
 """Quality classifier by co-training (Blum and Mitchell, COLT 1998): a view of the text and a view of the page's metadata.
 
-Each view has a logistic regression. In every round each view scores a pool of unlabelled documents and hands the
-ones it is most sure of, if it is sure enough by its calibrated probability, to the other view as pseudo-labels. After
-the last round both views are calibrated on labelled documents that they were not fitted on and combined by a
+Each view has a logistic regression. In every round each view scores all unlabelled documents and hands those that it
+is sure enough of, by its calibrated probability, to the other view as pseudo-labels. They are scored where they are;
+fitting gets sums of gradients and Hessians. After the last round both views are calibrated on labelled documents that they were not fitted on and combined by a
 logistic regression over their logits, fitted on the same documents.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspan.llm.common import words_of
+from voxelspan.llm.common import discard, materialize, words_of
 from voxelspan.llm.toxicity import held_out, sigmoid
 
-#: Labelled and unlabelled documents that fitting uses at most: those whose hashed doc_id comes first.
-LABELLED, POOL = 4000, 4000
-ROUNDS, HANDED, SURE = 5, 200, 0.95
+#: Labelled documents that fitting uses at most: those whose hashed doc_id comes first.
+LABELLED = 4000
+ROUNDS, SURE = 5, 0.95
 BUCKETS = 24
 
 
@@ -70,7 +70,7 @@ class Logistic:
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Logistic:
         self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-        z = np.clip(np.concatenate([np.ones((len(x), 1)), (x - self.mean) / self.scale], 1), -8, 8)
+        z = self.standard(x)
         w, rate = np.zeros(z.shape[1]), np.ones(len(y)) if weight is None else weight
         ridge = np.full(len(w), self.ridge)
         ridge[0] = 1e-3
@@ -84,6 +84,9 @@ class Logistic:
         self.weights = w
         return self
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.concatenate([np.ones((len(x), 1)), (x - self.mean) / self.scale], 1), -8, 8)
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         if not len(self.mean):
             return np.full(len(x), self.weights[0])
@@ -106,8 +109,62 @@ class Model:
         return sigmoid(each[0]), sigmoid(each[1]), sigmoid(self.combined.logit(np.stack(each, 1)))
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> Model | None:
-    """labelled and pool hold the two views' features of the same rows; None if a label is missing."""
+class Rows:
+    """Unlabelled rows in memory: sums(f) is the sum of f(text, meta), a vector, over parts of the rows; None without rows."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray):
+        self.views = text, meta
+
+    def sums(self, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+        return f(*self.views) if len(self.views[0]) else None
+
+
+class Table:
+    """The same for a table of _packed() measures (column x); each task sums its rows, the driver gets a vector a task."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def sums(self, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    part = f(*_unpacked(batch.column(0).to_pylist()))
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+        got = sorted(bytes(r["s"]) for r in self.rows.select("x").mapInArrow(run, "s binary").collect())
+        return sum(np.frombuffer(x) for x in got) if got else None
+
+
+def _packed(text: np.ndarray, meta: np.ndarray) -> list[bytes]:
+    """A row's measures, of its hashed values only their numbers."""
+    codes = [meta[:, k * BUCKETS : (k + 1) * BUCKETS].argmax(1)[:, None] for k in (0, 1)]
+    return [x.tobytes() for x in np.concatenate([*codes, meta[:, -3:], text], 1).astype(float)]
+
+
+def _unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(rows)).reshape(len(rows), -1)
+    meta = np.zeros((len(x), 2 * BUCKETS + 3))
+    for k in (0, 1):
+        meta[np.arange(len(x)), k * BUCKETS + x[:, k].astype(int)] = 1
+    meta[:, -3:] = x[:, 2:5]
+    return x[:, 5:], meta
+
+
+def _newton(w: np.ndarray, z: np.ndarray, y: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the rows' loss, one after another."""
+    p = sigmoid(z @ w)
+    return np.concatenate([z.T @ (rate * (p - y)), ((z * (rate * p * (1 - p) + 1e-9 * (rate > 0))[:, None]).T @ z).ravel()])
+
+
+def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | Table, rounds: int = ROUNDS, sure: float = SURE) -> Model | None:
+    """labelled and pool hold the two views' features of the same rows; None if a label is missing.
+
+    A pseudo-label weighs half a label, less where all together would weigh more than half the labelled documents.
+    """
     y = np.asarray(y, float)
     if not 0 < y.sum() < len(y):
         return None
@@ -115,36 +172,67 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple
     if not all(0 < y[m].sum() < m.sum() for m in (part, ~part)):
         part = np.ones(len(y), bool)  # too few labels to set some apart
     fitting = ~part if not part.all() else part
-    extra: list[dict[int, float]] = [{}, {}]  # pseudo-labels that a view was given
-
-    def views() -> tuple[Logistic, Logistic]:
-        out = []
-        for v in (0, 1):
-            rows = np.array(sorted(extra[v]), int)
-            x = np.concatenate([labelled[v][fitting], pool[v][rows]])
-            t = np.concatenate([y[fitting], [extra[v][i] for i in rows.tolist()]])
-            out.append(Logistic().fit(x, t, np.concatenate([np.ones(fitting.sum()), np.full(len(rows), 0.5)])))
-        return out[0], out[1]
+    rest = Rows(*pool) if isinstance(pool, tuple) else pool
+    known = [x[fitting] for x in labelled]
 
     def calibrate(pair: tuple[Logistic, Logistic]) -> tuple[Logistic, Logistic]:
         a, b = (Logistic(0.1).fit(v.logit(x[part])[:, None], y[part]) for v, x in zip(pair, labelled))
         return a, b
 
-    exchanged, pair = [], views()
-    for _ in range(rounds if len(pool[0]) else 0):
-        given = []
-        for v, c in enumerate(calibrate(pair)):
-            p = sigmoid(c.logit(pair[v].logit(pool[v])[:, None]))
-            other, n = extra[1 - v], 0
-            for order, label, ok in ((np.argsort(-p, kind="stable"), 1.0, p >= sure), (np.argsort(p, kind="stable"), 0.0, p <= 1 - sure)):
-                free = [i for i in order[ok[order]].tolist() if i not in other][:handed]
-                other.update(dict.fromkeys(free, label))
-                n += len(free)
-            given.append(n)
-        exchanged.append((given[0], given[1]))
-        pair = views()
-        if not any(given):
-            break
+    def moments(text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        return np.concatenate([[len(text)], *(s for x in (text, meta) for s in (x.sum(0), (x * x).sum(0)))])
+
+    def refitted(pair: tuple[Logistic, Logistic], start: tuple[Logistic, Logistic]) -> tuple[tuple[Logistic, Logistic], tuple[int, int]]:
+        """Both views by Newton's method on the labelled rows and on what the other view of pair is sure of."""
+        sources = calibrate(pair)
+        out = tuple(Logistic(v.ridge, v.weights.copy(), v.mean, v.scale) for v in start)
+        mine = [v.standard(x) for v, x in zip(out, known)]
+        sizes = [len(v.weights) for v in out]
+        given, open_ = (0, 0), [True, True]
+        for _ in range(30):
+
+            def measure(text: np.ndarray, meta: np.ndarray, out=out) -> np.ndarray:
+                parts = []
+                for v, (x, other) in enumerate(((text, meta), (meta, text))):
+                    p = sigmoid(sources[1 - v].logit(pair[1 - v].logit(other)[:, None]))
+                    ok = (p >= sure) | (p <= 1 - sure)
+                    parts += [[ok.sum()], _newton(out[v].weights, out[v].standard(x[ok]), (p[ok] >= sure).astype(float), np.ones(ok.sum()))]
+                return np.concatenate(parts)
+
+            got, at = rest.sums(measure), 0
+            counts = []
+            for v, d in enumerate(sizes):
+                n, sums = got[at], got[at + 1 : at + 1 + d + d * d]
+                at += 1 + d + d * d
+                counts.append(int(n))
+                total = _newton(out[v].weights, mine[v], y[fitting], np.ones(len(mine[v]))) + 0.5 * min(1, len(mine[v]) / max(n, 1)) * sums
+                ridge = np.full(d, out[v].ridge)
+                ridge[0] = 1e-3
+                move = np.linalg.solve(total[d:].reshape(d, d) + np.diag(ridge), total[:d] + ridge * out[v].weights)
+                out[v].weights = out[v].weights - np.clip(move, -4, 4)
+                open_[v] = np.abs(move).max() >= 1e-6
+            given = (counts[1], counts[0])  # by the text view, by the metadata view
+            if not any(open_) or not any(given):
+                break
+        return (out[0], out[1]), given
+
+    exchanged = []
+    pair = tuple(Logistic().fit(x, y[fitting]) for x in known)
+    total = rest.sums(moments) if rounds else None
+    if total is not None:
+        n, at, start = total[0] + fitting.sum(), 1, []
+        for x in known:  # all rows give the scales, so that they stay the same in all rounds
+            d = x.shape[1]
+            mean = (total[at : at + d] + x.sum(0)) / n
+            square = (total[at + d : at + 2 * d] + (x * x).sum(0)) / n
+            start.append(Logistic(1.0, np.zeros(d + 1), mean, np.maximum(np.sqrt(np.maximum(square - mean * mean, 0)), 1e-6)))
+            at += 2 * d
+        for _ in range(rounds):
+            fitted, given = refitted(pair, start)
+            exchanged.append(given)
+            if not any(given):
+                break
+            pair = start = fitted
     both = calibrate(pair)
     stacked = np.stack([c.logit(v.logit(x[part])[:, None]) for c, v, x in zip(both, pair, labelled)], 1)
     return Model(pair, both, Logistic(0.1).fit(stacked, y[part]), exchanged)
@@ -159,31 +247,30 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double"))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Fitted on at most ``labelled`` labelled documents that are not held out and ``pool`` unlabelled ones.
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
+    """Fitted on at most ``labelled`` labelled documents that are not held out and on all unlabelled ones.
 
-    Texts are measured where they are; the driver gets the measures of the chosen rows. Of several labels of one
-    document the largest counts, null labels don't.
+    Texts are measured where they are; the driver gets the measures of the labelled rows and sums over the others. Of
+    several labels of one document the largest counts, null labels don't.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.max("quality") > 0).cast("double").alias("_y"))
-    some = marked.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(labelled)
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("_id")).where("_id is not null")
-    rest = ids.join(marked.select("_id"), "_id", "left_anti").distinct().orderBy(F.xxhash64("_id"), "_id").limit(pool)
-    chosen = F.broadcast(some.unionByName(rest.withColumn("_y", F.lit(None).cast("double"))))  # labelled + pool rows at most
+    some = F.broadcast(marked.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(labelled))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = np.concatenate(_views(batch), 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_packed(*_views(part)), pa.binary())], ["doc_id", "x"])
 
-    rows = _plain(docs).join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "lang", "source", "n_chars", "_y")
-    got = sorted(rows.mapInArrow(measure, "doc_id bigint, y double, x array<double>").collect(), key=lambda r: (r["doc_id"], tuple(r["x"])))
+    measured = lambda rows: rows.mapInArrow(measure, "doc_id bigint, x binary")
+    chosen = measured(_plain(docs).join(some, F.col("doc_id") == F.col("_id"), "left_semi")).join(some, F.col("doc_id") == F.col("_id"))
+    got = sorted((r["doc_id"], bytes(r["x"]), r["_y"]) for r in chosen.select("doc_id", "x", "_y").collect())
     if not got:
         return None
-    x, y = np.array([r["x"] for r in got]), np.array([np.nan if r["y"] is None else r["y"] for r in got])
-    cut, known = x.shape[1] - (2 * BUCKETS + 3), ~np.isnan(y)
-    return co_train((x[known][:, :cut], x[known][:, cut:]), y[known], (x[~known][:, :cut], x[~known][:, cut:]))
+    rest = materialize(measured(_plain(docs)).join(marked, F.col("doc_id") == F.col("_id"), "left_anti").select("x"))
+    model = co_train(_unpacked([x for _, x, _ in got]), np.array([y for *_, y in got]), Table(rest))
+    discard(rest)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

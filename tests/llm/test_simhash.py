@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from voxelspan.llm import simhash
+from voxelspan.llm import resemblance, simhash
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -98,3 +98,11 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     groups = components(points, [r[0] for r in data], 4)
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({g for g in groups if g is not None})
     assert sum(r["doc_id"] is None for r in kept) == 2
+
+
+@pytest.mark.parametrize("operator", [simhash, resemblance])
+def test_groups_that_share_their_smallest_doc_id_each_keep_one(spark, operator):
+    one, two, three = (" ".join(f"{a}{i}" for i in range(60)) for a in "abc")
+    data = [(1, one), (2, one), (1, two), (3, two), (0, three), (1, three)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], DOCS)
+    assert sorted((r["doc_id"], r["text"]) for r in operator.deduplicate(docs).collect()) == sorted([(1, one), (1, two), (0, three)])

@@ -138,13 +138,19 @@ def survivors(docs: DataFrame, marked: DataFrame, named: DataFrame, mark: Callab
     doc_id in one group, the one whose other columns sort first stays. Rows without a doc_id can't be named by a result
     keyed on it and always stay.
     """
-    keep = materialize(marked.join(named, "fp").where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_n")))
+    named = materialize(named.where("component_id is not null"))
+    there = marked.where("doc_id is not null").join(named, "fp")
+    keep = there.groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_n"), F.max(F.col("doc_id") == F.col("component_id")).alias("_first"))
+    keep = materialize(keep.where("_first").select("_keep", "_n"))
     out = docs.where("doc_id is not null").join(keep.where("_n = 1"), F.col("doc_id") == F.col("_keep"), "left_semi")
-    if not keep.where("_n > 1").isEmpty():
+    if not keep.where("_n > 1").isEmpty():  # rows of one doc_id may belong to several groups: their texts tell which
         order = [F.col(f"`{c}`").cast("string") for c in docs.columns]
         again = docs.join(keep.where("_n > 1"), F.col("doc_id") == F.col("_keep"), "left_semi")
-        again = again.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-        out = out.unionByName(again.where("_r = 1").drop("_r"))
+        again = again.withColumn("_mark", F.udf(mark, "bigint")(F.col("text").cast("string")))
+        of = named.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_least"))
+        again = again.join(of, (F.col("_mark") == F.col("_fp")) & (F.col("doc_id") == F.col("_least")))
+        again = again.withColumn("_r", F.row_number().over(Window.partitionBy("_root", "doc_id").orderBy(*order)))
+        out = out.unionByName(again.where("_r = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
     return out.unionByName(docs.where("doc_id is null"))
 
 

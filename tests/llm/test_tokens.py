@@ -13,6 +13,7 @@ from voxelspan.llm.tokens import Encoder
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ODD = [None, "", " a", "a ", "a  b", "a\n b", "a \nb", "it's a's b  c", "x　 y", "a  b", "a<|endoftext|> b", "Ünï <|startoftext|>", "é ́x", "İstanbul ΣΑΣ", "a\x0bb b", "a\x0b b", "\ta b\t", "#%% %%", "1 22 a1", "𝄞 x\x85 y", "plain Words only"]
+ODD += [t.replace("@", m) for m in ("<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>") for t in ("@", "@ at the start", "in the @ middle", "at the end @", "in@side", "@@ twice", "two @ and @", " @ ", "a\n@\n b", "<@>", "word@", "@word")]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -23,13 +24,11 @@ def test_ids_are_the_librarys(name):
     e = Encoder(public_tokenizers.path(name))
     ids, ends = e.encode(pa.array(texts, pa.string()))
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def library_ids(texts, name, end=2):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 

@@ -2,7 +2,8 @@
 
 Texts are cut only where a token always ends, so the ids are those of the whole text: for vocabularies that drop
 white space at every ASCII space, for byte-level ones before a space that stands between two letters of any kind but
-white space. Texts in which spaces stand otherwise are encoded whole.
+white space. Texts in which spaces stand otherwise, or that hold the string of a special token, are encoded whole.
+Special tokens are treated as the library does by default: their strings in a text become their one id.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         self.spaced = "ByteLevel" == type(self.library.pre_tokenizer).__name__  # tokens carry the space before them
         self.seen: dict[str, bytes] = {}
@@ -76,6 +77,8 @@ class Encoder:
             codes, offsets, dictionary = words_of(texts)
             return self._pack(self._chunks(dictionary.to_pylist(), ""), codes, offsets)
         odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
+        for mark in self.special:
+            odd = odd | pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
         plain = texts if not odd.any() else pc.if_else(pa.array(odd), "", texts)
         lists = pc.split_pattern(plain, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)

@@ -20,6 +20,12 @@ def test_queries_and_sql_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
 
 
+@pytest.mark.parametrize("missing", ["ahocorasick", "tokenizers", "public_tokenizers"])
+def test_a_missing_dependency_costs_only_the_corpus_operators(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 45 and (not any(k.startswith('op') for k in q) or {missing!r} == 'tokenizers')"
+    subprocess.run([sys.executable, "-B", "-W", "ignore", "-c", code], cwd=REPO, check=True, timeout=120)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")

@@ -70,3 +70,43 @@ def test_archives_of_other_writers(spark, tmp_path):
     rows = spark.read.format("warc").load(f"file://{tmp_path}")
     assert sorted((r["record_type"], bytes(r["payload"])) for r in rows.collect()) == [("response", b"hello")] * 2 + [("warcinfo", b"abc")] * 3
     assert [r["payload_bytes"] for r in rows.where("record_id = '<a>'").collect()] == [5, 5]
+
+
+def test_damaged_records(spark, tmp_path):
+    folder = f"file://{tmp_path}/x"
+    (tmp_path / "x").mkdir()
+    data = [(i, "u", "text %d " % i * 3000) for i in range(6)]
+    warc.write(warc.mark_revisits(spark.createDataFrame(data, PAGES).coalesce(1)), folder)
+    file = next((tmp_path / "x").glob("*.warc.gz"))
+    whole = file.read_bytes()
+    starts = [i for i in range(len(whole)) if whole[i : i + 4] == b"\x1f\x8b\x08\x04"]
+    broken = bytearray(whole)
+    broken[starts[2] + 60 : starts[2] + 90] = b"\xff" * 30
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y" / "broken.warc.gz").write_bytes(broken)
+    (tmp_path / "y" / "cut.warc.gz").write_bytes(whole[: starts[4] + 100])
+    warc.register(spark)
+    read = spark.read.format("warc")
+    for name in ("broken", "cut"):
+        try:
+            read.load(f"file://{tmp_path}/y/{name}.warc.gz").collect()
+            raise AssertionError
+        except Exception as e:
+            assert f"{name}.warc.gz" in str(e)
+    order = [r["page_id"] for r in read.load(folder).collect()]
+    got = [r["page_id"] for r in read.option("damaged", "skip").load(f"file://{tmp_path}/y/broken.warc.gz").collect()]
+    assert got == order[:2] + order[3:]
+    got = [r["page_id"] for r in read.option("damaged", "skip").load(f"file://{tmp_path}/y/cut.warc.gz").collect()]
+    assert got == order[:4]
+
+
+def test_query_sql_on_repeated_rows(spark, tmp_path):
+    duckdb = __import__("duckdb")
+    docs = spark.createDataFrame(pages(), PAGES)
+    docs.write.parquet(f"file://{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"]
+    found = con.execute(f"SELECT {', '.join(names)} FROM ({warc.ROUND_TRIP_SQL})").fetchall()
+    mine = warc.round_trip(docs).withColumn("target_uri", F.regexp_replace(F.regexp_replace("target_uri", "%0D", "\r"), "%0A", "\n"))
+    assert sorted(map(repr, found)) == sorted(repr(tuple(r)) for r in mine.select(*names).collect())

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelspan.sources.storage import shared_dir
+
 #: The letters of the word pattern [^\x20\x09-\x0D]+ are all but these.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -20,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, which is set only where it is unset.
-
-    The folder goes when the session ends.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxelspan-"))
-        root = spark.sparkContext.getCheckpointDir()
-    if "://" not in root:
-        root = f"file://{root.removeprefix('file:')}"
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(jpath)
-    fs.deleteOnExit(jpath)
-    return path
-
-
 def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes df to the shared folder as Parquet and reads it again."""
     spark = df.sparkSession
@@ -47,7 +28,7 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     gc.collect()
-    spark._jvm.System.gc()  # the shuffles behind the table are not needed any more: Spark deletes them once unreferenced
+    spark._jvm.System.gc()  # Spark deletes the shuffle files behind the table only once the driver has collected their plans
     return out
 
 
@@ -87,27 +68,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Columns a, b (bigint) to node, root: root is the smallest node reachable.
 
     Alternates large-star and small-star (Kiveris et al., SoCC 2014). Each step is one aggregation with
-    partial sums and one equi-join on its result, so no node's neighbours are ever gathered; each round's
-    edges are written to the shared folder.
+    partial sums and one equi-join on its result, so no node's neighbours are ever gathered. The aggregate is written
+    before it is joined: both sides of the join are then plain shuffles, of which adaptive execution cuts up the
+    partition of a node with very many neighbours. Each round's tables replace those of the round before.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         if large:
             out = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             joined = both.join(low, "a")
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        out = materialize(out.where("a <> b").distinct())
+        discard(low)
+        discard(pairs)
+        return out
 
     def mark(pairs: DataFrame):
         return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first())
 
     before = mark(edges)
     while before[0]:
-        edges = materialize(star(star(edges, large=True), large=False))
+        edges = star(star(edges, large=True), large=False)
         after = mark(edges)
         if after == before:
             break

@@ -1,7 +1,7 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked through pigeonhole blocks.
 
-Fingerprints that differ in at most d bits agree on at least two of d + 2 blocks, so both stand in the bucket of some
-pair of blocks. Buckets are verified by Hamming distance in tiles of bounded size; a tile returns a spanning forest
+Fingerprints that differ in at most d bits agree on at least b - d of b blocks, so both stand in the bucket of some
+choice of b - d blocks; b grows with the number of fingerprints, so that buckets don't. Buckets are verified by Hamming distance in tiles of bounded size; a tile returns a spanning forest
 of the links it found, never all pairs, and connected components follow by star contraction.
 """
 
@@ -48,11 +48,24 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def block_masks(max_bits: int) -> list[int]:
-    """One mask for each pair of the max_bits + 2 blocks, as signed 64-bit numbers."""
-    cuts = np.linspace(0, 64, max_bits + 3).round().astype(int)
-    blocks = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(cuts, cuts[1:])]
-    return [m - (1 << 64) if m >> 63 else m for m in (x | y for x, y in combinations(blocks, 2))]
+def blocks_for(count: int, max_bits: int) -> int:
+    """Blocks to cut fingerprints into: as few as keep the expected bucket of ``count`` fingerprints below a tile.
+
+    Of b blocks at least b - max_bits agree, so a key has 64 * (b - max_bits) / b bits: 21 with 6 blocks and 15 keys, 27
+    with 7 and 35, 32 with 8 and 70. Any number gives the same links.
+    """
+    b = max_bits + 2
+    while b < 16 and count > TILE << int(64 * (b - max_bits) / b):
+        b += 1
+    return b
+
+
+def block_masks(max_bits: int, blocks: int | None = None) -> list[int]:
+    """One mask for each choice of all but max_bits of the blocks, as signed 64-bit numbers."""
+    blocks = blocks or max_bits + 2
+    cuts = np.linspace(0, 64, blocks + 1).round().astype(int)
+    each = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(cuts, cuts[1:])]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(x) for x in combinations(each, blocks - max_bits))]
 
 
 def forest(points: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -72,11 +85,12 @@ def forest(points: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return [(int(points[i]), int(points[j])) for i, j in enumerate(label) if i != j]
 
 
-def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = 4, blocks: int | None = None) -> DataFrame:
     """Column fp, each once, to a, b: links whose components are those of all pairs within max_bits bits."""
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(block_masks(max_bits))]))
+    blocks = blocks or blocks_for(distinct.count(), max_bits)
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(block_masks(max_bits, blocks))]))
     keyed = distinct.select("fp", keys.alias("k")).select("fp", "k.c", "k.v")
-    sizes = keyed.groupBy("c", "v").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialize(keyed.groupBy("c", "v").agg(F.count("*").alias("n")).where("n > 1"))
     tiled = keyed.join(sizes, ["c", "v"]).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("fp", F.hash("c", "v", F.least("t", "o"), F.greatest("t", "o")).alias("h"), "c", "v", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"))
@@ -114,9 +128,17 @@ def groups(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed: int = 42)
     marked = materialize(fingerprints(docs, shingle, seed))
     firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     parts = connected_components(links(firsts.select("fp"), max_bits))
-    rooted = firsts.join(parts, firsts["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked, rooted.join(lowest, "root").select("fp", "root", "component_id")
+    return marked, named_groups(firsts, parts)
+
+
+def named_groups(firsts: DataFrame, parts: DataFrame) -> DataFrame:
+    """fp, root and component_id from fp and first, and node and root of those fps that have links.
+
+    Both sides of the join on root are written first, so that the partition of a large group can be cut up.
+    """
+    rooted = materialize(firsts.join(parts, firsts["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    lowest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    return rooted.join(lowest, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:

@@ -29,7 +29,7 @@ GRAM, RUN, SHARD_WORDS = 7, 29, 800_000
 #: Distinct segments of a minimizer above which those are cut down to their repeated windows before the shard.
 CROWD = 64
 #: Segments that a task remembers having given out the words of; more only means that words travel again.
-SENT = 1_000_000
+SENT = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,12 +225,13 @@ def intervals(docs: DataFrame, least: int = 35) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array(h), pa.array(place, pa.int32()), pa.array(windows, pa.int32())], ["_k1", "_k2", "h", "i", "n"])
 
     all_anchors = materialize(keyed.mapInArrow(anchors, "_k1 bigint, _k2 bigint, h bigint, i int, n int"))
-    twice = all_anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    twice = materialize(all_anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     wanted = materialize(all_anchors.join(twice, "h", "left_semi").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("i", "n", "h")).alias("runs")))
     discard(all_anchors)
+    discard(twice)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()  # segments whose words this task has given out already
+        sent: set[tuple[int, int]] = set()  # segments whose words this task has given out already
         for batch in batches:
             for k in range(batch.num_rows):
                 words = batch.column(2)[k].as_py().encode("utf-8", "surrogatepass").split()
@@ -238,7 +239,7 @@ def intervals(docs: DataFrame, least: int = 35) -> DataFrame:
                 same = lambda c: pa.array([batch.column(c)[k].as_py()] * len(runs), pa.int64())
                 texts = [b" ".join(words[r["i"] : r["i"] + r["n"] + least - 1]) for r in runs]
                 s1, s2 = (np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in texts), np.uint64, len(texts)).view(np.int64) for seed in (0, 1))
-                for j, x in enumerate(s1.tolist()):
+                for j, x in enumerate(zip(s1.tolist(), s2.tolist())):
                     if x in sent:
                         texts[j] = None
                     elif len(sent) < SENT:

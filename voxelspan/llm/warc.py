@@ -33,20 +33,22 @@ FILE_BYTES = 64 << 20
 PARTITION_BYTES = 32 << 20
 
 
-def record_uri(page_id: int | None, copy: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{copy}')}>"
+def record_uri(page_id: int | None, digest: str, kind: str = "response") -> str:
+    """The same for the same page and payload, so a task that is run again writes the same records."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{page_id}:{digest}')}>"
 
 
 def _line(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, revisit: bool, row: int) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     """One record as a gzip member; a revisit holds the HTTP headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + (payload or b"")
+    kind = "revisit" if revisit else "response"
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_uri(page_id, row)}", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_uri(page_id, digest, kind)}", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url is not None:
@@ -54,7 +56,7 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if revisit:
-        lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_uri(refers_to, digest)}"]
         if refers_to is not None:
             lines.append(f"X-Refers-To-Page-ID: {refers_to}")
     data = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -66,22 +68,43 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
 
 
 def mark_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, url, payload, payload_digest, revisit, refers_to, row: which record each row of pages becomes.
+    """page_id, url, payload, size, payload_digest, revisit, refers_to: which record each row of pages becomes.
 
-    Of rows with equal payloads of at least ``least`` bytes that with the largest page_id is the response; of repeated
-    rows with that page_id, one. A null html is an empty payload, a null page_id sorts below all others.
+    Of rows with equal payloads of at least ``least`` bytes that with the largest page_id is the response, the others
+    revisit it; of several rows with that page_id the one whose url sorts first. A null html is an empty payload, a null
+    page_id sorts below all others. Payloads are equal if their SHA-1, length and XXH64 are, so payloads made to share a
+    SHA-1 stay apart.
+
+    Only digests that stand more than once are joined, from a written table: where it is small it goes to the rows and
+    no payload is shuffled; where it is large both sides are plain shuffles and a digest that a third of the pages share
+    is cut up by adaptive execution.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_digest": F.sha1("payload"), "row": F.monotonically_increasing_id()})
-    large = rows.where(F.octet_length("payload") >= least)
-    first = large.groupBy("payload_digest").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(first, "payload_digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("row") != F.col("first.row"))
-    return joined.select(
-        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), F.octet_length("payload").cast("bigint").alias("size"),
-        "payload_digest", revisit.alias("revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to"), "row",
-    )
+    rows = rows.withColumns({"size": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha1("payload"), "_x": F.xxhash64("payload")})
+    same = ["payload_digest", "size", "_x"]
+    counts = rows.where(F.col("size") >= least).groupBy(*same, "page_id").agg(F.count("*").alias("n"))
+    groups = counts.groupBy(*same).agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("n")).where("n > 1")
+    groups = materialize(groups.select(*same, F.col("top.page_id").alias("top"), F.col("top.n").alias("tops")))
+    joined = rows.join(groups, same, "left")
+    first = F.col("tops").isNotNull() & F.col("page_id").eqNullSafe(F.col("top"))
+    revisit = F.col("tops").isNotNull() & ~first
+    one = lambda again: [F.when(~again, F.col("payload")).alias("payload"), "size", "payload_digest", again.alias("revisit"), F.when(again, F.col("top")).alias("refers_to")]
+    out = joined.select("page_id", "url", *one(revisit))
+    if groups.where("tops > 1").isEmpty():
+        return out
+    # repeated rows of the response: aggregated, so that no payload travels more than once a task
+    ties = joined.where(first & (F.col("tops") > 1))
+    by = [*same, "top"]
+    response = ties.groupBy(*by).agg(F.min(F.struct(F.col("url").isNotNull().alias("k"), "url")).alias("u"), F.first("payload").alias("payload"))
+    left = ties.groupBy(*by, "url").agg(F.count("*").alias("n")).join(response.select(*same, "u"), same)
+    left = left.withColumn("n", (F.col("n") - F.col("url").eqNullSafe(F.col("u.url")).cast("int")).cast("int")).where("n > 0")
+    parts = [
+        joined.where(~F.coalesce(first & (F.col("tops") > 1), F.lit(False))).select("page_id", "url", *one(revisit)),
+        response.select(F.col("top").alias("page_id"), "u.url", *one(F.lit(False))),
+        left.withColumn("payload", F.lit(None).cast("binary")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n")))).select(F.col("top").alias("page_id"), "url", *one(F.lit(True))),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def write(marked: DataFrame, folder: str) -> DataFrame:
@@ -109,7 +132,7 @@ def write(marked: DataFrame, folder: str) -> DataFrame:
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
                 page = c["page_id"][i].as_py()
-                held.append(record(page, c["url"][i].as_py(), c["payload"][i].as_py(), c["size"][i].as_py(), c["payload_digest"][i].as_py(), c["refers_to"][i].as_py(), c["revisit"][i].as_py(), c["row"][i].as_py()))
+                held.append(record(page, c["url"][i].as_py(), c["payload"][i].as_py(), c["size"][i].as_py(), c["payload_digest"][i].as_py(), c["refers_to"][i].as_py(), c["revisit"][i].as_py()))
                 size, records = size + len(held[-1]), records + 1
                 if size >= FILE_BYTES:
                     flush()
@@ -143,13 +166,19 @@ class Member:
                         self.end = at + struct.unpack_from("<I", extra, 4)[0]
                     extra = extra[4 + n :]
             self.inflate = zlib.decompressobj(31)
+
+    def head(self) -> Member:
+        """Reads the headers."""
         while (cut := self.data.find(b"\r\n\r\n")) < 0 and self._more():
             pass
+        if cut < 0 and self.data.strip() or self.gzip and cut < 0:
+            raise EOFError("a record ends before its headers do")
         lines = self.data[: max(cut, 0)].decode("utf-8", "replace").split("\r\n")
         self.headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         self.body, self.length = cut + 4, int(self.headers.get("content-length", 0) or 0)
         if not self.gzip:
-            self.end = at + self.body + self.length + 4
+            self.end = self.at + self.body + self.length + 4
+        return self
 
     def _more(self, size: int = 4096) -> bool:
         raw = self.file.read_at(size, self.read_to)
@@ -160,7 +189,7 @@ class Member:
         return True
 
     def block(self, size: int | None = None) -> bytes:
-        """The record's block, or as much of it as holds size bytes."""
+        """The record's block, or as much of it as holds size bytes; a block that ends early is an error."""
         want = self.body + (self.length if size is None else min(size, self.length))
         parts, have = [self.data], len(self.data)
         while have < want:
@@ -170,6 +199,8 @@ class Member:
             parts.append(self.data)
             have += len(self.data)
         self.data = b"".join(parts)
+        if have < want:
+            raise EOFError("a record ends before its length")
         return self.data[self.body : want]
 
     def next(self) -> int:
@@ -208,24 +239,38 @@ class Reader(DataSourceReader):
         return [Files(x) for x in plan] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        payloads = self.options.get("payload", "true").lower() == "true"
         for uri in partition.uris:
             store, path = pafs.FileSystem.from_uri(uri)
             with store.open_input_file(path) as file:
                 size, at = file.size(), 0
                 while at < size:
-                    member = Member(file, at)
-                    row = self.row(member.headers)
-                    if member.headers and all(row[k] in values for k, values in self.equal):
-                        http = member.headers.get("content-type", "").startswith("application/http")
-                        revisit = row["record_type"] == "revisit"
-                        block = member.block(None if payloads and not revisit else 2048) if http or payloads else b""
-                        head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
-                        size_line = [x for x in head.lower().split(b"\r\n") if x.startswith(b"content-length:")]
-                        row["payload_bytes"] = int(size_line[0].split(b":")[1]) if size_line else max(0, member.length - (len(head) + 4 if http else 0))
-                        row["payload"] = body if payloads and not revisit else None
-                        yield tuple(row[n] for n in self.names)
-                    at = member.next()
+                    member, row = None, None
+                    try:
+                        member = Member(file, at)
+                        row = self.record(member.head())
+                        after = member.next()
+                    except (zlib.error, struct.error, EOFError, ValueError) as damage:
+                        if self.options.get("damaged", "fail").lower() != "skip":
+                            raise ValueError(f"{uri}, byte {at}: {damage}") from damage
+                        after, row = (member and member.end) or size, None
+                    if row is not None:
+                        yield row
+                    at = after
+
+    def record(self, member: Member) -> tuple | None:
+        """A record's row, None if it doesn't pass the predicates."""
+        payloads = self.options.get("payload", "true").lower() == "true"
+        row = self.row(member.headers)
+        if not member.headers or not all(row[k] in values for k, values in self.equal):
+            return None
+        http = member.headers.get("content-type", "").startswith("application/http")
+        revisit = row["record_type"] == "revisit"
+        block = member.block(None if payloads and not revisit else 2048) if http or payloads else b""
+        head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+        size_line = [x for x in head.lower().split(b"\r\n") if x.startswith(b"content-length:")]
+        row["payload_bytes"] = int(size_line[0].split(b":")[1]) if size_line else max(0, member.length - (len(head) + 4 if http else 0))
+        row["payload"] = body if payloads and not revisit else None
+        return tuple(row[n] for n in self.names)
 
     @staticmethod
     def row(h: dict[str, str]) -> dict:
@@ -237,7 +282,11 @@ class Reader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """spark.read.format("warc").load(uri); option payload=false leaves payloads out."""
+    """spark.read.format("warc").load(uri).
+
+    Option payload=false leaves payloads out. A record that is damaged or cut off fails the read, naming file and place;
+    with damaged=skip it is passed over, and so is the rest of its file where the record's length is not known.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -279,7 +328,8 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
 ROUND_TRIP_SQL = """
 WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, url, octet_length(b) AS n, sha1(b) AS h FROM p),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top FROM d)
-SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to, url AS target_uri FROM m
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top, row_number() OVER (PARTITION BY h, n ORDER BY page_id DESC NULLS LAST, url NULLS FIRST) AS place FROM d),
+r AS (SELECT *, n >= 1000 AND place > 1 AS again FROM m)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN again THEN top END AS refers_to, url AS target_uri FROM r
 """

@@ -9,8 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which is set only where the session has none. It goes with the session."""
+    """A new folder below spark.checkpoint.dir, which goes with the session.
+
+    A session without that setting gets a temporary folder if it runs in one process; on a cluster this is an error, as
+    every machine would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxelspan-"))
         root = spark.sparkContext.getCheckpointDir()

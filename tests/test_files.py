@@ -94,17 +94,25 @@ def test_landing_folder_and_json(spark, tmp_path):
     assert [(r["pos"], r["x"], r["classification"]) for r in rows] == [(0, 0.0, 7.0), (1, 8.0, 15.0)]
 
 
+def wait(done, seconds=60):
+    """A query with timeouts runs on without data, so it can't be asked whether it has seen all."""
+    end = time.time() + seconds
+    while not done() and time.time() < end:
+        time.sleep(0.2)
+    assert done()
+    time.sleep(0.5)
+
+
 def test_stream_is_the_batch(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     stream = assembly.assemble_stream(parts.stream_parts(spark, f"file://{folder}"))
     q = stream.writeStream.format("memory").queryName("whole").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").start()
     try:
-        for names in (["a.2.3", "b.0.1", "c.1.2"], ["a.0.3", "a.1.3"], ["a.1.3x"]):
+        for names in (["a.2.3", "b.0.1", "c.1.2"], ["a.0.3", "a.9.3"], ["a.1.3"], ["a.1.3x"]):
             for n in names:
                 (folder / f"{n.rstrip('x')}.part{'x' * n.count('x')}").write_bytes(n[:3].encode())
-            q.processAllAvailable()
-            time.sleep(0.1)
+            wait(lambda: q.lastProgress and sum(p["numInputRows"] for p in q.recentProgress) >= sum(1 for _ in folder.glob("*.part")))
         assert {(r["uploader_id"], r["n_parts"], bytes(r["content"])) for r in spark.table("whole").collect()} == {("b", 1, b"b.0"), ("a", 3, b"a.0a.1a.2")}
     finally:
         q.stop()
@@ -113,10 +121,58 @@ def test_stream_is_the_batch(spark, tmp_path):
 def test_session_points(spark):
     rows = [("s", 0, "points", "a"), ("s", 2, "points", "c"), ("s", 1, "points", "b"), ("s", 3, "done", None), ("s", 4, "points", "late"), ("t", 0, "points", "x")]
     got = assembly.session_points(spark.createDataFrame(rows, "session string, seq int, event string, payload string")).collect()
-    assert [tuple(r) for r in got] == [("s", ["a", "b", "c"])]
+    assert sorted(map(tuple, got)) == [("s", 0, "a"), ("s", 1, "b"), ("s", 2, "c")]
 
 
 def test_clicks_make_shapes(spark):
     rows = [("s", i) for i in range(7)]
     got = assembly.click_shapes(spark.createDataFrame(rows, "s string, i int"), "s", ["i"], 3).collect()
     assert sorted((r["i"], r["shape_no"]) for r in got) == [(i, i // 3) for i in range(7)]
+
+
+def test_click_stream_is_the_batch(spark, tmp_path):
+    folder = tmp_path / "clicks"
+    folder.mkdir()
+    stream = assembly.click_stream(spark.readStream.schema("session bigint, event_id bigint").json(f"file://{folder}"), 3)
+    q = stream.writeStream.format("memory").queryName("shapes").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck2").start()
+    try:
+        for k, rows in enumerate(([(1, 1), (2, 2), (1, 3)], [(1, 4), (1, 5), (2, 6)], [(2, 7), (1, 8), (1, 9), (1, 10)])):
+            (folder / f"{k}.json").write_text("\n".join(json.dumps({"session": a, "event_id": b}) for a, b in rows))
+            wait(lambda: q.lastProgress and sum(p["numInputRows"] for p in q.recentProgress) >= 3 * k + 3)
+        got = sorted((r["session"], r["shape_no"], list(r["clicks"])) for r in spark.table("shapes").collect())
+        assert got == [(1, 0, [1, 3, 4]), (1, 1, [5, 8, 9]), (2, 0, [2, 6, 7])]
+    finally:
+        q.stop()
+
+
+def test_options_lie_beside_the_parts(spark, tmp_path):
+    (tmp_path / "up.1.options.json").write_text(json.dumps({"clustering": "T", "lod": "yes", "density": "12.5"}))
+    (tmp_path / "v.options.json").write_text("{}")
+    (tmp_path / "v.0.1.part").write_bytes(b"x")
+    got = sorted(map(tuple, parts.read_options(spark, f"file://{tmp_path}").collect()))
+    assert got == [("up.1", True, False, False, 12.5), ("v", False, False, False, 0.0)]
+
+
+def test_intended_mode_rejects_later_versions(spark, tmp_path):
+    data = bytearray(file_of(1, RECORDS))
+    data[24:26] = b"\x01\x04"
+    (tmp_path / "late.las").write_bytes(data)
+    assert las.read_points(spark, f"file://{tmp_path}/late.las").count() == len(RECORDS)
+    with pytest.raises(Exception, match="version 1.4"):
+        las.read_points(spark, f"file://{tmp_path}/late.las", mode="intended").count()
+
+
+def test_reduced_file_keeps_the_header(spark, tmp_path):
+    (tmp_path / "a.las").write_bytes(file_of(2, RECORDS))
+    source, out = f"file://{tmp_path}/a.las", f"file://{tmp_path}/out"
+    records = spark.createDataFrame([(5, 1, 2, 3, 4, 2)], "pos bigint, ix int, iy int, iz int, intensity int, classification int")
+    las.write_reduced(records, source, out, 2)
+    a, b = las.read_header(source), las.read_header(out)
+    assert b.count == 1 and (a.scale, a.low, a.high, a.format_id, a.record_length) == (b.scale, b.low, b.high, b.format_id, b.record_length)
+    assert [tuple(r) for r in spark.read.format("las").load(out).collect()] == [(0, 1, 2, 3, 4, 2, 0, 0, 0)]
+
+
+def test_header_fields_stand_where_files_have_them():
+    data = las.header_bytes(Header(7, (1, 2, 3), (4, 5, 6), (-1, -2, -3), (10, 20, 30), 2, 26, 227))
+    assert struct.unpack_from("<I", data, 96) == (227,) and data[104] == 2 and struct.unpack_from("<HI", data, 105) == (26, 7)
+    assert struct.unpack_from("<12d", data, 131) == (1, 2, 3, 4, 5, 6, 10, -1, 20, -2, 30, -3)

@@ -46,6 +46,18 @@ def test_cells_are_the_first_box_that_holds_a_point(spark):
     assert (drop["n_points"], drop["n_dropped"]) == (127, 2)
 
 
+@pytest.mark.parametrize("box", [((0.1, 7.3), (-5.0, 11.0), (1e6, 1e6 + 3)), ((0.0, 1.0), (2.0, 2.0), (0.0, 1.0)), ((0.0, 1.0), (0.0, 1.0), (3.0, 3.0)), ((4.0, 4.0),) * 3])
+def test_cells_of_middles_at_every_level(spark, box):
+    rng = random.Random(9)
+    ends = [octree.edges(lo, hi, 6) for lo, hi in box]
+    places = [tuple(rng.choice(e) if rng.random() < 0.6 else rng.uniform(e[0], e[-1]) for e in ends) for _ in range(800)]
+    got = {r["pos"]: r["cell_code"] for r in octree.assign_cells(cloud(spark, places), box, 6).collect()}
+    assert got == {i: path(p, box, 6) for i, p in enumerate(places)}
+    cell, level = got[0] >> 9, 3
+    inside = {i for i, p in enumerate(places) if all(lo <= v <= hi for v, (lo, hi) in zip(p, octree.cell_box(cell, level, box)))}
+    assert {i for i, c in got.items() if c >> 9 == cell} <= inside
+
+
 def test_filters_on_cells_stay_above_the_levels(spark):
     cells = octree.assign_cells(cloud(spark, [(1, 1, 1), (7, 7, 7)]), BOX, 8)
     assert len(cells.where(octree.prefix_range(7, 1, 8))._jdf.queryExecution().optimizedPlan().toString()) < 60_000
@@ -94,8 +106,8 @@ def test_levels_of_detail_shrink_and_nest(spark):
     assert sets[0] == {r["pos"] for r in reduce.reduce_cells(cells).collect()}
     step = reduce.coarser(reduce.reduce_cells(cells.withColumn("leaf_code", F.col("cell_code"))))
     assert {r["pos"] for r in step.collect()} == sets[1]
-    plan = low._jdf.queryExecution().executedPlan().toString()
-    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    sliced = reduce.levels_of_detail(cells, slice_rows=10)
+    assert [{r["pos"] for r in x.collect()} for x in sliced] == sets
 
 
 def test_numbering_and_chunks(spark):
@@ -191,3 +203,31 @@ def test_view_geometry(spark):
     assert one(spark, P.exaggerated(F.lit(2.0), 50.0)) == 4.0 and one(spark, P.marker_scale(F.lit(50.0), 75.0)) == 0.5
     assert [one(spark, P.lod_point_size(F.lit(v), 1.0)) for v in ("base", "medium", "low")] == [1.0, 2.0, 4.0]
     assert one(spark, cluster.array_distance(F.array(F.lit(0.0), F.lit(3.0)), F.array(F.lit(4.0), F.lit(0.0)))) == 5.0
+
+
+def test_two_step_numbering(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(300), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g int, pos bigint").repartition(5)
+    got = reduce.numbered(df, "g", ["pos"], coarse=F.floor(F.col("g") / 7), total="n").collect()
+    assert {r["pos"]: r["rn"] for r in got} == {p: k + 1 for k, (_, p) in enumerate(sorted(rows))} and {r["n"] for r in got} == {2000}
+
+
+def test_elbows_and_starts(spark):
+    costs = {k: c for k, c in enumerate([100.0, 90.0, 20.0, 18.0, 17.0, 16.5, 16.4], 1)}
+    df = spark.createDataFrame(list(costs.items()), "k int, cost double")
+    assert cluster.observed_elbow(df).first()[0] == 4
+    asked = []
+    assert cluster.bisected_elbow(lambda k: asked.append(k) or costs[k], 7) == 3 and len(asked) == len(set(asked))
+    assert cluster.bisected_elbow(lambda k: 1.0, 7) in range(1, 9)
+    rng = random.Random(4)
+    pts = cloud(spark, [[rng.uniform(0, 8) for _ in range(3)] for _ in range(200)])
+    assert cluster.seeds(pts.repartition(7), 5) == cluster.seeds(pts.coalesce(1), 5)
+    assert cluster.two_means(pts).count() == 2
+
+
+def test_labels_and_markers(spark):
+    assert [one(spark, M.number_text(F.lit(v))) for v in (12.0, 12.5, 12.25, -0.5, -12.04, 0.004, 1e6)] == ["12", "12.5", "12.25", "-0.5", "-12.04", "0", "1000000"]
+    mark = lambda tool, n: one(spark, M.is_marker(F.lit(tool), F.array_repeat(F.lit(1), F.lit(n))))
+    assert mark("area", 4) and mark("point", 1) and not mark("angle", 2) and not mark("other", 1)
+    assert [one(spark, P.parsed_number(F.lit(v))) for v in ("12.5", "x", "", "-3", "100")] == [12.5, 0.0, 0.0, -3.0, 100.0]

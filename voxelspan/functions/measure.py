@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxelspan.functions.scalar import distance
+from voxelspan.schema import ARITY
 
 Point = tuple[Column, Column, Column]
 
@@ -69,3 +70,43 @@ def mean_point(*points: Point) -> Point:
 def edges(*points: Point) -> Column:
     """An array of (edge_no, length) of the closed polygon."""
     return F.array(*[F.struct(F.lit(i + 1).alias("edge_no"), length(p, q).alias("length")) for i, (p, q) in enumerate(zip(points, points[1:] + points[:1]))])
+
+
+def number_text(v: Column) -> Column:
+    """A value to two places as the viewer writes it: halves upward, no zeros at the end."""
+    cents = F.floor(v * F.lit(100.0) + F.lit(0.5)).cast("bigint")
+    size = F.abs(cents)
+    rest = F.pmod(size, F.lit(100))
+    places = F.when(rest == 0, F.lit("")).when(F.pmod(rest, F.lit(10)) == 0, F.concat(F.lit("."), F.floor(rest / 10).cast("string"))).otherwise(F.concat(F.lit("."), F.lpad(rest.cast("string"), 2, "0")))
+    return F.concat(F.when(cents < 0, F.lit("-")).otherwise(F.lit("")), F.floor(size / 100).cast("string"), places)
+
+
+def point_label(p: Point, low: Point, high: Point, mode: str = "observed") -> Column:
+    """The point in file coordinates, in the file's order of axes."""
+    x, up, z = original(p, low, high, mode)
+    return F.concat_ws(", ", number_text(x), number_text(z), number_text(up))
+
+
+def length_label(a: Point, b: Point) -> Column:
+    return F.concat(number_text(distance(a, b)), F.lit("m"))
+
+
+def line_annotations(*points: Point) -> Column:
+    """An array of (edge_no, label, x, y, z): each edge's length, placed at its middle."""
+    rows = []
+    for i, (p, q) in enumerate(zip(points, points[1:] + points[:1]), 1):
+        at = middle(p, q)
+        rows.append(F.struct(F.lit(i).alias("edge_no"), length_label(p, q).alias("label"), *[c.alias(a) for a, c in zip("xyz", at)]))
+    return F.array(*rows)
+
+
+def moved(p: Point, by: tuple[float, float, float]) -> Point:
+    return tuple(c + F.lit(float(v)) for c, v in zip(p, by))
+
+
+def is_marker(tool: Column, points: Column) -> Column:
+    """Whether an array of picked points is as long as the tool takes; an unknown tool is no marker's."""
+    wanted = F.lit(None).cast("int")
+    for name, n in ARITY.items():
+        wanted = F.when(tool == name, F.lit(n)).otherwise(wanted)
+    return F.coalesce(F.size(points) == wanted, F.lit(False))

@@ -94,3 +94,19 @@ def progress(done: Column, total: Column) -> Column:
 
 def chunk_count(floats_per_chunk: int, points: Column) -> Column:
     return F.ceil(points * F.lit(POINT_FIELDS) / F.lit(float(floats_per_chunk)))
+
+
+def display_columns(top_intensity: Column) -> list[Column]:
+    """What a display takes of a point: place and colour as 32-bit floats, alpha its share of the highest intensity, the class as a whole number."""
+    narrow = [F.col(c).cast("float").alias(c) for c in ("x", "y", "z", "r", "g", "b")]
+    return [*narrow, (F.col("intensity") / top_intensity).cast("float").alias("alpha"), F.col("classification").cast("int").alias("classification")]
+
+
+def parsed_flag(text: Column) -> Column:
+    """True for 1 t T TRUE true True; anything else, null too, is false."""
+    return F.coalesce(text.isin("1", "t", "T", "TRUE", "true", "True"), F.lit(False))
+
+
+def parsed_number(text: Column) -> Column:
+    """The number, 0 if the text is none."""
+    return F.coalesce(F.try_to_number(text, F.lit("S999999999.999999")).cast("double"), F.lit(0.0))

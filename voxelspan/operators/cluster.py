@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,10 +39,24 @@ def means(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster_id").agg(*avg, F.max("intensity").alias("intensity"))
 
 
-def lloyd(points: DataFrame, k: int, iterations: int = 10, seed: int = 0) -> Centroids:
-    """Centroids of all points; the driver holds k rows. A cluster that lost all its points keeps its centroid."""
-    start = points.select("x", "y", "z").distinct().orderBy(F.rand(seed)).limit(k).collect()
-    centroids = sorted((r["x"], r["y"], r["z"]) for r in start)
+def seeds(points: DataFrame, k: int) -> Centroids:
+    """k distinct places, the first by a hash of the coordinates: the same whatever the partitions; the driver holds k rows."""
+    start = points.select("x", "y", "z").distinct().orderBy(F.xxhash64("x", "y", "z"), "x", "y", "z").limit(k).collect()
+    return [(r["x"], r["y"], r["z"]) for r in start]
+
+
+def distinct_sample(points: DataFrame, k: int, by: Column) -> DataFrame:
+    """k points, the first by a column that stands for chance, ties by pos."""
+    return points.withColumn("_by", by).orderBy("_by", "pos").limit(k).drop("_by")
+
+
+def lloyd(points: DataFrame, k: int, iterations: int = 10, start: Centroids | None = None) -> Centroids:
+    """Centroids of all points from ``start`` (else seeds()), at most ``iterations`` passes; the driver holds k rows.
+
+    Passes end once no centroid moves. A cluster that lost all its points keeps its centroid. Every pass reads the
+    points again, so they should be stored ones.
+    """
+    centroids = list(start) if start is not None else sorted(seeds(points, k))
     for _ in range(iterations):
         rows = nearest(points, centroids).groupBy("cluster_id").agg(*[F.avg(a).alias(a) for a in "xyz"]).collect()
         moved = list(centroids)
@@ -51,6 +68,11 @@ def lloyd(points: DataFrame, k: int, iterations: int = 10, seed: int = 0) -> Cen
     return centroids
 
 
+def two_means(points: DataFrame, iterations: int = 50) -> DataFrame:
+    """The viewer's clustering: two clusters of all points, their means."""
+    return means(nearest(points, lloyd(points, 2, iterations)))
+
+
 def lloyd_cells(cells: DataFrame, share: float = 0.5, iterations: int = 10, cap: int = 100_000) -> DataFrame:
     """Intended reduction: every cell's points become the means of about share * n clusters, intensity the highest.
 
@@ -103,6 +125,28 @@ def largest_drop(costs: DataFrame) -> DataFrame:
     return drop.where("drop is not null").agg(F.max_by("k", F.struct("drop", -F.col("k"))).alias("k"))
 
 
+def observed_elbow(costs: DataFrame) -> DataFrame:
+    """What the search over k = 1, 4, 7 ... really picks: the k from 4 with the largest cost, the first of equals."""
+    return costs.where("k >= 4 and k % 3 = 1").agg(F.max_by("k", F.struct(F.col("cost"), -F.col("k"))).alias("k"))
+
+
+def bisected_elbow(cost: Callable[[int], float], most: int) -> int:
+    """A k whose fall of the cost is greater than its neighbours', found by halving 1 to most; most + 1 if none is met.
+
+    Costs are asked for as they are needed, some log2(most) times three, and each once.
+    """
+    asked = cache(cost)
+    fall = lambda k: abs(asked(k - 1) - asked(k)) if 1 < k <= most else 0.0
+    low, high = 1, most + 1
+    while low < high:
+        k = (low + high) // 2
+        left, here, right = fall(k - 1), fall(k), fall(k + 1)
+        if left < here > right:
+            return k
+        low, high = (low, k) if left >= here >= right else (k + 1, high)
+    return most + 1
+
+
 def array_distance(a: Column, b: Column) -> Column:
     """Euclidean, of arrays of any length."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x))
@@ -116,3 +160,9 @@ def pick(points: DataFrame, origin: tuple, direction: tuple, threshold: float) -
     away = w[0] * w[0] + w[1] * w[1] + w[2] * w[2] - t * t
     hits = points.withColumns({"t": t, "off2": away}).where((F.col("t") >= 0) & (F.col("off2") <= F.lit(threshold * threshold)))
     return hits.orderBy("t", "pos").limit(1)
+
+
+def argmin_argmax(points: DataFrame, group: str, value: str) -> DataFrame:
+    """Of each group the pos of its smallest and its largest value, the first of equals."""
+    low, high = F.min_by("pos", F.struct(value, "pos")), F.max_by("pos", F.struct(F.col(value), -F.col("pos")))
+    return points.groupBy(group).agg(low.alias("argmin_pos"), high.alias("argmax_pos"))

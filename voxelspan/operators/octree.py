@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Box = tuple[tuple[float, float], tuple[float, float], tuple[float, float]]
+#: Levels at most: an axis has 2 ** depth - 1 middles, which the plan carries as one literal.
+MAX_DEPTH = 12
 
 
 def in_box(box: Box) -> Column:
@@ -14,32 +16,66 @@ def in_box(box: Box) -> Column:
     return tests[0] & tests[1] & tests[2]
 
 
+def edges(lo: float, hi: float, depth: int) -> list[float]:
+    """Ends of an axis's cells: each level puts a middle, lo + (hi - lo) / 2 of its own cell, between any two."""
+    out = [float(lo), float(hi)]
+    for _ in range(depth):
+        out = [v for a, b in zip(out, out[1:]) for v in (a, a + (b - a) / 2)] + out[-1:]
+    return out
+
+
+def _spread(depth: int) -> Column:
+    """A table: each number of ``depth`` bits with two zeros put before every bit."""
+    return F.lit([sum((v >> k & 1) << 3 * k for k in range(depth)) for v in range(1 << depth)])
+
+
 def assign_cells(points: DataFrame, box: Box, depth: int) -> DataFrame:
     """points within box with cell_code (bigint) and depth; points outside have no cell and go.
 
     Octants are numbered 0 LLL 1 LHL 2 LLH 3 LHH 4 HLH 5 HLL 6 HHL 7 HHH over (x, y, z), the first whose closed box
     holds the point: a middle belongs to the low half, but for z between high x and low y, where octant 4 comes first.
-    Projections only: no join, no shuffle.
+
+    An axis's place is the count of middles below the coordinate, guessed by a division and set right by the middles
+    themselves, so it is what halving level by level gives. Then the three places' bits are combined for all levels at
+    once. Projections only: no join, no shuffle, and no chain of levels for the optimizer to copy.
     """
-    df = points.where(in_box(box)).withColumn("cell_code", F.lit(0).cast("bigint"))
-    for axis, (lo, hi) in zip("xyz", box):
-        df = df.withColumns({f"_{axis}1": F.lit(float(lo)), f"_{axis}2": F.lit(float(hi))})
-    middles = {f"_{a}m": F.col(f"_{a}1") + (F.col(f"_{a}2") - F.col(f"_{a}1")) / 2 for a in "xyz"}
-    for _ in range(depth):
-        df = df.withColumns(middles)
-        hx, hy = F.col("x") > F.col("_xm"), F.col("y") > F.col("_ym")
-        hz = F.when(hx & ~hy, F.col("z") >= F.col("_zm")).otherwise(F.col("z") > F.col("_zm"))
-        df = df.withColumns({"_hx": hx, "_hy": hy, "_hz": hz})
-        one = lambda c: F.col(c).cast("bigint")
-        child = F.when(~F.col("_hx"), one("_hy") + 2 * one("_hz")).when(F.col("_hy"), 6 + one("_hz")).otherwise(5 - one("_hz"))
-        halves = {}
-        for a in "xyz":
-            halves |= {f"_{a}1": F.when(F.col(f"_h{a}"), F.col(f"_{a}m")).otherwise(F.col(f"_{a}1")), f"_{a}2": F.when(F.col(f"_h{a}"), F.col(f"_{a}2")).otherwise(F.col(f"_{a}m"))}
-        df = df.withColumns({"cell_code": F.col("cell_code") * 8 + child, **halves})
+    if not 0 <= depth <= MAX_DEPTH:
+        raise ValueError(f"a depth from 0 to {MAX_DEPTH}")
     own = [c for c in points.columns if c not in ("cell_code", "depth")]
-    # rand() keeps predicates on cell_code above: pushed down, they would repeat every level's expressions in the next's
-    fixed = F.col("cell_code") + F.floor(F.rand(0))
-    return df.select(*own, fixed.alias("cell_code"), F.lit(depth).alias("depth"))
+    df, n = points.where(in_box(box)), 1 << depth
+    flat = {a: lo == hi for a, (lo, hi) in zip("xyz", box)}
+    middles = {a: edges(lo, hi, depth)[1:-1] for a, (lo, hi) in zip("xyz", box)}
+    for a, (lo, hi) in zip("xyz", box):
+        if not flat[a] and any(p >= q for p, q in zip([lo, *middles[a]], [*middles[a], hi])):
+            raise ValueError(f"the box is too narrow on axis {a} for {depth} levels")
+    one = F.lit(0).cast("bigint")
+    guess = lambda a, lo, hi: F.least(F.greatest(F.floor((F.col(a) - F.lit(float(lo))) * F.lit(n / (hi - lo))), one), F.lit(n - 1).cast("bigint"))
+    df = df.withColumns({f"_{a}": one if flat[a] or not depth else guess(a, lo, hi) for a, (lo, hi) in zip("xyz", box)})
+
+    def place(a: str) -> Column:
+        if flat[a] or not depth:
+            return F.col(f"_{a}")
+        i, m = F.col(f"_{a}"), F.lit(middles[a])
+        below, above = F.get(m, (i - 1).cast("int")), F.get(m, i.cast("int"))  # null outside
+        return F.when(F.col(a) <= below, i - 1).when(F.col(a) > above, i + 1).otherwise(i)
+
+    # an array of one row: predicates on cell_code stay above it, instead of repeating every middle in the scan's filter
+    df = df.withColumn("_p", F.explode(F.array(F.struct(*[place(a).alias(a) for a in "xyz"]))))
+    x, y, z = F.col("_p.x"), F.col("_p.y"), F.col("_p.z")
+    if flat["z"]:
+        # every middle is the coordinate itself: high wherever octant 4 comes first
+        z = x.bitwiseAND(F.bitwise_not(y))
+    elif depth:
+        # z on the middle after its place: that middle's level is the lowest bit of its number
+        bit = (z + 1).bitwiseAND(-(z + 1))
+        tie = (F.get(F.lit(middles["z"]), z.cast("int")) == F.col("z")) & (x.bitwiseAND(bit) != 0) & (y.bitwiseAND(bit) == 0)
+        z = z + F.when(tie, F.lit(1)).otherwise(F.lit(0))
+    keep = lambda v: F.bitwise_not(v)
+    middle = x.bitwiseAND(y).bitwiseOR(keep(x).bitwiseAND(z))
+    low = x.bitwiseAND(keep(y.bitwiseXOR(z))).bitwiseOR(keep(x).bitwiseAND(y))
+    spread = lambda v: F.get(_spread(depth), v.bitwiseAND(F.lit(n - 1)).cast("int"))
+    code = (spread(x) * 4 + spread(middle) * 2 + spread(low)).cast("bigint")
+    return df.select(*own, code.alias("cell_code"), F.lit(depth).alias("depth"))
 
 
 def parent(code: Column, levels: int = 1) -> Column:
@@ -47,11 +83,26 @@ def parent(code: Column, levels: int = 1) -> Column:
 
 
 def prefix_range(code: int, level: int, depth: int) -> Column:
-    """Cells of the given depth below a cell of a shallower level: a range, so file statistics can prune it."""
+    """Cells of the given depth below a cell of a shallower level: a range, so statistics of files that hold cell_code prune it."""
     width = 3 * (depth - level)
     return F.col("cell_code").between(F.lit(code << width), F.lit(((code + 1) << width) - 1))
 
 
+def cell_box(code: int, level: int, box: Box) -> Box:
+    """The closed box of a cell: what a scan of coordinates can prune by before any cell is computed."""
+    ends = list(box)
+    for k in range(level - 1, -1, -1):
+        octant = code >> 3 * k & 7
+        high_x = octant >= 4
+        high_y = octant in (1, 3) if not high_x else octant >= 6
+        high_z = octant in (2, 3) if not high_x else octant in (4, 7)
+        for i, high in enumerate((high_x, high_y, high_z)):
+            lo, hi = ends[i]
+            m = lo + (hi - lo) / 2
+            ends[i] = (m, hi) if high else (lo, m)
+    return tuple(ends)
+
+
 def cell_stats(cells: DataFrame) -> DataFrame:
     """Points, extent and highest intensity of every cell that has any."""
     ends = [f(a).alias(f"{f.__name__}_{a}") for a in "xyz" for f in (F.min, F.max)]

@@ -7,30 +7,42 @@ from pyspark.sql import functions as F
 
 from voxelspan.operators.octree import parent
 
+#: Points of a cell beyond which it is reduced in slices, so that no task gets more of it than that.
+SLICE = 1 << 20
+#: Levels of cells whose counts one task may order: 8 ** 4 rows.
+COARSE_LEVELS = 4
 
-def numbered(df: DataFrame, group: str, order: list[Column | str], name: str = "rn") -> DataFrame:
-    """df with a running number from 1 over (group, order), without sorting all rows in one task.
 
-    Rows are numbered within their group; the groups' counts, one row each, give what stands before each.
-    """
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(group).agg(F.count("*").alias("_c")).select(F.col(group).alias("_g"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
-    local = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return local.join(starts, F.col(group) == F.col("_g")).withColumn(name, F.col("_s") + F.col("_r")).drop("_g", "_s", "_r")
-
-
-def reduce_cells(cells: DataFrame, by: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """Observed reduction: each cell keeps the first half of its points, at most up to the last new place among them.
+def numbered(df: DataFrame, group: str | list[str], order: list[Column | str], name: str = "rn", coarse: Column | None = None, total: str | None = None) -> DataFrame:
+    """df with a running number from 1 over (group, order), and the count of all rows as ``total`` if that is named.
 
-    Of n points in order, p_1 to p_keep stay, keep being the largest i <= n / 2 whose x, y, z none of p_1 to p_(i-1)
-    has; a cell of one point keeps it. ``by`` are the columns a cell is known by, the first of which may be a coarser
-    cell: partitioned by that beforehand, no further shuffle is needed.
+    Rows are numbered within their group; the groups' counts give what stands before each. ``coarse`` is a column over
+    the group's columns, rising with them and of a few thousand values: counts are summed within each, and only one row
+    for each of those meets in one task. Without it, the groups themselves have to be that few.
     """
-    by, order = by or ["cell_code"], order or ["pos"]
-    cell = Window.partitionBy(*by)
+    groups = [group] if isinstance(group, str) else list(group)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*groups).agg(F.count("*").alias("_c")).withColumn("_k", F.lit(0) if coarse is None else coarse)
+    within = F.coalesce(F.sum("_c").over(before(Window.partitionBy("_k").orderBy(*groups))), F.lit(0))
+    if coarse is None:
+        starts = counts.select(*groups, within.alias("_s"), F.sum("_c").over(Window.partitionBy("_k")).alias("_t"))
+    else:
+        tops = counts.groupBy("_k").agg(F.sum("_c").alias("_c"))
+        tops = tops.select("_k", F.coalesce(F.sum("_c").over(before(Window.orderBy("_k"))), F.lit(0)).alias("_s0"), F.sum("_c").over(Window.partitionBy()).alias("_t"))
+        starts = counts.join(F.broadcast(tops), "_k").select(*groups, (F.col("_s0") + within).alias("_s"), "_t")  # some thousand rows
+    local = df.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    out = local.join(starts, groups).withColumn(name, F.col("_s") + F.col("_r"))
+    if total:
+        out = out.withColumn(total, F.col("_t"))
+    return out.drop("_s", "_r", "_t")
+
+
+def _reduce_whole(cells: DataFrame, order: list[str]) -> DataFrame:
+    """One shuffle, by cell."""
+    cell = Window.partitionBy("cell_code")
     df = cells.withColumns({
         "_rn": F.row_number().over(cell.orderBy(*order)),
-        "_fo": F.row_number().over(Window.partitionBy(*by, "x", "y", "z").orderBy(*order)),
+        "_fo": F.row_number().over(Window.partitionBy("cell_code", "x", "y", "z").orderBy(*order)),
         "_n": F.count("*").over(cell),
     })
     new = F.when((F.col("_fo") == 1) & (F.col("_rn") * 2 <= F.col("_n")), F.col("_rn"))
@@ -38,41 +50,72 @@ def reduce_cells(cells: DataFrame, by: list[str] | None = None, order: list[str]
     return df.where("_rn <= _keep").drop("_rn", "_fo", "_n", "_keep")
 
 
-def reduce_hot_cells(cells: DataFrame, slice_rows: int = 1 << 20) -> DataFrame:
-    """reduce_cells for cells that may hold a large part of all points: no task gets more than a slice of a cell.
-
-    A cell is cut into ranges of pos. Places are counted by aggregation, a point's rank is its rank within the range
-    plus the points of earlier ranges, and the cut is an aggregate again.
-    """
-    sliced = cells.withColumn("_s", (F.col("pos") / slice_rows).cast("bigint"))
-    counts = sliced.groupBy("cell_code", "_s").agg(F.count("*").alias("_c"))
+def _reduce_sliced(cells: DataFrame, order: list[str], slice_rows: int) -> DataFrame:
+    """By ranges of the order: places are counted by aggregation, a rank is the rank within the range plus the points of
+    earlier ranges, and the cut is an aggregate again."""
+    *outer, last = order
+    part = ["cell_code", *outer, "_s"]
+    sliced = cells.withColumn("_s", F.floor(F.col(last) / slice_rows).cast("bigint"))
+    counts = sliced.groupBy(*part).agg(F.count("*").alias("_c"))
     cell = Window.partitionBy("cell_code")
-    starts = counts.select("cell_code", "_s", F.coalesce(F.sum("_c").over(cell.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_c").over(cell).alias("_n"))
-    ranked = sliced.join(starts, ["cell_code", "_s"]).withColumn("_rn", F.col("_b") + F.row_number().over(Window.partitionBy("cell_code", "_s").orderBy("pos")))
+    earlier = F.sum("_c").over(cell.orderBy(*part[1:]).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*part, F.coalesce(earlier, F.lit(0)).alias("_b"), F.sum("_c").over(cell).alias("_n"))
+    ranked = sliced.join(starts, part).withColumn("_rn", F.col("_b") + F.row_number().over(Window.partitionBy(*part).orderBy(last)))
     firsts = ranked.groupBy("cell_code", "x", "y", "z").agg(F.min(F.struct("_rn", "_n")).alias("f"))
     keep = firsts.groupBy("cell_code").agg(F.greatest(F.max(F.when(F.col("f._rn") * 2 <= F.col("f._n"), F.col("f._rn"))), F.lit(1)).alias("_keep"))
     return ranked.join(keep, "cell_code").where("_rn <= _keep").select(*cells.columns)
 
 
-def coarser(cells: DataFrame) -> DataFrame:
+def reduce_cells(cells: DataFrame, order: list[str] | None = None, slice_rows: int = SLICE, largest: int | None = None) -> DataFrame:
+    """Observed reduction: each cell keeps the first half of its points, at most up to the last new place among them.
+
+    Of n points in order, p_1 to p_keep stay, keep being the largest i <= n / 2 whose x, y, z none of p_1 to p_(i-1)
+    has; a cell of one point keeps it. ``order`` ends with a whole number.
+
+    If a cell has more than slice_rows points, all are reduced in slices: the same rows, and no task holds a whole cell.
+    ``largest`` is the count of the fullest cell, found by one aggregation where it isn't given.
+    """
+    order = order or ["pos"]
+    if largest is None:
+        largest = cells.groupBy("cell_code").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return _reduce_sliced(cells, order, slice_rows) if largest > slice_rows else _reduce_whole(cells, order)
+
+
+def reduce_hot_cells(cells: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """reduce_cells in slices, whatever the counts."""
+    return _reduce_sliced(cells, ["pos"], slice_rows)
+
+
+def coarser(cells: DataFrame, slice_rows: int = SLICE, largest: int | None = None) -> DataFrame:
     """One level up: what the children kept, in the order of the finest cells, reduced again. Needs leaf_code and pos."""
     up = cells.withColumns({"cell_code": parent(F.col("cell_code")), "depth": F.col("depth") - 1})
-    return reduce_cells(up, order=["leaf_code", "pos"])
+    return reduce_cells(up, ["leaf_code", "pos"], slice_rows, largest)
 
 
-def levels_of_detail(cells: DataFrame, steps: int = 2) -> list[DataFrame]:
-    """The reduced cells and ``steps`` coarser levels.
+def levels_of_detail(cells: DataFrame, steps: int = 2, slice_rows: int = SLICE) -> list[DataFrame]:
+    """The reduced cells and ``steps`` coarser levels, each reduced from the one before over its own cells.
 
-    All levels need one shuffle, by the coarsest cell; every window's partitions lie within its.
+    One aggregation gives the fullest cell of each level before any reduction, a bound of what the level has to reduce.
+    Whole cells share one shuffle, by the coarsest; if a cell of any level is too full for one task, or the coarsest
+    are too few to keep a cluster busy, each level has its own.
     """
-    base = cells.withColumns({"leaf_code": F.col("cell_code"), "_low": parent(F.col("cell_code"), steps)})
-    level = reduce_cells(base.repartition("_low"), by=["_low", "cell_code"])
+    codes = [parent(F.col("cell_code"), k) for k in range(steps + 1)]
+    counts = cells.groupBy("cell_code").agg(F.count("*").alias("n"))
+    tops = [counts.groupBy(c.alias("c")).agg(F.sum("n").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("m")).select(F.lit(k).alias("k"), "n", "m") for k, c in enumerate(codes)]
+    every = tops[0]
+    for t in tops[1:]:
+        every = every.unionByName(t)
+    found = {r["k"]: (r["n"] or 0, r["m"]) for r in every.collect()}
+    base = cells.withColumn("leaf_code", F.col("cell_code"))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if found[steps][0] <= slice_rows and found[steps][1] >= 4 * tasks:
+        base = base.repartition(parent(F.col("leaf_code"), steps))
+    level = reduce_cells(base, ["pos"], slice_rows, found[0][0])
     out = [level]
-    for _ in range(steps):
-        up = level.withColumns({"cell_code": parent(F.col("cell_code")), "depth": F.col("depth") - 1})
-        level = reduce_cells(up, by=["_low", "cell_code"], order=["leaf_code", "pos"])
+    for k in range(1, steps + 1):
+        level = coarser(level, slice_rows, found[k][0])
         out.append(level)
-    return [x.drop("_low") for x in out]
+    return out
 
 
 def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
@@ -84,17 +127,25 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def chunks(points: DataFrame, group: str, order: list[str], size: int = 162) -> DataFrame:
-    """points with chunk_no (from 0) and total_chunks: messages of ``size`` points in (group, order)."""
-    df = numbered(points, group, order).withColumn("chunk_no", F.floor((F.col("rn") - 1) / size))
-    total = points.agg(F.ceil(F.count("*") / F.lit(float(size))).alias("total_chunks"))
-    return df.join(F.broadcast(total)).drop("rn")  # one row
+def chunks(points: DataFrame, group: str, order: list[str], size: int = 162, depth: int = 0) -> DataFrame:
+    """points with chunk_no (from 0) and total_chunks: messages of ``size`` points in (group, order).
+
+    ``depth`` is that of the cells in ``group``; beyond COARSE_LEVELS levels, counts are summed by coarser cells first.
+    """
+    coarse = parent(F.col(group), depth - COARSE_LEVELS) if depth > COARSE_LEVELS else None
+    df = numbered(points, group, order, coarse=coarse, total="_all")
+    return df.withColumns({"chunk_no": F.floor((F.col("rn") - 1) / size), "total_chunks": F.ceil(F.col("_all") / F.lit(float(size)))}).drop("rn", "_all")
 
 
-def window_chunks(points: DataFrame, window: int = 100_000, size: int = 162) -> DataFrame:
-    """points with window_no and chunk_no within it; pos counts from 0. Nothing is shuffled: pos is dense."""
-    place = F.pmod(F.col("pos"), F.lit(window))
-    return points.withColumns({"window_no": F.floor(F.col("pos") / F.lit(window)), "chunk_no": F.floor(place / F.lit(size))})
+def window_chunks(points: DataFrame, window: int = 100_000, size: int = 162, sampled: bool = False) -> DataFrame:
+    """points with window_no and chunk_no within it; pos counts from 0.
+
+    Nothing is shuffled where all of a window's points are there; of sampled ones a window's are ranked, at most
+    ``window`` of them.
+    """
+    number = F.floor(F.col("pos") / F.lit(window))
+    place = F.row_number().over(Window.partitionBy("window_no").orderBy("pos")) - 1 if sampled else F.pmod(F.col("pos"), F.lit(window))
+    return points.withColumn("window_no", number).withColumn("chunk_no", F.floor(place / F.lit(size)))
 
 
 def messages(chunked: DataFrame, event: str = "points") -> DataFrame:

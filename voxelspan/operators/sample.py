@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,11 @@ def hashed(pos: Column) -> Column:
     return F.pmod(F.pmod(pos, F.lit(1_000_003)) * F.lit(7_919) + F.lit(104_729), F.lit(1_000_000))
 
 
+def hashed_numbers(pos: np.ndarray) -> np.ndarray:
+    """hashed() of numbers."""
+    return (pos % 1_000_003 * 7_919 + 104_729) % 1_000_000
+
+
 def subsample(points: DataFrame, rate: float, mode: str = "random", seed: int = 0) -> DataFrame:
     """Keeps each point with the given probability; mode "hash" decides by pos and repeats exactly."""
     if mode == "hash":

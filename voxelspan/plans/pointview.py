@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from voxelspan.functions import scalar
 from voxelspan.operators.reduce import numbered
 from voxelspan.schema import Header
+from voxelspan.sources import las
+from voxelspan.sources.storage import shared_dir
 
 SCALE = 0.01
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -24,17 +26,32 @@ def _coordinates() -> dict:
     return stored
 
 
+_STORED: dict = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, what: str, make):
+    """What make() returns, made once for a session and the present files of the table."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/lineitem.parquet").select("path", "modificationTime", "length").collect()  # names, not contents
+    key, state = (spark.sparkContext.applicationId, sf_dir, what), sorted(map(tuple, files))
+    if _STORED.get(key, (None,))[0] != state:
+        _STORED[key] = (state, make())
+    return _STORED[key][1]
+
+
 def header(spark: SparkSession, sf_dir: str) -> Header:
     """One aggregation: the count and the bounds, which a point file states at its start."""
-    c = _coordinates()
-    ends = [f(scalar.scaled(v, SCALE)).alias(f"{f.__name__}_{k}") for k, v in c.items() for f in (F.min, F.max)]
-    r = _raw(spark, sf_dir).agg(F.count("*").alias("n"), *ends).first()
-    pick = lambda how: tuple(r[f"{how}_{k}"] or 0.0 for k in c)
-    return Header(count=r["n"], scale=(SCALE,) * 3, low=pick("min"), high=pick("max"))
 
+    def make() -> Header:
+        c = _coordinates()
+        ends = [f(scalar.scaled(v, SCALE)).alias(f"{f.__name__}_{k}") for k, v in c.items() for f in (F.min, F.max)]
+        r = _raw(spark, sf_dir).agg(F.count("*").alias("n"), *ends).first()
+        pick = lambda how: tuple(r[f"{how}_{k}"] or 0.0 for k in c)
+        return Header(count=r["n"], scale=(SCALE,) * 3, low=pick("min"), high=pick("max"))
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pos (from 0), ix, iy, iz and the raw colours, intensity and class of every record."""
+    return _stored(spark, sf_dir, "header", make)
+
+
+def _numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     lo, hi = raw.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
     width = max(1, -(-((hi or 0) - (lo or 0) + 1) // BUCKETS))
@@ -46,6 +63,33 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pos (from 0), ix, iy, iz and the raw colours, intensity and class of every record.
+
+    The table is numbered once a session and stored in ranges of pos in the shared folder, as a point file would be.
+    """
+
+    def make() -> tuple:
+        path, df = f"{shared_dir(spark)}/records", _numbered_records(spark, sf_dir)
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartitionByRange(max(tasks, -(-header(spark, sf_dir).count // 1_000_000)), "pos").sortWithinPartitions("pos").write.parquet(path)
+        return path, df.schema
+
+    path, schema = _stored(spark, sf_dir, "records", make)
+    return spark.read.schema(schema).parquet(path)
+
+
+def point_file(spark: SparkSession, sf_dir: str) -> str:
+    """The records as a binary point file of several parts, written once a session."""
+
+    def make() -> str:
+        h = header(spark, sf_dir)
+        stored = records(spark, sf_dir).withColumns({c: F.col(c).cast("int") for c in ("intensity", "classification")})
+        return las.write(stored, Header(h.count, h.scale, h.offset, h.low, h.high, 2, las.RECORD_LENGTH[2], las.HEADER_BYTES), f"{shared_dir(spark)}/cloud", parts=4)
+
+    return _stored(spark, sf_dir, "file", make)
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled points in the axis order x, z, y of the file, colours resolved."""
     colours = [scalar.resolved_colour(f"i{ch}", "classification", k).alias(ch) for k, ch in enumerate("rgb")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxelspan.functions import measure as M
 from voxelspan.functions import scalar as P
 from voxelspan.operators import cluster, octree, reduce, sample
-from voxelspan.plans.pointview import POINTS_SQL, RECORDS_SQL, S, header, lod_sql, octree_sql, palette_sql, points, records, reduce_sql
+from voxelspan.plans.pointview import POINTS_SQL, RECORDS_SQL, S, header, lod_sql, octree_sql, palette_sql, point_file, points, records, reduce_sql
 from voxelspan.schema import LOD_DISTANCES, VIEW_PALETTE, WINDOW_POINTS
 
 QUERIES: dict = {}
@@ -204,7 +204,9 @@ def octree_cell_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH}, {octree_sql(DEPTH)} SELECT pos, cell_code FROM cells WHERE cell_code // 64 = 37")
 def octree_prefix_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(spark, sf_dir).where(octree.prefix_range(37, 2, DEPTH)).select("pos", "cell_code")
+    box = header(spark, sf_dir).box()
+    near = points(spark, sf_dir).where(octree.in_box(octree.cell_box(37, 2, box)))  # coordinates are compared before cells are computed
+    return octree.assign_cells(near, box, DEPTH).where(octree.prefix_range(37, 2, DEPTH)).select("pos", "cell_code")
 
 
 @query(f"{WITH}, {octree_sql(DEPTH)}, {reduce_sql('cells', 'base')} SELECT cell_code, pos, x, y, z FROM base")
@@ -256,7 +258,7 @@ CHUNKED = f"{WITH}, {octree_sql(DEPTH)}, {reduce_sql('cells', 'base')}, k AS (SE
 
 
 def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce.chunks(reduce.reduce_cells(cells(spark, sf_dir)), "cell_code", ["pos"])
+    return reduce.chunks(reduce.reduce_cells(cells(spark, sf_dir)), "cell_code", ["pos"], depth=DEPTH)
 
 
 @query(f"{CHUNKED} SELECT * FROM k")
@@ -289,8 +291,7 @@ n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY d2,
 
 
 def _centroids(spark: SparkSession, sf_dir: str) -> cluster.Centroids:
-    """The first eight points."""
-    return [(r["x"], r["y"], r["z"]) for r in points(spark, sf_dir).where("pos < 8").orderBy("pos").collect()]
+    return _first(spark, sf_dir, 8)
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,15 +325,52 @@ def prefix_cost_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.prefix_costs(points(spark, sf_dir), "pos", 8).select("k", F.round(F.col("cost") / 1000).cast("bigint").alias("cost_k"))
 
 
-@query()
+COSTS = f"""{WITH}, {FIRST}, dd AS (SELECT p.pos, f.i, (p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y) + (p.z - f.z) * (p.z - f.z) AS d2 FROM p, f),
+m AS (SELECT pos, i, min(d2) OVER (PARTITION BY pos ORDER BY i) AS d2 FROM dd), costs AS (SELECT CAST(i + 1 AS INT) AS k, sum(d2) AS cost FROM m GROUP BY i)"""
+
+
+@query(f"{COSTS} SELECT k FROM (SELECT k, lag(cost) OVER (ORDER BY k) - cost AS fall FROM costs) WHERE fall IS NOT NULL ORDER BY fall DESC, k LIMIT 1")
 def elbow_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.largest_drop(cluster.prefix_costs(points(spark, sf_dir), "pos", 8))
 
 
+@query(f"{COSTS} SELECT k FROM costs WHERE k >= 4 AND k % 3 = 1 ORDER BY cost DESC, k LIMIT 1")
+def elbow_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.observed_elbow(cluster.prefix_costs(points(spark, sf_dir), "pos", 8))
+
+
 @query()
+def elbow_bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By halving over the costs of Lloyd's iterations."""
+    p = points(spark, sf_dir)
+    cost = lambda k: cluster.nearest(p, cluster.lloyd(p, k, 3, _first(spark, sf_dir, k))).agg(F.sum("d2")).first()[0]
+    return spark.createDataFrame([(cluster.bisected_elbow(cost, 6),)], "k int")
+
+
+def lloyd_sql(k: int, passes: int) -> str:
+    """CTEs c0 to c_passes (centroids) and last (points with their nearest of c_passes)."""
+    near = lambda r: f"(SELECT * FROM (SELECT p.*, c.i, (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z) AS d2 FROM p, c{r} AS c) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY d2, i) = 1)"
+    out = [f"c0 AS MATERIALIZED (SELECT pos AS i, x, y, z FROM p WHERE pos < {k})"]
+    for r in range(passes):
+        out.append(f"m{r} AS MATERIALIZED (SELECT i, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {near(r)} GROUP BY i)")
+        out.append(f"c{r + 1} AS MATERIALIZED (SELECT c.i, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y, coalesce(m.z, c.z) AS z FROM c{r} AS c LEFT JOIN m{r} AS m USING (i))")
+    return ",\n".join([*out, f"last AS (SELECT * FROM {near(passes)})"])
+
+
+def _first(spark: SparkSession, sf_dir: str, k: int) -> cluster.Centroids:
+    return [(r["x"], r["y"], r["z"]) for r in points(spark, sf_dir).where(F.col("pos") < k).orderBy("pos").collect()]
+
+
+@query(f"{WITH}, {lloyd_sql(4, 10)} SELECT CAST(i AS INT) AS cluster_id, count(*) AS n_points, CAST(round(sum(d2) / 1000) AS BIGINT) AS sse_k FROM last GROUP BY i")
 def kmeans_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return cluster.cost(cluster.nearest(p, cluster.lloyd(p, 4)))
+    found = cluster.cost(cluster.nearest(p, cluster.lloyd(p, 4, 10, _first(spark, sf_dir, 4))))
+    return found.select("cluster_id", "n_points", F.round(F.col("sse") / 1000).cast("bigint").alias("sse_k"))
+
+
+@query()
+def viewer_two_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.two_means(points(spark, sf_dir))
 
 
 @query()
@@ -480,6 +518,7 @@ def reduced_file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {RECORDS_SQL} SELECT pos, ix, iy, iz, CAST(intensity AS INT) AS intensity, CAST(classification AS INT) AS classification, ir, ig, ib FROM rec")
 def las_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record written as a point file of several parts and read back."""
-    from voxelspan.sources.las import round_trip
+    from voxelspan.sources import las
 
-    return round_trip(records(spark, sf_dir), header(spark, sf_dir))
+    las.register(spark)
+    return spark.read.format("las").load(point_file(spark, sf_dir))

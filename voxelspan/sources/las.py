@@ -16,12 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan
 from pyspark.sql.types import StructType
 
 from voxelspan.functions import scalar
+from voxelspan.operators.sample import hashed_numbers
 from voxelspan.schema import WINDOW_POINTS, Header
 from voxelspan.sources.storage import shared_dir
 
@@ -31,10 +32,12 @@ COLOUR_AT = {2: 20, 3: 28}
 #: Length of the shortest record of formats 0 to 3.
 RECORD_LENGTH = {0: 20, 1: 28, 2: 26, 3: 34}
 HEADER_BYTES = 227
+#: Fixed value: the latest file version that the intended mode reads, ten times the major number plus the minor one.
+LATEST_VERSION = 13
 
 
 def parse_header(data: bytes) -> Header:
-    offset, fmt, length, count = struct.unpack_from("<IBHI", data, 96)
+    offset, fmt, length, count = struct.unpack_from("<I4xBHI", data, 96)
     numbers = struct.unpack_from("<12d", data, 131)
     ends = numbers[6:]  # highest, lowest of each axis in turn
     return Header(count=count, scale=numbers[:3], offset=numbers[3:6], low=ends[1::2], high=ends[0::2], format_id=fmt, record_length=length, data_offset=offset)
@@ -45,7 +48,7 @@ def header_bytes(h: Header) -> bytes:
     out[:4] = b"LASF"
     out[24:26] = b"\x01\x02"
     struct.pack_into("<H", out, 94, HEADER_BYTES)
-    struct.pack_into("<IBHI", out, 96, h.data_offset, h.format_id, h.record_length, h.count)
+    struct.pack_into("<I4xBHI", out, 96, h.data_offset, h.format_id, h.record_length, h.count)
     ends = [v for pair in zip(h.high, h.low) for v in pair]
     struct.pack_into("<12d", out, 131, *h.scale, *h.offset, *ends)
     return bytes(out)
@@ -104,9 +107,13 @@ class Reader(DataSourceReader):
 
     def _open(self) -> tuple[Parts, Header]:
         parts = Parts(self.options["path"])
-        h = parse_header(parts.read(0, HEADER_BYTES))
-        if self.options.get("mode", "observed") == "intended" and h.format_id > 3:
-            raise ValueError(f"point format {h.format_id} is not known")
+        start = parts.read(0, HEADER_BYTES)
+        h = parse_header(start)
+        if self.options.get("mode", "observed") == "intended":
+            if h.format_id not in RECORD_LENGTH:
+                raise ValueError(f"point format {h.format_id} is not known")
+            if start[24] * 10 + start[25] > LATEST_VERSION:
+                raise ValueError(f"file version {start[24]}.{start[25]} is not known")
         return parts, h
 
     def partitions(self) -> list[InputPartition]:
@@ -122,13 +129,21 @@ class Reader(DataSourceReader):
             return
         parts, h = self._open()
         rows = np.frombuffer(parts.read(h.data_offset + partition.start * h.record_length, n * h.record_length), record_type(h.format_id, h.record_length))
-        value = lambda c: rows[c].astype(np.int32) if c in rows.dtype.names else np.zeros(n, np.int32)
-        columns = [pa.array(np.arange(partition.start, partition.stop)) if c == "pos" else pa.array(value(c)) for c in self.names]
+        pos = np.arange(partition.start, partition.stop)
+        if "samplefraction" in self.options:  # before any value is decoded
+            kept = hashed_numbers(pos) <= int(float(self.options["samplefraction"]) * 1_000_000)
+            rows, pos = rows[kept], pos[kept]
+        value = lambda c: rows[c].astype(np.int32) if c in rows.dtype.names else np.zeros(len(pos), np.int32)
+        columns = [pa.array(pos) if c == "pos" else pa.array(value(c)) for c in self.names]
         yield pa.RecordBatch.from_arrays(columns, self.names)
 
 
 class LasDataSource(DataSource):
-    """spark.read.format("las").load(uri of a file or of a folder of parts); options recordsPerPartition, mode."""
+    """spark.read.format("las").load(uri of a file or of a folder of parts).
+
+    Options: recordsPerPartition; mode (intended rejects versions and formats that are not known); sampleFraction keeps
+    that share of the records, those that sample.subsample keeps in its mode "hash".
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -150,11 +165,12 @@ def read_header(uri: str) -> Header:
     return parse_header(Parts(uri).read(0, HEADER_BYTES))
 
 
-def read_points(spark: SparkSession, uri: str, mode: str = "observed", records_per_partition: int = WINDOW_POINTS) -> DataFrame:
-    """Points of a file. Observed, the header's offset is not added; intended, it is."""
+def read_points(spark: SparkSession, uri: str, mode: str = "observed", records_per_partition: int = WINDOW_POINTS, sample: float | None = None) -> DataFrame:
+    """Points of a file, or a share of them. Observed, the header's offset is not added; intended, it is."""
     register(spark)
     h = read_header(uri)
-    raw = spark.read.format("las").option("mode", mode).option("recordsPerPartition", str(records_per_partition)).load(uri)
+    reader = spark.read.format("las").option("mode", mode).option("recordsPerPartition", str(records_per_partition))
+    raw = (reader if sample is None else reader.option("sampleFraction", repr(float(sample)))).load(uri)
     ox, oy, oz = h.offset if mode == "intended" else (0.0, 0.0, 0.0)
     colours = [scalar.resolved_colour(f"i{ch}", "classification", k).alias(ch) for k, ch in enumerate("rgb")]
     return raw.select(
@@ -175,42 +191,58 @@ def file_records(points: DataFrame, h: Header, mode: str = "observed") -> DataFr
     return points.select("pos", near(x, 0).alias("ix"), near(z, 1).alias("iy"), near(up, 2).alias("iz"), F.col("intensity").cast("int").alias("intensity"), F.col("classification").cast("int").alias("classification"))
 
 
-def write(records: DataFrame, h: Header, folder: str, parts: int = 0) -> str:
-    """Writes records in the order of pos as a file of parts below folder: the header, then a part for each range of pos.
+def supported(major: Column, minor: Column, format_id: Column) -> Column:
+    """Whether the intended mode reads a file of that version and point format."""
+    return (major * 10 + minor <= LATEST_VERSION) & format_id.isin(*RECORD_LENGTH)
+
+
+def write(records: DataFrame, h: Header, folder: str, parts: int = 0, head: bytes | None = None) -> str:
+    """Writes records in the order of pos as a file of parts below folder: a header, then a part for each range of pos.
 
-    The count is taken first. A part is renamed when it is whole, so a task that is run again replaces it.
+    Parts come first and are counted as they are written; the header, with that count, is last and makes the file
+    whole. ``head`` are the header's bytes where another file's are to be kept but for the count. A part is renamed
+    when it is whole, so a task that is run again replaces it.
     """
-    count = records.count()
-    parts = parts or max(1, -(-count // 1_000_000))
-    h = Header(count, h.scale, h.offset, h.low, h.high, h.format_id, h.record_length or RECORD_LENGTH.get(h.format_id, 20), h.data_offset)
-    kind = record_type(h.format_id, h.record_length)
+    parts = parts or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    length = h.record_length or RECORD_LENGTH.get(h.format_id, 20)
+    kind = record_type(h.format_id, length)
     store, path = pafs.FileSystem.from_uri(folder)
     store.create_dir(path)
-    with store.open_output_stream(f"{path}/part-000000.las") as out:
-        out.write(header_bytes(h))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, n = [], 0
+        draft, n = None, 0
         for batch in batches:
             rows = np.zeros(batch.num_rows, kind)
             for name in kind.names:
                 if name in batch.schema.names:
                     rows[name] = batch.column(name).to_numpy()
-            data.append(rows.tobytes())
+            if draft is None:
+                store, path = pafs.FileSystem.from_uri(f"{folder}/part-{TaskContext.get().partitionId() + 1:06d}.las")
+                draft = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                out = store.open_output_stream(draft)
+            out.write(rows.tobytes())
             n += batch.num_rows
-        if n:
-            store, path = pafs.FileSystem.from_uri(f"{folder}/part-{TaskContext.get().partitionId() + 1:06d}.las")
-            draft = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
-            with store.open_output_stream(draft) as out:
-                for d in data:
-                    out.write(d)
+        if draft is not None:
+            out.close()
             store.move(draft, path)
         yield pa.RecordBatch.from_pydict({"n": [n]})
 
-    records.repartitionByRange(parts, "pos").sortWithinPartitions("pos").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    ranges = records.repartitionByRange(parts, "pos").sortWithinPartitions("pos")
+    count = ranges.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    whole = bytearray(head or header_bytes(Header(count, h.scale, h.offset, h.low, h.high, h.format_id, length, h.data_offset)))
+    struct.pack_into("<I", whole, 107, count)
+    with store.open_output_stream(f"{path}/part-000000.las") as out:
+        out.write(bytes(whole))
     return folder
 
 
+def write_reduced(records: DataFrame, source: str, folder: str, parts: int = 0) -> str:
+    """file_records() as a file with the source's header but for the count; bytes of a record that they don't give are 0."""
+    there = Parts(source)
+    h = parse_header(there.read(0, HEADER_BYTES))
+    return write(records, h, folder, parts, there.read(0, h.data_offset))
+
+
 def round_trip(records: DataFrame, h: Header) -> DataFrame:
     spark = records.sparkSession
     stored = records.select("pos", "ix", "iy", "iz", F.col("intensity").cast("int").alias("intensity"), F.col("classification").cast("int").alias("classification"), "ir", "ig", "ib")

@@ -18,7 +18,10 @@ def upload_state(parts: DataFrame) -> DataFrame:
 
 
 def assemble(parts: DataFrame, separator: str = "") -> DataFrame:
-    """uploader_id and content of complete uploads, parts in ascending order; of repeated parts the smallest content counts."""
+    """uploader_id and content of complete uploads, parts in ascending order; of repeated parts the smallest content counts.
+
+    The content of one upload is one row. Files too large for that stay in their parts: sources.las reads those as one.
+    """
     once = parts.groupBy("uploader_id", "chunk_number").agg(F.min("content").alias("content"), F.max("total_chunks").alias("total_chunks"))
     sets = once.groupBy("uploader_id").agg(F.sort_array(F.collect_list(F.struct("chunk_number", "content"))).alias("p"), F.max("total_chunks").alias("t"))
     contents = F.transform("p", lambda s: s["content"])
@@ -31,36 +34,67 @@ def click_shapes(clicks: DataFrame, session: str, order: list[str], arity: int)
     return clicks.withColumn("shape_no", F.floor((rank - 1) / F.lit(arity)))
 
 
-OUTPUT = "uploader_id string, n_parts int, content binary"
+def assemble_stream(parts: DataFrame, expire_ms: int = 3_600_000) -> DataFrame:
+    """A stream of (uploader_id, chunk_number from 0, total_chunks, content) to one of complete uploads.
 
-def _assembled(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Holds an upload's parts until all have come, gives them out in order, then remembers only that it did.
+    State holds an upload's parts until all have come, then they are given out in order and the state goes. A part that
+    comes again before that changes nothing, one with a number outside the upload doesn't count. One that comes after
+    starts the upload anew, and an upload that no part came for in ``expire_ms`` is forgotten, so state is bounded by
+    what is under way.
+    """
 
-    A part that comes again, before or after the upload was complete, changes nothing.
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, total = pickle.loads(state.get[0]) if state.exists else {}, 0
+        for frame in frames:
+            for number, count, content in zip(frame["chunk_number"], frame["total_chunks"], frame["content"]):
+                total = int(count)
+                if 0 <= int(number) < total:
+                    held.setdefault(int(number), bytes(content))
+        if total and len(held) >= total:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"uploader_id": [key[0]], "n_parts": [total], "content": [b"".join(held[k] for k in range(total))]})
+        else:
+            state.update((pickle.dumps(held),))
+            state.setTimeoutDuration(expire_ms)
+
+    schema = "uploader_id string, n_parts int, content binary"
+    return parts.groupBy("uploader_id").applyInPandasWithState(run, schema, "parts binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def click_stream(clicks: DataFrame, arity: int, expire_ms: int = 3_600_000) -> DataFrame:
+    """A stream of (session bigint, event_id, rising) to one of shapes: session, shape_no and the ids of its clicks.
+
+    State holds how many shapes a session has made and the clicks that don't make one yet, fewer than ``arity``; it goes
+    when the session rests for ``expire_ms``.
     """
-    held = pickle.loads(state.get[0]) if state.exists else {}
-    total = None
-    for frame in frames:
-        for number, count, content in zip(frame["chunk_number"], frame["total_chunks"], frame["content"]):
-            total = int(count)
-            if held is not None:
-                held.setdefault(int(number), bytes(content))
-    whole = held is not None and total is not None and len(held) >= total
-    state.update((pickle.dumps(None if whole else held),))
-    if whole:
-        yield pd.DataFrame({"uploader_id": [key[0]], "n_parts": [len(held)], "content": [b"".join(held[k] for k in sorted(held))]})
 
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        made, held = state.get if state.exists else (0, [])
+        held = [*held, *sorted(int(i) for frame in frames for i in frame["event_id"])]
+        whole = len(held) // arity
+        out = [(key[0], made + k, held[k * arity : (k + 1) * arity]) for k in range(whole)]
+        state.update((made + whole, held[whole * arity :]))
+        state.setTimeoutDuration(expire_ms)
+        if out:
+            session, number, ids = zip(*out)
+            yield pd.DataFrame({"session": list(session), "shape_no": list(number), "clicks": list(ids)})
 
-def assemble_stream(parts: DataFrame) -> DataFrame:
-    """A stream of (uploader_id, chunk_number, total_chunks, content) to one of complete uploads."""
-    return parts.groupBy("uploader_id").applyInPandasWithState(_assembled, OUTPUT, "parts binary", "append", GroupStateTimeout.NoTimeout)
+    schema = "session bigint, shape_no bigint, clicks array<bigint>"
+    return clicks.groupBy("session").applyInPandasWithState(run, schema, "made bigint, open array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def session_points(events: DataFrame) -> DataFrame:
-    """What a viewer has when a session is done: its chunks in order. events: session, seq, event (points or done), payload.
+    """What a viewer has when a session is done: session, seq and payload of its chunks before that, to be read in their order.
 
-    Works on a batch and, with a watermark upstream, per micro-batch; sessions that are not done return nothing.
+    events: session, seq, event (points or done), payload. A row a chunk: no session's payloads meet in one row. Works on
+    a batch and, with a watermark upstream, per micro-batch; sessions that are not done return nothing.
     """
     ended = events.groupBy("session").agg(F.min(F.when(F.col("event") == "done", F.col("seq"))).alias("end")).where("end is not null")
-    kept = events.where("event = 'points'").join(ended, "session").where("seq < end")
-    return kept.groupBy("session").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "payload"))), lambda s: s["payload"]).alias("payloads"))
+    return events.where("event = 'points'").join(ended, "session").where("seq < end").select("session", "seq", "payload")

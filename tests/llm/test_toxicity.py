@@ -105,3 +105,64 @@ def test_without_labels_or_rows(spark):
     none = T.train(docs, spark.createDataFrame([], LABELS))
     assert none is None and [tuple(r)[2:] for r in T.score(docs, none).collect()] == [(0.0, 0)]
     assert T.score(spark.createDataFrame([], DOCS), T.fit(*corpus(50, 5), epochs=1)).collect() == []
+
+
+def naive_score(model, text):
+    """Window by window and word by word, from the definition of the network."""
+    H, p = T.HIDDEN, {k: v.astype(float) for k, v in model.network.p.items()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    words = [w for w in (text or "").replace("\n", " ").replace("\t", " ").split(" ") if w]
+    best = None
+    starts = [0]
+    while starts[-1] + T.WINDOW < len(words):
+        starts.append(starts[-1] + T.STRIDE)
+    for s in starts:
+        some = words[s : s + T.WINDOW]
+        xs = [model.inputs(pa.array([w], pa.large_string()))[0].astype(float) for w in some]
+        states = {}
+        for d, order in (("f", range(len(xs))), ("b", reversed(range(len(xs))))):
+            h = np.zeros(H)
+            for t in order:
+                g = xs[t] @ p[f"W{d}"] + p[f"b{d}"]
+                z = sig(g[:H] + h @ p[f"U{d}"][:, :H])
+                r = sig(g[H : 2 * H] + h @ p[f"U{d}"][:, H : 2 * H])
+                n = np.tanh(g[2 * H :] + (r * h) @ p[f"U{d}"][:, 2 * H :])
+                h = (1 - z) * h + z * n
+                states[d, t] = h
+        if xs:
+            both = np.array([np.concatenate([states["f", t], states["b", t]]) for t in range(len(xs))])
+            e = np.tanh(both @ p["A"] + p["a"]) @ p["v"]
+            w = np.exp(e - e.max())
+            pooled = (w / w.sum()) @ both
+        else:
+            pooled = np.zeros(2 * H)
+        logit = pooled @ p["o"] + p["c"][0]
+        best = logit if best is None else max(best, logit)
+    return sig(model.scale * best + model.shift)
+
+
+def test_scores_are_the_naive_ones(model):
+    texts, _ = corpus(25, 8)
+    texts += [None, "", "one", " ".join(["grobs lar"] * 16), " ".join(["mo ten"] * 60) + "\n\tZwurm,"]
+    assert np.allclose(model.score(pa.array(texts)), [naive_score(model, t) for t in texts], atol=2e-4)
+
+
+def test_embeddings_are_learned():
+    one, more = (T.fit(*corpus(120, 6), epochs=n).embeddings for n in (1, 4))
+    assert not np.allclose(one.words, more.words, atol=0.01) and not np.allclose(one.chars, more.chars, atol=0.01)
+
+
+def test_fitting_is_bounded_by_bytes_and_repeats(spark, monkeypatch):
+    texts, toxic = corpus(200, 9)
+    data = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(1, texts[1], "en", "s", 0)] * 500 + [(2, "long " * 50000, "en", "s", 0)]
+    seen = []
+    monkeypatch.setattr(T, "fit", lambda t, y: seen.append((list(t), list(y))))
+    T.train(spark.createDataFrame(data, DOCS), spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], LABELS), sample_bytes=40_000)
+    got, labels = seen[0]
+    assert sum(len(t.encode()) for t in got) <= 40_000 and max(map(len, got)) <= 2500 and got.count(texts[1]) <= 1 and 0 < sum(labels) < len(labels)
+
+
+def test_parts_cover_all_texts(monkeypatch):
+    monkeypatch.setattr(T, "PART_BYTES", 50)
+    texts = pa.array(["x" * n for n in (0, 10, 200, 49, 1, 1, 0)] + [None])
+    assert [t for p in T.parts(texts, 3) for t in p.to_pylist()] == texts.to_pylist() and max(len(p) for p in T.parts(texts, 3)) <= 3

@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 from voxelspan.llm.common import words_of
 
-#: Distinct chunks a Python worker remembers, some 60 MB; others are encoded again in each batch.
-REMEMBERED = 300_000
+#: Distinct chunks a Python worker remembers, some 40 MB; others are encoded again in each batch.
+REMEMBERED = 200_000
 #: A space at an end of the text or beside white space, by Unicode's White_Space.
 _ODD_SPACE = r"^ | $| [\s\pZ\x{0B}\x{85}]|[\s\pZ\x{0B}\x{85}] "
 _ENCODERS: dict = {}

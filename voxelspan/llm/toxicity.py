@@ -1,9 +1,11 @@
 """Toxicity of whole texts: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as two kinds of input: the word itself, if the training texts have it, and its characters, as n-grams
-of bytes with the word's borders, pooled by maximum and mean. Both are read from tables of shrunken log-odds that the
-training labels give; in training a text's own label is left out of them. The network reads windows of WINDOW words
-that overlap by WINDOW - STRIDE; a document's score is the calibrated maximum over all its windows.
+of bytes with the word's borders. Each kind has a learned embedding, trained with the network (the characters' is the
+mean over a word's n-grams), and a table of shrunken log-odds that the training labels give (of the n-grams maximum and
+mean), in training without a text's own label. The network reads windows of WINDOW words that overlap by WINDOW -
+STRIDE; a document's score is the calibrated maximum over all its windows. A fifth of the labelled texts is kept out of
+training and calibrates.
 """
 
 from __future__ import annotations
@@ -20,11 +22,16 @@ from pyspark.sql import functions as F
 from voxelspan.llm.common import words_of
 
 WINDOW, STRIDE, HIDDEN, ATTEND = 32, 24, 8, 6
-GRAMS, BUCKETS = (4, 5), 1 << 20
-#: Labelled documents that the model is fitted on at most: those whose hashed doc_id comes first.
-SAMPLE = 3000
+GRAMS, BUCKETS = (4, 5), 1 << 19
+#: Labelled documents that the model is fitted on at most: those whose hashed doc_id comes first, as long as their texts
+#: together stay within SAMPLE_BYTES; a text of more than a sixteenth of that is left out of fitting.
+SAMPLE, SAMPLE_BYTES = 3000, 12 << 20
 SHRINK = 4.0
-FEATURES = 3 + 2 * len(GRAMS)
+#: Values of a word from the tables, of its own embedding and of its characters', whose n-grams share CHARS rows.
+BASE, WORD_DIM, CHAR_DIM, CHARS = 3 + 2 * len(GRAMS), 8, 8, 1 << 15
+FEATURES = BASE + WORD_DIM + CHAR_DIM
+#: Bytes of text that are scored at a time.
+PART_BYTES = 4 << 20
 
 
 def gram_buckets(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +48,7 @@ def gram_buckets(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
         h = h * np.uint64(1099511628211) + raw[at + k] + np.uint64(1)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(44)).astype(np.int64), count
+    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), count
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
@@ -68,11 +75,11 @@ class Tables:
     words: np.ndarray
     grams: list[np.ndarray]
 
-    def features(self, words: pa.Array) -> np.ndarray:
-        """(word, FEATURES) for distinct words."""
+    def features(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """(word, BASE) for distinct words, the place of each in the vocabulary (-1: none), and its first kind of n-grams."""
         lower = pc.utf8_lower(words)
         at = pc.fill_null(pc.index_in(lower, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False)
-        out = np.zeros((len(words), FEATURES), np.float32)
+        out, grams = np.zeros((len(words), BASE), np.float32), None
         if len(self.words):
             out[:, 0] = np.where(at >= 0, self.words[at], 0)
         out[:, 1] = at >= 0
@@ -80,7 +87,39 @@ class Tables:
         for k, n in enumerate(GRAMS):
             h, count = gram_buckets(lower, n)
             out[:, 3 + 2 * k], out[:, 4 + 2 * k] = pool(self.grams[k][h], count)
-        return out
+            grams = (h, count) if grams is None else grams
+        return out, at, grams
+
+
+class Embeddings:
+    """Rows of words, the first for those outside the vocabulary, and of character n-grams by bucket; learned by Adagrad."""
+
+    def __init__(self, vocabulary: int, rng: np.random.Generator):
+        self.words = (0.1 * rng.normal(size=(vocabulary + 1, WORD_DIM))).astype(np.float32)
+        self.chars = (0.1 * rng.normal(size=(CHARS, CHAR_DIM))).astype(np.float32)
+        self._seen = (np.zeros_like(self.words), np.zeros_like(self.chars))
+
+    def of(self, rows: np.ndarray, buckets: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """(word, WORD_DIM + CHAR_DIM) from each word's row and its n-grams' buckets, one word's after another's."""
+        mean = np.zeros((len(rows), CHAR_DIM), np.float32)
+        some = np.flatnonzero(count)
+        if len(some):
+            mean[some] = np.add.reduceat(self.chars[buckets & (CHARS - 1)], (np.cumsum(count) - count)[some]) / count[some, None]
+        return np.concatenate([self.words[rows], mean], 1)
+
+    def learn(self, grad: np.ndarray, rows: np.ndarray, buckets: np.ndarray, count: np.ndarray, rate: float = 0.01) -> None:
+        """One step against the gradient of what of() returned."""
+        own = np.zeros_like(self.words)
+        np.add.at(own, rows, grad[:, :WORD_DIM])
+        part = np.repeat(grad[:, WORD_DIM:] / np.maximum(count, 1)[:, None], count, axis=0)
+        key = buckets & (CHARS - 1)
+        grams = np.stack([np.bincount(key, part[:, k], CHARS) for k in range(CHAR_DIM)], 1).astype(np.float32)
+        for table, seen, g in zip((self.words, self.chars), self._seen, (own, grams)):
+            seen += g * g
+            table -= rate * g / (np.sqrt(seen) + 1e-4)
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "chars": self.chars}
 
 
 def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +178,7 @@ class Network:
         return pooled @ self.p["o"] + self.p["c"]
 
     def gradients(self, x: np.ndarray, index: np.ndarray, lengths: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict:
-        """Of the weighted cross-entropy of windows, by every parameter."""
+        """Of the weighted cross-entropy of windows, by every parameter, and by x under that name."""
         p, H, keep = self.p, HIDDEN, []
         logits = self.run(self.project(x), index, lengths, keep)
         states, u, w, pooled = keep.pop()
@@ -169,6 +208,7 @@ class Network:
             np.add.at(dgates[:, 0 if d == "f" else 3 * H : 3 * H if d == "f" else 6 * H], index[:m, t], np.concatenate([dzr, dn], 1))
         for d, part in (("f", dgates[:, : 3 * H]), ("b", dgates[:, 3 * H :])):
             grad[f"W{d}"], grad[f"b{d}"] = x.T @ part, part.sum(0)
+        grad["x"] = dgates[:, : 3 * H] @ p["Wf"].T + dgates[:, 3 * H :] @ p["Wb"].T
         return grad
 
     def logits(self, gates: np.ndarray, codes: np.ndarray, offsets: np.ndarray, size: int = 2048) -> tuple[np.ndarray, np.ndarray]:
@@ -184,31 +224,71 @@ class Network:
         return text, out
 
 
+def parts(texts: pa.Array, size: int = 1500) -> Iterator[pa.Array]:
+    """texts in runs of at most ``size`` and some PART_BYTES, a longer text alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        before = ends[a - 1] if a else 0
+        b = min(a + size, max(a + 1, int(np.searchsorted(ends, before + PART_BYTES, "right"))))
+        yield texts.slice(a, b - a)
+        a = b
+
+
 @dataclass
 class Model:
     tables: Tables
+    embeddings: Embeddings
     network: Network
-    scale: float
-    shift: float
-
-    def score(self, texts: pa.Array, size: int = 1500) -> np.ndarray:
-        """From 0 to 1 for each text, null and empty ones too."""
-        out = []
-        for a in range(0, len(texts), size):
-            codes, offsets, words = words_of(texts.slice(a, size))
-            gates = self.network.project(np.concatenate([self.tables.features(words), np.zeros((1, FEATURES), np.float32)]))
+    scale: float = 1.0
+    shift: float = 0.0
+
+    def inputs(self, words: pa.Array) -> np.ndarray:
+        """(word, FEATURES) of distinct words."""
+        base, at, (h, count) = self.tables.features(words)
+        return np.concatenate([base, self.embeddings.of(at + 1, h, count)], 1)
+
+    def highest(self, texts: pa.Array) -> np.ndarray:
+        """The highest logit of each text's windows."""
+        out = [np.zeros(0)]
+        for part in parts(texts):
+            codes, offsets, words = words_of(part)
+            gates = self.network.project(np.concatenate([self.inputs(words), np.zeros((1, FEATURES), np.float32)]))
             text, logit = self.network.logits(gates, codes, offsets)
             top = np.full(len(offsets) - 1, -np.inf, np.float64)
             np.maximum.at(top, text, logit)
-            out.append(sigmoid(self.scale * top + self.shift))
-        return np.concatenate(out) if out else np.zeros(0)
+            out.append(top)
+        return np.concatenate(out)
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """From 0 to 1 for each text, null and empty ones too."""
+        return sigmoid(self.scale * self.highest(texts) + self.shift)
+
+
+def calibrated(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of logits, by Newton's method, drawn slightly to a scale of 1."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        q = sigmoid(a * top + b)
+        g = np.array([((q - y) * top).sum() + 0.5 * (a - 1), (q - y).sum()])
+        s = q * (1 - q) + 1e-6
+        h = np.array([[(s * top * top).sum() + 0.5, (s * top).sum()], [(s * top).sum(), s.sum() + 1e-3]])
+        move = np.clip(np.linalg.solve(h, g), -1, 1)
+        a, b = max(a - move[0], 0.05), b - move[1]
+    return float(a), float(b)
 
 
 def fit(texts: list[str | None], labels: list[int], epochs: int = 14, seed: int = 0) -> Model | None:
-    """None if one of the two labels is missing."""
+    """None if one of the two labels is missing. With too few of either to set some apart, all train and calibrate."""
     y = np.asarray(labels, np.int64)
     if not 0 < y.sum() < len(y):
         return None
+    apart = np.zeros(len(y), bool)
+    apart[np.argsort(y, kind="stable")] = np.arange(len(y)) % 5 == 4
+    if not all(0 < y[m].sum() < m.sum() for m in (apart, ~apart)):
+        apart[:] = False
+    kept, kept_y = pa.array([t for t, m in zip(texts, apart) if m], pa.large_string()), y[apart]
+    texts, y = [t for t, m in zip(texts, apart) if not m], y[~apart]
     rng, rate = np.random.default_rng(seed), float(y.mean())
     codes, offsets, words = words_of(pa.array(texts, pa.large_string()))
     lower = pc.utf8_lower(words).dictionary_encode()
@@ -238,17 +318,30 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 14, seed: int
     final = Tables(words.take(pa.array(common)), log_odds(both[0][common], both[1][common], rate), [log_odds(a, b, rate) for a, b in seen[1:]])
     # a text's own label is left out: toxic texts see the tables with one toxic text less, clean ones with one clean less
     known = (both[0] + both[1] >= 2).astype(np.float32)
-    feats = [made(less).features(words) for less in ((0, 1), (1, 0))]
+    (first_feats, _, (grams, n_grams)), (other_feats, _, _) = (made(less).features(words) for less in ((0, 1), (1, 0)))
+    feats = [first_feats, other_feats]
     for f in feats:
         f[:, 0] *= known
         f[:, 1] = known
-    x = np.concatenate([*feats, np.zeros((1, FEATURES), np.float32)])
+    x = np.concatenate([*feats, np.zeros((1, BASE), np.float32)])
+    embeddings, row_of = Embeddings(len(common), rng), np.zeros(len(words) + 1, np.int64)
+    row_of[common] = np.arange(len(common)) + 1
+    first_gram = np.concatenate([np.cumsum(n_grams) - n_grams, [0]])
+    n_grams = np.concatenate([n_grams, [0]])
+
+    def learned(used: np.ndarray, forget: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Embedding rows, n-grams and their counts of rows of x; a share of the words is read as unknown."""
+        word = np.where(used < 2 * len(words), used % max(1, len(words)), len(words))
+        n = n_grams[word]
+        at = np.repeat(first_gram[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.where(rng.random(len(word)) < forget, 0, row_of[word]), grams[at], n
+
     own = np.concatenate([codes + len(words) * y[text_of], np.full(WINDOW, len(x) - 1)])
     wtext, start, length = windows_of(np.diff(offsets))
     where = offsets[wtext] + start
     network, step = Network(seed), 0
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
-    strength = np.concatenate([[0], np.cumsum(np.maximum(x[own[: len(codes)], 3:].max(1) if len(codes) else np.zeros(0), 0) ** 2)])
+    strength = np.concatenate([[0], np.cumsum(np.maximum(x[own[: len(codes)], 3:BASE].max(1) if len(codes) else np.zeros(0), 0) ** 2)])
     logit = strength[where + length] - strength[where]  # before the first epoch
     for epoch in range(epochs):
         # windows of the epoch: each text's highest, and for clean texts some others
@@ -264,7 +357,9 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 14, seed: int
             index = own[where[some][:, None] + np.arange(WINDOW)]
             used, local = np.unique(index, return_inverse=True)
             t = y[wtext[some]].astype(np.float32)
-            grad = network.gradients(x[used], local.reshape(index.shape), length[some], t, np.full(len(some), 1 / len(some), np.float32))
+            parts_of = learned(used, 0.2)
+            grad = network.gradients(np.concatenate([x[used], embeddings.of(*parts_of)], 1), local.reshape(index.shape), length[some], t, np.full(len(some), 1 / len(some), np.float32))
+            embeddings.learn(grad.pop("x")[:, BASE:], *parts_of)
             step += 1
             rate_now = 0.02 * (1 - epoch / epochs) + 0.001
             for k, g in grad.items():
@@ -272,24 +367,22 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 14, seed: int
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 network.p[k] -= (rate_now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        parts = []
+        seen_logits = []
         for lo in range(0, len(y), 128):
             cut = offsets[lo : lo + 129]
             used, local = np.unique(own[cut[0] : cut[-1]], return_inverse=True)
-            gates = network.project(np.concatenate([x[used], np.zeros((1, FEATURES), np.float32)]))
-            parts.append(network.logits(gates, local, cut - cut[0])[1])
-        logit = np.concatenate(parts)
-    top = np.full(len(y), -np.inf)
-    np.maximum.at(top, wtext, logit.astype(np.float64))
-    a, b = 1.0, 0.0
-    for _ in range(50):  # calibration by Newton's method, drawn slightly to a = 1
-        q = sigmoid(a * top + b)
-        g = np.array([((q - y) * top).sum() + 0.5 * (a - 1), (q - y).sum()])
-        s = q * (1 - q) + 1e-6
-        h = np.array([[(s * top * top).sum() + 0.5, (s * top).sum()], [(s * top).sum(), s.sum() + 1e-3]])
-        move = np.clip(np.linalg.solve(h, g), -1, 1)
-        a, b = max(a - move[0], 0.05), b - move[1]
-    return Model(final, network, float(a), float(b))
+            inputs = np.concatenate([x[used], embeddings.of(*learned(used))], 1)
+            gates = network.project(np.concatenate([inputs, np.zeros((1, FEATURES), np.float32)]))
+            seen_logits.append(network.logits(gates, local, cut - cut[0])[1])
+        logit = np.concatenate(seen_logits)
+    model = Model(final, embeddings, network)
+    if len(kept):
+        model.scale, model.shift = calibrated(model.highest(kept), kept_y)
+    else:
+        top = np.full(len(y), -np.inf)
+        np.maximum.at(top, wtext, logit.astype(np.float64))
+        model.scale, model.shift = calibrated(top, y)
+    return model
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):
@@ -297,13 +390,30 @@ def held_out(doc_id: str = "doc_id", folds: int = 5):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fitted on at most ``sample`` labelled documents that are not held out; null labels don't count, of several for one document the largest does."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Fitted on at most ``sample`` labelled documents and ``sample_bytes`` of text, none of them held out.
+
+    Null labels don't count, of several for one document the largest does. Of rows that repeat a document's text one
+    counts. Only ids, hashes and lengths of the candidates come to the driver before the texts that fit are chosen.
+    """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("_toxic"))
     some = marked.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col("doc_id").alias("_d"), F.col("text").cast("string").alias("_t")).join(F.broadcast(some), F.col("_d") == F.col("_id"))
-    got = sorted(rows.select("_id", "_t", "_toxic").collect(), key=lambda r: (r["_id"], r["_t"] or ""))
-    return fit([r["_t"] for r in got], [r["_toxic"] for r in got])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").alias("_d"), text.alias("_t"), F.xxhash64(text).alias("_h"))
+    sized = own.join(F.broadcast(some), F.col("_d") == F.col("_id")).where(F.octet_length("_t") <= sample_bytes // 16)
+    sized = sized.groupBy("_id", "_h").agg(F.max("_toxic").alias("_toxic"), F.max(F.octet_length("_t")).alias("_n"))
+    chosen, room = [], sample_bytes
+    for r in sized.orderBy(F.xxhash64("_id"), "_id", "_h").limit(sample).collect():
+        if r["_n"] <= room:
+            chosen.append((r["_id"], r["_h"], r["_toxic"]))
+            room -= r["_n"]
+    if not 0 < sum(t for *_, t in chosen) < len(chosen):
+        return None
+    picked = F.broadcast(docs.sparkSession.createDataFrame([c[:2] for c in chosen], "_i bigint, _k bigint"))  # at most ``sample`` rows
+    texts = own.join(picked, (F.col("_d") == F.col("_i")) & (F.col("_h") == F.col("_k"))).groupBy("_i", "_k").agg(F.first("_t").alias("_t"))
+    found = {(r["_i"], r["_k"]): r["_t"] for r in texts.collect()}
+    chosen = sorted(c for c in chosen if c[:2] in found)
+    return fit([found[c[:2]] for c in chosen], [c[2] for c in chosen])
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -318,6 +428,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             s = np.zeros(batch.num_rows) if held.value is None else held.value.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+        pa.default_memory_pool().release_unused()  # a worker lives on and serves other stages
 
     scored = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -331,5 +442,6 @@ def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
         at = names.index("text")
         for batch in batches:
             yield batch if held.value is None else batch.filter(pa.array(held.value.score(batch.column(at)) < 0.5))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)

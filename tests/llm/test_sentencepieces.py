@@ -60,3 +60,15 @@ def test_rows(spark):
 def test_empty(spark):
     assert S.round_trip(spark.createDataFrame([], DOCS), PATH).collect() == []
     assert S.Pieces.load(PATH).decode(np.zeros(0, int)) == ""
+
+
+def test_decode_of_ids_without_text():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, mine = sentencepiece.SentencePieceProcessor(model_file=path), S.model(path)
+    some = library.encode("the cat")
+    for ids in ([0], [1, *some, 2], [*some, 0, *some], [some[0], 1, some[1]], []):
+        assert mine.decode(np.array(ids, np.int64)) == library.decode(ids), ids
+    bare = S.Pieces([("▁a", -1.0), ("b", -2.0)], {}, 0, False, [1, 2])
+    assert bare.decode(np.array([1, 0, 2, 77])) == "a ⁇ b"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -38,6 +39,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: the driver and Python workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for a shuffle whose size is not known: what the session is set to."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspan.llm.common import materialize
+from voxelspan.llm.common import give_back, materialize
 from voxelspan.llm.tokens import encoder, with_end
 
 #: Pieces that are packed together.
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
                 columns = [some.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(at + np.arange(len(doc)))]
                 at += len(doc)
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "slot"])
-        pa.default_memory_pool().release_unused()  # a worker lives on and serves other stages
+        give_back()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, slot bigint"
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)

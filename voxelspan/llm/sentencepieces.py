@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from voxelspan.llm.tokens import gather
 
 SPACE = "▁"
+# Fixed value: what the library decodes the unknown id to.
+UNKNOWN = " ⁇ ".encode()
 #: Distinct chunks and pairs of pieces that a Python worker remembers.
 REMEMBERED, PAIRS = 300_000, 500_000
 _MODELS: dict = {}
@@ -50,6 +52,8 @@ class Pieces:
         #: Bytes that an id stands for.
         self.bytes_of = {i: p.replace(SPACE, " ").encode() for p, i in self.id.items()}
         self.bytes_of |= {i: bytes([b]) for b, i in byte_ids.items()}
+        if unknown >= 0:
+            self.bytes_of[unknown] = UNKNOWN
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -170,9 +174,15 @@ class Pieces:
         return got
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, without the space that encoding puts first; bytes that are no UTF-8 become U+FFFD."""
-        data = b"".join(map(self.bytes_of.get, ids.tolist()))
-        return (data[1:] if self.prefix and data[:1] == b" " else data).decode("utf-8", "replace")
+        """The text of ids, without the space that encoding puts first.
+
+        Bytes that are no UTF-8 become U+FFFD, the unknown id the mark that the library writes; control ids and ids
+        outside the vocabulary are nothing.
+        """
+        parts = [x for x in (self.bytes_of.get(i, b"") for i in ids.tolist()) if x]
+        if self.prefix and parts and parts[0][:1] == b" " and parts[0] is not UNKNOWN:
+            parts[0] = parts[0][1:]
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 def model(path: str) -> Pieces:

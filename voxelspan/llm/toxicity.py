@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspan.llm.common import words_of
+from voxelspan.llm.common import give_back, words_of
 
 WINDOW, STRIDE, HIDDEN, ATTEND = 32, 24, 8, 6
 GRAMS, BUCKETS = (4, 5), 1 << 19
@@ -31,7 +31,7 @@ SHRINK = 4.0
 BASE, WORD_DIM, CHAR_DIM, CHARS = 3 + 2 * len(GRAMS), 8, 8, 1 << 15
 FEATURES = BASE + WORD_DIM + CHAR_DIM
 #: Bytes of text that are scored at a time.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 
 
 def gram_buckets(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -413,7 +413,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     texts = own.join(picked, (F.col("_d") == F.col("_i")) & (F.col("_h") == F.col("_k"))).groupBy("_i", "_k").agg(F.first("_t").alias("_t"))
     found = {(r["_i"], r["_k"]): r["_t"] for r in texts.collect()}
     chosen = sorted(c for c in chosen if c[:2] in found)
-    return fit([found[c[:2]] for c in chosen], [c[2] for c in chosen])
+    model = fit([found[c[:2]] for c in chosen], [c[2] for c in chosen])
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -428,7 +430,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             s = np.zeros(batch.num_rows) if held.value is None else held.value.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
-        pa.default_memory_pool().release_unused()  # a worker lives on and serves other stages
+            give_back()
 
     scored = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -442,6 +444,6 @@ def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
         at = names.index("text")
         for batch in batches:
             yield batch if held.value is None else batch.filter(pa.array(held.value.score(batch.column(at)) < 0.5))
-        pa.default_memory_pool().release_unused()
+            give_back()
 
     return docs.mapInArrow(run, schema)

@@ -1,7 +1,8 @@
 """Quality rules as a bitmask ledger, in DataFrame operations only.
 
-``ledger`` evaluates every rule once and keeps a failure bit for each together with the measurements. Policies are
-versioned bit masks over that ledger: ``apply_policy`` and ``ablation`` never look at a text again.
+``ledger`` evaluates every rule once and keeps a failure bit for each together with the measurements. ``record`` writes
+it as a table. Policies are versioned bit masks over that ledger: ``apply_policy`` and ``ablation`` never look at a text
+again, and a new version of a policy reads the table that is there.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelspan.llm.common import materialize
+
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
 
@@ -109,8 +112,12 @@ def ledger(docs: DataFrame) -> DataFrame:
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    # rand() keeps predicates on the bits above: pushed down, they would repeat each step's expressions in the next's
-    return measure(docs).withColumn("fail_bits", total.cast("bigint") + F.floor(F.rand(0)))
+    return measure(docs).withColumn("fail_bits", total.cast("bigint"))
+
+
+def record(docs: DataFrame) -> DataFrame:
+    """The ledger of docs as a table in the shared folder: doc_id, measurements and fail_bits, not the texts."""
+    return materialize(ledger(docs.select("doc_id", "text")).drop("text"))
 
 
 def apply_policy(entries: DataFrame, p: Policy, column: str = "kept") -> DataFrame:
@@ -135,8 +142,8 @@ def ablation(entries: DataFrame, p: Policy) -> DataFrame:
 
 
 def judge(docs: DataFrame, p: Policy = POLICIES[-1]) -> DataFrame:
-    """doc_id, the measurements, fail_bits, base_failed and kept of each row of docs."""
-    entries = apply_policy(ledger(docs.select("doc_id", "text")), p)
+    """doc_id, the measurements, fail_bits, base_failed and kept of each row of docs, from its recorded ledger."""
+    entries = apply_policy(record(docs), p)
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaim", "fail_bits",
         (F.col("fail_bits").bitwiseAND(F.lit(BASE_MASK)) != 0).alias("base_failed"), "kept",
@@ -144,9 +151,14 @@ def judge(docs: DataFrame, p: Policy = POLICIES[-1]) -> DataFrame:
 
 
 def keep(docs: DataFrame, p: Policy = POLICIES[-1]) -> DataFrame:
-    """The rows of docs that the policy keeps, with docs' own columns."""
+    """The rows of docs that the policy keeps, with docs' own columns.
+
+    The verdict is unpacked from an array of one, which keeps the filter above the measurements: pushed into them, it
+    would repeat each step's expressions in the next's.
+    """
     marked = ledger(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"))
-    return apply_policy(marked, p, "_kept").where("_kept").select("_row.*")
+    judged = apply_policy(marked, p, "_kept").select("_row", F.explode(F.array("_kept")).alias("_kept"))
+    return judged.where("_kept").select("_row.*")
 
 
 #: DuckDB SQL for judge() over documents.

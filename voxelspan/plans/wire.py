@@ -200,7 +200,7 @@ def upload_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH o AS (SELECT event_id, ['true', 'T', '1', 'yes', '', 'TRUE', 'on', 't', 'false'][CAST(event_id % 9 AS INT) + 1] AS flag, ['0', '12.5', 'x', '', '100'][CAST(event_id % 5 AS INT) + 1] AS density FROM events)
 SELECT event_id, flag IN ('1', 't', 'T', 'TRUE', 'true', 'True') AS flag, coalesce(TRY_CAST(density AS DOUBLE), 0) AS density, CAST(0.1 AS DOUBLE) + coalesce(TRY_CAST(density AS DOUBLE), 0) / 100 * CAST(0.6 AS DOUBLE) AS keep_rate FROM o""")
-def option_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parsed_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.pmod("event_id", F.lit(len(values))).cast("int"))
     flag, density = P.parsed_flag(pick(["true", "T", "1", "yes", "", "TRUE", "on", "t", "false"])), P.parsed_number(pick(["0", "12.5", "x", "", "100"]))

@@ -34,21 +34,26 @@ FEATURES = BASE + WORD_DIM + CHAR_DIM
 PART_BYTES = 2 << 20
 
 
-def gram_buckets(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+def gram_buckets(words: pa.Array, n: int, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of each word with its borders, one after another, and how many each word has."""
-    joined = b"\x01" + b"\x01".join(w.encode("utf-8", "surrogatepass") for w in words.to_pylist()) + b"\x01"
-    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    count = np.maximum(0, sizes - n + 3)
-    starts = np.cumsum(sizes + 1) - sizes - 1  # of the border before each word
-    ends = np.cumsum(count)
-    at = np.repeat(starts - (ends - count), count) + np.arange(int(count.sum()))
-    raw = np.frombuffer(joined, np.uint8).astype(np.uint64)
-    h = np.full(len(at), n, np.uint64)
-    for k in range(n):
-        h = h * np.uint64(1099511628211) + raw[at + k] + np.uint64(1)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), count
+    found, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(words), step):  # some words at a time: an n-gram takes several numbers on its way
+        some = words.slice(k, step)
+        joined = b"\x01" + b"\x01".join(w.encode("utf-8", "surrogatepass") for w in some.to_pylist()) + b"\x01"
+        sizes = pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64)
+        count = np.maximum(0, sizes - n + 3)
+        starts = np.cumsum(sizes + 1) - sizes - 1  # of the border before each word
+        ends = np.cumsum(count)
+        at = np.repeat(starts - (ends - count), count) + np.arange(int(count.sum()))
+        raw = np.frombuffer(joined, np.uint8).astype(np.uint64)
+        h = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            h = h * np.uint64(1099511628211) + raw[at + i] + np.uint64(1)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        found.append((h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32))
+        counts.append(count)
+    return np.concatenate(found), np.concatenate(counts)
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
@@ -224,17 +229,22 @@ class Network:
         return text, out
 
 
-def parts(texts: pa.Array, size: int = 1500) -> Iterator[pa.Array]:
-    """texts in runs of at most ``size`` and some PART_BYTES, a longer text alone."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    a = 0
-    while a < len(texts):
+def runs(sizes: np.ndarray, most: int, rows: int = 1500) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of at most ``rows`` whose sizes add up to ``most`` or less; a larger one alone."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(ends):
         before = ends[a - 1] if a else 0
-        b = min(a + size, max(a + 1, int(np.searchsorted(ends, before + PART_BYTES, "right"))))
-        yield texts.slice(a, b - a)
+        b = min(a + rows, max(a + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield a, b
         a = b
 
 
+def parts(texts: pa.Array, rows: int = 1500) -> Iterator[pa.Array]:
+    """texts in runs of at most ``rows`` and some PART_BYTES, a longer text alone."""
+    for a, b in runs(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64), PART_BYTES, rows):
+        yield texts.slice(a, b - a)
+
+
 @dataclass
 class Model:
     tables: Tables
@@ -305,8 +315,8 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 14, seed: int
     for n in GRAMS:
         h, count = gram_buckets(words, n)
         first, sums = np.cumsum(count) - count, (np.zeros(BUCKETS), np.zeros(BUCKETS))
-        for lo in range(0, len(y), 128):  # some texts at a time: their n-grams are many
-            a, b = np.searchsorted(text, [lo, lo + 128])
+        for lo, hi in runs(np.bincount(text, count[word], len(y)), 1_000_000):  # some texts at a time: their n-grams are many
+            a, b = np.searchsorted(text, [lo, hi])
             m = count[word[a:b]]
             at = np.repeat(first[word[a:b]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
             key = np.unique(np.repeat(text[a:b], m) * BUCKETS + h[at])
@@ -368,8 +378,8 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 14, seed: int
                 v += 0.01 * (g * g - v)
                 network.p[k] -= (rate_now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         seen_logits = []
-        for lo in range(0, len(y), 128):
-            cut = offsets[lo : lo + 129]
+        for lo, hi in runs(np.diff(offsets), 50_000):
+            cut = offsets[lo : hi + 1]
             used, local = np.unique(own[cut[0] : cut[-1]], return_inverse=True)
             inputs = np.concatenate([x[used], embeddings.of(*learned(used))], 1)
             gates = network.project(np.concatenate([inputs, np.zeros((1, FEATURES), np.float32)]))
@@ -437,13 +447,14 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs whose score is below 0.5, with all their columns."""
-    held, names, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns, docs.schema
+    """The rows of docs whose score is below 0.5, with all their columns; only texts go to Python, only marks come back."""
+    if model is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
-        for batch in batches:
-            yield batch if held.value is None else batch.filter(pa.array(held.value.score(batch.column(at)) < 0.5))
-            give_back()
+    def clean(texts: pa.Array) -> pa.Array:
+        marks = pa.array(held.value.score(texts) < 0.5)
+        give_back()
+        return marks
 
-    return docs.mapInArrow(run, schema)
+    return docs.where(F.arrow_udf(clean, "boolean")(F.col("text").cast("string")))

@@ -5,7 +5,7 @@ every rank in the order that the planes above give, zeros before ones. With the
 any id is read, counted and located in one step per plane, touching one block of each.
 
 File: MAGIC, length of the header (u64), header (JSON), sections. Every section is zstd-compressed. Planes are cut
-into blocks of BLOCK bits, so that a lookup decompresses one block a plane.
+into blocks of BLOCK bits with the ones before each, so that a lookup decompresses one small block a plane.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from voxelspan.llm.common import materialize, shared_dir
 from voxelspan.llm.tokens import encoder, with_end
 
 MAGIC = b"VXWM0001"
-BLOCK = 1 << 19
+BLOCK = 1 << 15
 #: Bytes of text that a shard should hold.
 SHARD_BYTES = 24 << 20
 
@@ -85,6 +85,7 @@ class Shard:
         self.ends = np.frombuffer(self._section(header["ends"]), "<i8")
         self.doc_ids = json.loads(self._section(header["docs"]))
         self._held: dict = {}
+        self._sums: dict = {}
 
     @classmethod
     def of(cls, data: bytes) -> Shard:
@@ -94,25 +95,36 @@ class Shard:
         return self._unzip(self._read(self._base + span[0], span[1] - span[0]))
 
     def _block(self, level: int, k: int) -> np.ndarray:
-        """Bits of block k of a plane; the last few dozen blocks are kept."""
+        """Block k of a plane, eight bits a byte; the last few hundred blocks are kept."""
         if (level, k) not in self._held:
-            if len(self._held) >= 64:
+            if len(self._held) >= 512:
                 self._held.pop(next(iter(self._held)))
-            self._held[level, k] = np.unpackbits(np.frombuffer(self._section(self._planes[level]["blocks"][k]), np.uint8), bitorder="little")
+            self._held[level, k] = np.frombuffer(self._section(self._planes[level]["blocks"][k]), np.uint8)
         return self._held[level, k]
 
     def _ones(self, level: int, i: int) -> int:
         """Ones of a plane before place i."""
         k, r = divmod(i, BLOCK)
-        return self._planes[level]["ones"][k] + (int(np.count_nonzero(self._block(level, k)[:r])) if r else 0)
+        ones = self._planes[level]["ones"][k]
+        if not r:
+            return ones
+        block, whole = self._block(level, k), r >> 3
+        rest = int(block[whole]) & (1 << (r & 7)) - 1 if r & 7 else 0
+        return ones + int(np.bitwise_count(block[:whole]).sum(dtype=np.int64)) + rest.bit_count()
+
+    def _before(self, level: int, bit: int) -> np.ndarray:
+        """How many of the bit a plane has before each of its blocks, and in all."""
+        if (level, bit) not in self._sums:
+            ones = np.array(self._planes[level]["ones"])
+            self._sums[level, bit] = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
+        return self._sums[level, bit]
 
     def _select(self, level: int, bit: int, r: int) -> int:
         """Place of the bit's occurrence number r (from 0) in a plane."""
-        ones = np.array(self._planes[level]["ones"])
-        before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
+        before = self._before(level, bit)
         k = int(np.searchsorted(before, r, "right")) - 1
-        width = min(BLOCK, self.n - k * BLOCK)
-        return k * BLOCK + int(np.flatnonzero(self._block(level, k)[:width] == bit)[r - before[k]])
+        bits = np.unpackbits(self._block(level, k), count=min(BLOCK, self.n - k * BLOCK), bitorder="little")
+        return k * BLOCK + int(np.flatnonzero(bits == bit)[r - before[k]])
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -121,7 +133,7 @@ class Shard:
         value = 0
         for level in range(self.levels):
             k, r = divmod(i, BLOCK)
-            bit, ones = int(self._block(level, k)[r]), self._ones(level, i)
+            bit, ones = int(self._block(level, k)[r >> 3]) >> (r & 7) & 1, self._ones(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             value = value << 1 | bit
         return int(self.alphabet[value])
@@ -159,7 +171,10 @@ class Shard:
         """All ids in order: from the lowest plane up, each plane's order is undone by its own bits."""
         x = np.zeros(self.n, np.uint32 if self.levels > 16 else np.uint16)
         for level in range(self.levels - 1, -1, -1):
-            plane = b"".join(self._section(s) for s in self._planes[level]["blocks"])
+            spans = self._planes[level]["blocks"]  # one after another in the file: a plane is read at once
+            first = spans[0][0] if spans else 0
+            raw = self._read(self._base + first, spans[-1][1] - first) if spans else b""
+            plane = b"".join(self._unzip(raw[a - first : b - first]) for a, b in spans)
             bits = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little").astype(bool)
             above = np.empty_like(x)
             above[~bits] = x[: self.zeros[level]]

@@ -297,8 +297,16 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 14, seed: int
     apart[np.argsort(y, kind="stable")] = np.arange(len(y)) % 5 == 4
     if not all(0 < y[m].sum() < m.sum() for m in (apart, ~apart)):
         apart[:] = False
-    kept, kept_y = pa.array([t for t, m in zip(texts, apart) if m], pa.large_string()), y[apart]
-    texts, y = [t for t, m in zip(texts, apart) if not m], y[~apart]
+    model, top = trained([t for t, m in zip(texts, apart) if not m], y[~apart], epochs, seed)
+    give_back()  # what training held is not there while the other texts are scored
+    if apart.any():
+        top = model.highest(pa.array([t for t, m in zip(texts, apart) if m], pa.large_string()))
+    model.scale, model.shift = calibrated(top, y[apart] if apart.any() else y)
+    return model
+
+
+def trained(texts: list[str | None], y: np.ndarray, epochs: int, seed: int) -> tuple[Model, np.ndarray]:
+    """An uncalibrated model, and the highest logit of each text."""
     rng, rate = np.random.default_rng(seed), float(y.mean())
     codes, offsets, words = words_of(pa.array(texts, pa.large_string()))
     lower = pc.utf8_lower(words).dictionary_encode()
@@ -323,6 +331,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 14, seed: int
             for label, total in zip((1, 0), sums):
                 total += np.bincount(key[y[key // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
         seen.append(sums)
+    del pairs, text, word
     common = np.flatnonzero(both[0] + both[1] >= 2)
     made = lambda less: Tables(words, log_odds(np.maximum(both[0] - less[0], 0), np.maximum(both[1] - less[1], 0), rate), [log_odds(np.maximum(a - less[0], 0), np.maximum(b - less[1], 0), rate) for a, b in seen[1:]])
     final = Tables(words.take(pa.array(common)), log_odds(both[0][common], both[1][common], rate), [log_odds(a, b, rate) for a, b in seen[1:]])
@@ -385,14 +394,9 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 14, seed: int
             gates = network.project(np.concatenate([inputs, np.zeros((1, FEATURES), np.float32)]))
             seen_logits.append(network.logits(gates, local, cut - cut[0])[1])
         logit = np.concatenate(seen_logits)
-    model = Model(final, embeddings, network)
-    if len(kept):
-        model.scale, model.shift = calibrated(model.highest(kept), kept_y)
-    else:
-        top = np.full(len(y), -np.inf)
-        np.maximum.at(top, wtext, logit.astype(np.float64))
-        model.scale, model.shift = calibrated(top, y)
-    return model
+    top = np.full(len(y), -np.inf)
+    np.maximum.at(top, wtext, logit.astype(np.float64))
+    return Model(final, embeddings, network), top
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):

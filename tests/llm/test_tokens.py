@@ -1,4 +1,5 @@
 import random
+import string
 import zlib
 
 import numpy as np
@@ -27,6 +28,18 @@ def test_ids_are_the_librarys(name):
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_of_every_latin_letter_with_marks(name):
+    rng = random.Random(2)
+    letters, marks = [chr(k) for k in range(0x41, 0x250)], list(string.punctuation) + ["...", "'s", "***!", "'re.", "́", "̸"]
+    texts = [a + c + b + m for c in letters for a, b, m in (("", "", ""), ("x", "Y", ","), ("É", "ñ", rng.choice(marks)))]
+    texts = [" ".join(rng.choices(texts, k=6)) for _ in range(3000)] + texts + [w + m for w in ("Word", "naïve", "ª", "ß") for m in marks]
+    e = Encoder(public_tokenizers.path(name))
+    ids, ends = e.encode(pa.array(texts, pa.string()))
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def library_ids(texts, name, end=2):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]

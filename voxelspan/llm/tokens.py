@@ -9,6 +9,7 @@ Special tokens are treated as the library does by default: their strings in a te
 from __future__ import annotations
 
 import os
+import string
 from array import array
 
 import numpy as np
@@ -19,6 +20,8 @@ from voxelspan.llm.common import words_of
 
 #: Distinct chunks a Python worker remembers, some 40 MB; others are encoded again in each batch.
 REMEMBERED = 200_000
+#: Marks that may follow a word's letters: ASCII's but the apostrophe.
+MARKS = string.punctuation.replace("'", "")
 #: A space at an end of the text or beside white space, by Unicode's White_Space.
 _ODD_SPACE = r"^ | $| [\s\pZ\x{0B}\x{85}]|[\s\pZ\x{0B}\x{85}] "
 _ENCODERS: dict = {}
@@ -39,12 +42,16 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         self.spaced = "ByteLevel" == type(self.library.pre_tokenizer).__name__  # tokens carry the space before them
         self.seen: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {k: byte_level.pre_tokenize_str(chr(k))[0][0] for k in range(0xA1, 0x100)}  # the vocabulary's letters for Latin-1 ones
 
     def _chunks(self, chunks: list[str], lead: str) -> list[bytes]:
         found = [self.seen.get(lead + c) for c in chunks]
@@ -53,18 +60,30 @@ class Encoder:
         mark = "Ġ" if lead else ""
         for i in missing:
             c = chunks[i]
-            if c.isascii() and c.isalpha():  # one word for the merges, nothing to normalise but case
-                found[i] = array("I", [t.id for t in self.model.tokenize(mark + c if self.spaced else c.lower())]).tobytes()
+            word = c.rstrip(MARKS)
+            if word.isalpha() and (word.isascii() or max(word) <= "ÿ"):  # one word for the merges, nothing to normalise but case
+                letters = (mark + word if self.spaced else word.lower()) if word.isascii() else (mark + word.translate(self.bytes) if self.spaced else word.lower().translate(self.bytes))
+                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                found[i] = ids if len(word) == len(c) else ids + self._tail(c[len(word) :])
             else:
                 slow.append(i)
         for a in range(0, len(slow), 4096):
             some = slow[a : a + 4096]
-            for i, e in zip(some, self.library.encode_batch([lead + chunks[i] for i in some], add_special_tokens=False)):
+            for i, e in zip(some, self.library.encode_batch_fast([lead + chunks[i] for i in some], add_special_tokens=False)):
                 found[i] = array("I", e.ids).tobytes()
         for i in missing[: max(0, REMEMBERED - len(self.seen))]:
             self.seen[lead + chunks[i]] = found[i]
         return found
 
+    def _tail(self, marks: str) -> bytes:
+        """Ids of marks behind a word, which both kinds of vocabulary part from its letters; long ones aren't remembered."""
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = array("I", self.library.encode(marks, add_special_tokens=False).ids).tobytes()
+            if len(marks) <= 3:
+                self.tails[marks] = ids
+        return ids
+
     def _pack(self, found: list[bytes], codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
@@ -90,7 +109,7 @@ class Encoder:
         found = self._chunks(names, " ") + self._chunks([names[i] for i in heads], "")
         ids, ends = self._pack(found, codes, offsets - offsets[0])
         if odd.any():
-            whole = self.library.encode_batch(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)
+            whole = self.library.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)
             parts = np.split(ids, ends[1:-1])
             for i, e in zip(np.flatnonzero(odd), whole):
                 parts[i] = np.array(e.ids, np.uint32)

@@ -53,6 +53,16 @@ def spread(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def byte_slices(batch: pa.RecordBatch, column: str, most: int):
+    """The batch in slices whose texts have at most ``most`` bytes together, or are one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        until = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, until - at)
+        at = until
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """The words [^\\x20\\x09-\\x0D]+ of each text; null has none.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspan.llm import cotraining, packing, quality_rules, sentencepieces, simhash, substrings, topk, toxicity, warc, wavelet
+from voxelspan.llm import cotraining, infill, packing, quality_rules, sentencepieces, sharding, simhash, substrings, topk, toxicity, warc, wavelet
 from voxelspan.llm.common import table
 
 QUERIES: dict = {}
@@ -79,3 +79,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"), shards=40)
+
+
+ORACLES["op11_sharding"] = sharding.DIGEST_SQL
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_fill_in_middle"] = infill.DIGEST_SQL

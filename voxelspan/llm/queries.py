@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspan.llm import cotraining, infill, packing, quality_rules, sentencepieces, sharding, simhash, substrings, topk, toxicity, warc, wavelet
+from voxelspan.llm import collocations, cotraining, infill, packing, quality_rules, sentencepieces, sharding, simhash, substrings, topk, toxicity, warc, wavelet
 from voxelspan.llm.common import table
 
 QUERIES: dict = {}
@@ -89,6 +89,14 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_sharding"] = sharding.DIGEST_SQL
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = collocations.COLLOCATIONS_SQL
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(table(spark, sf_dir, "documents"))

@@ -70,15 +70,9 @@ def test_hashes_that_clash_are_replaced(spark, monkeypatch):
     rows = corpus()
     tried = []
     real = C.count_words
-
-    def counted(docs, seed):
-        tried.append(seed)
-        out = real(docs, seed)
-        from pyspark.sql import functions as F
-
-        return out.withColumn("clash", F.lit(True)) if len(tried) == 1 else out
-
-    monkeypatch.setattr(C, "count_words", counted)
+    monkeypatch.setattr(C, "count_words", lambda docs, seed: tried.append(seed) or real(docs, seed))
+    monkeypatch.setattr(C, "clash", lambda words, real=C.clash: real(words) or len(tried) == 1)
+    assert C.clash(spark.createDataFrame([("en", b"1", "a"), ("en", b"1", "b")], "lang string, prefix binary, word string"))
     words, _ = C.frequent_phrases(frame(spark, rows).selectExpr("coalesce(lang, 'und') lang", "text"), 12)
     assert tried == [42, 43] and words.count() == len({(w.translate(LOWER), lang or "und") for t, lang in rows for p in re.split("[.,;:!?\n\x0b\x0c\r]", t or "") for w in re.split("[ \t]+", p) if w and lang != ""} | {(w.translate(LOWER), lang) for t, lang in rows if lang == "" for p in re.split("[.,;:!?\n\x0b\x0c\r]", t) for w in re.split("[ \t]+", p) if w})
 

@@ -27,9 +27,9 @@ from voxelspan.llm.common import byte_slices, discard, give_back, materialize
 #: Words in a phrase, occurrences of a candidate, and the percentage of them at which a longer phrase replaces it.
 LONGEST, LEAST, COVERED = 4, 30, 80
 #: Pointers of a prefix beyond which it is extended by Spark instead of in one task.
-LARGE = 1 << 18
-#: Bytes of text whose pointers are grouped at once.
-TEXT = 8 << 20
+LARGE = 1 << 20
+#: Bytes of text whose words are counted, and whose pointers are grouped, at once.
+COUNTED, GROUPED = 4 << 20, 4 << 20
 #: Bits of a bitmap: 2 MB.
 BITS = 24
 #: A byte's kind: 0 belongs to a word, 1 parts words, 2 parts pieces.
@@ -93,7 +93,7 @@ def _bitmap(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
     """Words of some MB of text: code, dictionary, piece, code of the language; the languages and their hashes."""
     held, size = [], 0
 
@@ -106,22 +106,23 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         return code, dictionary, piece, langs.indices.to_numpy().astype(np.int64)[text], names, seeds
 
     for batch in batches:
-        plain = pa.RecordBatch.from_arrays([batch.column(0).cast(pa.large_string()), pc.fill_null(batch.column(1).cast(pa.large_string()), "")], ["lang", "text"])
-        for some in byte_slices(plain, "text", TEXT):
-            held.append(some)
-            size += pc.sum(pc.binary_length(some.column("text"))).as_py() or 0
-            if size >= TEXT:
+        for some in byte_slices(batch, "text", most):
+            plain = pa.RecordBatch.from_arrays([some.column(0).cast(pa.large_string()), pc.fill_null(some.column(1).cast(pa.large_string()), "")], ["lang", "text"])
+            held.append(plain)
+            size += pc.sum(pc.binary_length(plain.column("text"))).as_py() or 0
+            if size >= most:
                 yield words()
+                give_back()
                 held, size = [], 0
     if held:
         yield words()
 
 
 def count_words(docs: DataFrame, seed: int) -> DataFrame:
-    """lang, prefix (the word's hash), spot, f, word of every word; one row if hashes are free of clashes."""
+    """lang, prefix (the word's hash), spot, word, f of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for code, dictionary, _, lang, names, seeds in _stretches(batches):
+        for code, dictionary, _, lang, names, seeds in _stretches(batches, COUNTED):
             n = len(dictionary)
             key, counts = np.unique(lang * n + code, return_counts=True)
             lang, code = key // max(n, 1), key % max(n, 1)
@@ -132,7 +133,12 @@ def count_words(docs: DataFrame, seed: int) -> DataFrame:
         give_back()
 
     each = docs.mapInArrow(run, "lang string, prefix binary, spot int, n bigint, word string")
-    return each.groupBy("lang", "prefix").agg(F.min("spot").alias("spot"), F.sum("n").alias("f"), F.min("word").alias("word"), (F.min("word") != F.max("word")).alias("clash"))
+    return each.groupBy("lang", "prefix", "spot", "word").agg(F.sum("n").alias("f"))
+
+
+def clash(words: DataFrame) -> bool:
+    """Whether two words of a language share a hash."""
+    return not words.groupBy("lang", "prefix").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def _rows(langs: pa.Array, seeds: np.ndarray, depth: int, columns: list[np.ndarray], weights: np.ndarray) -> pa.RecordBatch:
@@ -153,7 +159,7 @@ def project(docs: DataFrame, seed: int, frequent: np.ndarray, large: np.ndarray)
     """Pointers by prefix: one frequent word, or two where the first is a large prefix. Words end at a rare one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for code, dictionary, piece, lang, names, seeds in _stretches(batches):
+        for code, dictionary, piece, lang, names, seeds in _stretches(batches, GROUPED):
             if not len(code):
                 continue
             own, v = hashes(dictionary, seed), len(dictionary) + 1
@@ -273,7 +279,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, large: int = LARGE) ->
     """(words: lang, prefix, f, word of every word; phrases: lang, phrase, a of two to LONGEST words, a >= least)."""
     for seed in range(42, 142):
         words = materialize(count_words(docs, seed))
-        if not words.where("clash").limit(1).count():
+        if not clash(words):
             break
         discard(words)
     else:
@@ -281,7 +287,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, large: int = LARGE) ->
     bits = lambda counts, name: (_bitmap(counts.where(F.col(name) >= least)), _bitmap(counts.where(F.col(name) > large)))
     often, many = bits(words, "f")
     rows = materialize(project(docs, seed, often, many))
-    cold, found = [rows.where(F.octet_length("prefix") == 8)], []
+    cold, found, written = [rows.where(F.octet_length("prefix") == 8)], [], [rows]
     hot = rows.where(F.octet_length("prefix") == 16)
     for depth in range(2, LONGEST + 1):
         counts = materialize(hot.groupBy("lang", "prefix").agg(F.sum("n").alias("a"), F.min("spot").alias("spot")).where(F.col("a") >= least))
@@ -293,6 +299,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, large: int = LARGE) ->
         if not many.any():
             break
         hot = materialize(handed_on(hot, depth, many))
+        written.append(hot)
     every = cold[0]
     for c in cold[1:]:
         every = every.unionByName(c)
@@ -300,8 +307,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, large: int = LARGE) ->
     for f in found:
         phrases = phrases.unionByName(f)
     phrases = materialize(phrases)
-    discard(rows)
-    return words.drop("clash", "spot"), phrases
+    for t in written:
+        discard(t)
+    return words.drop("spot"), phrases
 
 
 def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, top: int = 2000, large: int = LARGE) -> DataFrame:

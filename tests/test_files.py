@@ -2,6 +2,7 @@ import json
 import struct
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,128 @@ def test_header_fields_stand_where_files_have_them():
     data = las.header_bytes(Header(7, (1, 2, 3), (4, 5, 6), (-1, -2, -3), (10, 20, 30), 2, 26, 227))
     assert struct.unpack_from("<I", data, 96) == (227,) and data[104] == 2 and struct.unpack_from("<HI", data, 105) == (26, 7)
     assert struct.unpack_from("<12d", data, 131) == (1, 2, 3, 4, 5, 6, 10, -1, 20, -2, 30, -3)
+
+
+def test_writer_commits_whole_files_or_nothing(spark, tmp_path):
+    las.register(spark)
+    head = las.header_bytes(Header(0, (1.0, 1.0, 1.0), format_id=2, record_length=26)).hex()
+    rows = spark.createDataFrame([(i, i, -i, 7, i % 9, 3, 1, 2, 3) for i in range(90)], las.SCHEMA)
+    target = f"file://{tmp_path}/cloud"
+    save = lambda df, mode: df.repartitionByRange(5, "pos").sortWithinPartitions("pos").write.format("las").option("head", head).mode(mode).save(target)
+    save(rows, "append")
+    read = lambda: sorted(map(tuple, spark.read.format("las").load(target).collect()))
+    assert read() == sorted(map(tuple, rows.collect())) and las.read_header(target).count == 90
+    assert len(list((tmp_path / "cloud").glob("part-*.las"))) == 6 and not list((tmp_path / "cloud").glob(".*-*"))
+    with pytest.raises(Exception, match="holds a point file"):
+        save(rows, "append")
+
+    def fails(batches):
+        for b in batches:
+            yield b
+        if 70 in b.column("pos").to_pylist():
+            raise RuntimeError("lost")
+
+    lost = rows.repartitionByRange(5, "pos").sortWithinPartitions("pos").mapInArrow(fails, rows.schema)
+    for mode in ("overwrite", "append"):
+        folder = tmp_path / f"lost-{mode}"
+        with pytest.raises(Exception, match="lost"):
+            lost.write.format("las").option("head", head).mode(mode).save(f"file://{folder}")
+        assert not list(folder.glob("*.las"))
+    with pytest.raises(Exception, match="lost"):
+        lost.write.format("las").option("head", head).mode("overwrite").save(target)
+    assert len(read()) == 90  # a write that fails leaves what was there
+    save(rows.where("pos < 7"), "overwrite")
+    assert [r[0] for r in read()] == list(range(7))
+    save(rows.where("false"), "overwrite")
+    assert read() == [] and las.read_header(target).count == 0
+    with pytest.raises(Exception, match="overlap"):
+        rows.repartition(3).write.format("las").option("head", head).mode("append").save(f"file://{tmp_path}/mixed")
+    assert not list((tmp_path / "mixed").glob("*.las"))
+
+
+def point_file_bytes(n, shift=0):
+    h = Header(n, (0.5, 0.5, 0.5), format_id=2, record_length=26)
+    rows = np.zeros(n, las.record_type(2, 26))
+    rows["ix"], rows["iy"], rows["iz"], rows["classification"] = np.arange(n) + shift, 2, 3, 4
+    return las.header_bytes(h) + rows.tobytes()
+
+
+def test_messages_of_streamed_uploads_come_once(spark, tmp_path):
+    from voxelspan.streaming import messages
+
+    messages.register(spark)
+    folder, out = tmp_path / "in", f"file://{tmp_path}/out"
+    folder.mkdir()
+
+    def land(who, data, which, total=3):
+        size = -(-len(data) // total)
+        for k in which:
+            (folder / f"{who}.{k}.{total}.part").write_bytes(data[k * size : (k + 1) * size])
+
+    def run():
+        whole = assembly.assemble_stream(parts.stream_parts(spark, f"file://{folder}"), expire_ms=None)
+        q = messages.point_messages(whole, window=250).writeStream.format("messages").option("path", out).option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    files = {"a": point_file_bytes(700), "b": point_file_bytes(10, 5), "c": point_file_bytes(251, 9)}
+    land("a", files["a"], (2, 0))
+    land("b", files["b"], (0, 1, 2))
+    run()
+    assert {r["uploader_id"] for r in messages.read_messages(spark, out).collect()} == {"b"}
+    land("a", files["a"], (1,))
+    run()  # a new run goes on from the checkpoint: parts of a that came before are in its state
+    # the last batch's commit is lost: the restart does that batch again
+    commits = sorted((int(f.name), f) for f in (tmp_path / "ck" / "commits").glob("[0-9]*"))
+    commits[-1][1].unlink()
+    crc = commits[-1][1].parent / f".{commits[-1][0]}.crc"
+    crc.unlink(missing_ok=True)
+    land("c", files["c"], (0, 1, 2))
+    run()
+    run()
+    got = sorted(map(tuple, messages.read_messages(spark, out).collect()))
+    batch = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "uploader_id string, content binary")
+    assert got == sorted(map(tuple, messages.point_messages(batch, window=250).collect()))
+    first = json.loads(next(g[3] for g in got if g[:3] == ("a", 0, 0)))
+    assert len(first["Points"]) == 162 * 8 and first["TotalChunks"] == 2 + 2 + 2 and first["Points"][8:11] == [0.5, 1.5, 1.0]
+    assert [(w, c) for who, w, c, _ in got if who == "a"] == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)]
+    assert not list((tmp_path / "out").glob(".*-*"))
+    # a batch without its manifest isn't there
+    last = max((tmp_path / "out").glob("*.manifest"))
+    last.unlink()
+    assert len(messages.read_messages(spark, out).collect()) < len(got)
+
+
+def test_parts_come_late_repeated_and_after_the_end(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run(names):
+        for n in names:
+            (folder / f"{n}.part").write_bytes(n.encode())
+        stream = assembly.assemble_stream(parts.stream_parts(spark, f"file://{folder}"), expire_ms=None, whole=False)
+        q = stream.writeStream.format("json").option("path", f"file://{tmp_path}/got").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted((r["uploader_id"], r["chunk_number"], bytes(r["content"])) for r in spark.read.schema("uploader_id string, chunk_number int, content binary").json(f"file://{tmp_path}/got").collect())
+
+    assert run(["x.1.2", "y.0.3", "y.5.3"]) == []
+    first = run(["x.0.2", "y.2.3"])
+    assert [(who, k) for who, k, _ in first] == [("x", 0), ("x", 1)]
+    again = run(["y.1.3"])
+    assert [(who, k) for who, k, _ in again] == [("x", 0), ("x", 1), ("y", 0), ("y", 1), ("y", 2)]
+    assert run(["z.0.1"])[-1][:2] == ("z", 0)
+
+
+def test_an_upload_at_rest_is_forgotten(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    stream = assembly.assemble_stream(parts.stream_parts(spark, f"file://{folder}"), expire_ms=1500)
+    q = stream.writeStream.format("memory").queryName("forgotten").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck3").start()
+    try:
+        (folder / "a.0.2.part").write_bytes(b"0")
+        wait(lambda: sum(p["numInputRows"] for p in q.recentProgress) >= 1)
+        wait(lambda: q.lastProgress and all(o["numRowsTotal"] == 0 for o in q.lastProgress["stateOperators"]))
+        (folder / "a.1.2.part").write_bytes(b"1")
+        wait(lambda: sum(p["numInputRows"] for p in q.recentProgress) >= 2)
+        assert spark.table("forgotten").count() == 0
+    finally:
+        q.stop()

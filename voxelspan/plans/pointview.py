@@ -13,8 +13,9 @@ from voxelspan.sources.storage import shared_dir
 
 SCALE = 0.01
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-#: Groups of neighbouring orders that points are numbered in; each is one window partition.
-BUCKETS = 4096
+#: Groups of neighbouring orders that points are numbered in, each one window partition: at least so many, and one for
+#: so many points. Their counts are summed by at most BUCKETS coarser ones first.
+BUCKETS, BUCKET_POINTS = 4096, 1 << 18
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +55,12 @@ def header(spark: SparkSession, sf_dir: str) -> Header:
 def _numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     lo, hi = raw.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // BUCKETS))
+    buckets = max(BUCKETS, -(-header(spark, sf_dir).count // BUCKET_POINTS))
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // buckets))
     df = raw.select(*ORDER, "l_quantity", F.floor((F.col("l_orderkey") - F.lit(lo or 0)) / F.lit(width)).alias("_bucket"))
     c = _coordinates()
-    return numbered(df, "_bucket", ORDER).select(
+    coarse = F.floor(F.col("_bucket") / F.lit(-(-buckets // BUCKETS))) if buckets > BUCKETS else None
+    return numbered(df, "_bucket", ORDER, coarse=coarse).select(
         (F.col("rn") - 1).alias("pos"), *[v.alias(k) for k, v in c.items()], F.pmod(c["ix"], F.lit(256)).alias("ir"), (F.pmod(c["iy"], F.lit(3)) * 100).alias("ig"),
         F.lit(0).alias("ib"), F.col("l_quantity").alias("intensity"), F.col("l_linenumber").cast("double").alias("classification"),
     )
@@ -85,7 +88,7 @@ def point_file(spark: SparkSession, sf_dir: str) -> str:
     def make() -> str:
         h = header(spark, sf_dir)
         stored = records(spark, sf_dir).withColumns({c: F.col(c).cast("int") for c in ("intensity", "classification")})
-        return las.write(stored, Header(h.count, h.scale, h.offset, h.low, h.high, 2, las.RECORD_LENGTH[2], las.HEADER_BYTES), f"{shared_dir(spark)}/cloud", parts=4)
+        return las.write(stored, Header(h.count, h.scale, h.offset, h.low, h.high, 2, las.RECORD_LENGTH[2], las.HEADER_BYTES), f"{shared_dir(spark)}/cloud")
 
     return _stored(spark, sf_dir, "file", make)
 

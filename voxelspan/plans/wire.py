@@ -90,9 +90,12 @@ def random_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- files
 
 
-@query("WITH v AS (SELECT range // 80 AS major, range // 8 % 10 AS minor, range % 8 AS format_id FROM range(240)) SELECT CAST(major AS INT) AS major, CAST(minor AS INT) AS minor, CAST(format_id AS INT) AS format_id, major * 10 + minor <= 13 AND format_id <= 3 AS supported FROM v")
+@query("""WITH v AS (SELECT event_id, CAST(event_id // 80 % 3 AS INT) AS major, CAST(event_id // 8 % 10 AS INT) AS minor, CAST(event_id % 8 AS INT) AS format_id FROM events)
+SELECT *, major * 10 + minor <= 13 AND format_id <= 3 AS supported FROM v""")
 def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.range(240).select((F.floor(F.col("id") / 80)).cast("int").alias("major"), F.pmod(F.floor(F.col("id") / 8), F.lit(10)).cast("int").alias("minor"), F.pmod("id", F.lit(8)).cast("int").alias("format_id"))
+    """Versions and formats simulated from events, and whether files of them are read."""
+    part = lambda div, mod: F.pmod(F.floor(F.col("event_id") / F.lit(div)), F.lit(mod)).cast("int")
+    v = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", part(80, 3).alias("major"), part(8, 10).alias("minor"), part(1, 8).alias("format_id"))
     return v.withColumn("supported", las.supported(F.col("major"), F.col("minor"), F.col("format_id")))
 
 

@@ -15,10 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from voxelspan.functions import scalar
@@ -32,6 +31,8 @@ COLOUR_AT = {2: 20, 3: 28}
 #: Length of the shortest record of formats 0 to 3.
 RECORD_LENGTH = {0: 20, 1: 28, 2: 26, 3: 34}
 HEADER_BYTES = 227
+#: The part that holds the header, and records of a part.
+HEADER_NAME, PART_RECORDS = "part-000000.las", 1_000_000
 #: Fixed value: the latest file version that the intended mode reads, ten times the major number plus the minor one.
 LATEST_VERSION = 13
 
@@ -138,8 +139,98 @@ class Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays(columns, self.names)
 
 
+@dataclass
+class Part(WriterCommitMessage):
+    """A task's draft and the records in it."""
+
+    path: str
+    count: int
+    low: int
+    high: int
+
+
+class Writer(DataSourceArrowWriter):
+    """Tasks write drafts under hidden names; what the commit lists becomes parts, in the order of pos, the header last.
+
+    A folder without a header is no file, so readers see all of a write or nothing of it. Drafts of tasks that failed,
+    or ran twice, go with the commit or the abort; one of a task that outlives the abort stays hidden.
+    """
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.folder, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        self.head = bytes.fromhex(options["head"])
+        h = parse_header(self.head)
+        self.kind = record_type(h.format_id, h.record_length)
+        store, path = pafs.FileSystem.from_uri(self.folder)
+        if not overwrite and store.get_file_info(f"{path}/{HEADER_NAME}").is_file:
+            raise ValueError(f"{self.folder} holds a point file; only mode overwrite replaces it")
+        store.create_dir(path)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
+        store, path = pafs.FileSystem.from_uri(self.folder)
+        part, out = Part("", 0, 0, 0), None  # without a path where there are no rows
+        try:
+            for batch in iterator:
+                if not batch.num_rows:
+                    continue
+                if out is None:
+                    part = Part(f"{path}/.{self.job}-{uuid.uuid4().hex}", 0, batch.column("pos")[0].as_py(), 0)
+                    out = store.open_output_stream(part.path)
+                rows = np.zeros(batch.num_rows, self.kind)
+                for name in self.kind.names:
+                    if name in batch.schema.names:
+                        rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
+                out.write(rows.tobytes())
+                part.count += batch.num_rows
+                part.high = batch.column("pos")[-1].as_py()
+            if out is not None:
+                out.close()
+        except BaseException:
+            if out is not None:
+                out.close()
+                store.delete_file(part.path)
+            raise
+        return part
+
+    def _files(self) -> tuple[pafs.FileSystem, str, list[pafs.FileInfo]]:
+        store, path = pafs.FileSystem.from_uri(self.folder)
+        return store, path, [f for f in store.get_file_info(pafs.FileSelector(path)) if f.is_file]
+
+    def _drop_drafts(self) -> None:
+        store, _, files = self._files()
+        for f in files:
+            if f.base_name.startswith(f".{self.job}-"):
+                store.delete_file(f.path)
+
+    def commit(self, messages: list[Part | None]) -> None:
+        found = sorted((m for m in messages if m is not None and m.path), key=lambda m: m.low)
+        if any(a.high >= b.low for a, b in zip(found, found[1:])):
+            raise ValueError("parts overlap: records have to be in ranges of pos, sorted within each")
+        store, path, files = self._files()
+        if self.overwrite:
+            for f in sorted(files, key=lambda f: f.base_name != HEADER_NAME):  # the header first
+                if f.base_name.endswith(".las"):
+                    store.delete_file(f.path)
+        for i, part in enumerate(found, 1):
+            store.move(part.path, f"{path}/part-{i:06d}.las")
+        self._drop_drafts()
+        whole = bytearray(self.head)
+        struct.pack_into("<I", whole, 107, sum(p.count for p in found))
+        draft = f"{path}/.{self.job}-head"
+        with store.open_output_stream(draft) as out:
+            out.write(bytes(whole))
+        store.move(draft, f"{path}/{HEADER_NAME}")
+
+    def abort(self, messages: list[Part | None]) -> None:
+        self._drop_drafts()
+
+
 class LasDataSource(DataSource):
-    """spark.read.format("las").load(uri of a file or of a folder of parts).
+    """spark.read.format("las").load(uri of a file or of a folder of parts), df.write.format("las").save(uri of a folder).
+
+    Written are pos, which has to rise within each partition and from one to another, and the columns of the header's
+    record format that are there; others are 0. Option head is the header in hex; its count is set. Mode append writes
+    where there is no file yet, mode overwrite replaces one.
 
     Options: recordsPerPartition; mode (intended rejects versions and formats that are not known); sampleFraction keeps
     that share of the records, those that sample.subsample keeps in its mode "hash".
@@ -155,6 +246,9 @@ class LasDataSource(DataSource):
     def reader(self, schema: StructType) -> Reader:
         return Reader({k.lower(): v for k, v in self.options.items()}, schema)
 
+    def writer(self, schema: StructType, overwrite: bool) -> Writer:
+        return Writer({k.lower(): v for k, v in self.options.items()}, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -199,40 +293,16 @@ def supported(major: Column, minor: Column, format_id: Column) -> Column:
 def write(records: DataFrame, h: Header, folder: str, parts: int = 0, head: bytes | None = None) -> str:
     """Writes records in the order of pos as a file of parts below folder: a header, then a part for each range of pos.
 
-    Parts come first and are counted as they are written; the header, with that count, is last and makes the file
-    whole. ``head`` are the header's bytes where another file's are to be kept but for the count. A part is renamed
-    when it is whole, so a task that is run again replaces it.
+    ``head`` are the header's bytes where another file's are to be kept but for the count. Without ``parts`` there is
+    one for each PART_RECORDS that the header counts, as a part is a task.
     """
-    parts = parts or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    register(records.sparkSession)
     length = h.record_length or RECORD_LENGTH.get(h.format_id, 20)
-    kind = record_type(h.format_id, length)
-    store, path = pafs.FileSystem.from_uri(folder)
-    store.create_dir(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draft, n = None, 0
-        for batch in batches:
-            rows = np.zeros(batch.num_rows, kind)
-            for name in kind.names:
-                if name in batch.schema.names:
-                    rows[name] = batch.column(name).to_numpy()
-            if draft is None:
-                store, path = pafs.FileSystem.from_uri(f"{folder}/part-{TaskContext.get().partitionId() + 1:06d}.las")
-                draft = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
-                out = store.open_output_stream(draft)
-            out.write(rows.tobytes())
-            n += batch.num_rows
-        if draft is not None:
-            out.close()
-            store.move(draft, path)
-        yield pa.RecordBatch.from_pydict({"n": [n]})
-
-    ranges = records.repartitionByRange(parts, "pos").sortWithinPartitions("pos")
-    count = ranges.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    whole = bytearray(head or header_bytes(Header(count, h.scale, h.offset, h.low, h.high, h.format_id, length, h.data_offset)))
-    struct.pack_into("<I", whole, 107, count)
-    with store.open_output_stream(f"{path}/part-000000.las") as out:
-        out.write(bytes(whole))
+    whole = head or header_bytes(Header(h.count, h.scale, h.offset, h.low, h.high, h.format_id, length, h.data_offset))
+    parts = parts or max(4, -(-h.count // PART_RECORDS))
+    names = [n for n in record_type(h.format_id, length).names if n in records.columns]
+    ranges = records.select("pos", *[F.col(n).cast("int").alias(n) for n in names]).repartitionByRange(parts, "pos").sortWithinPartitions("pos")
+    ranges.write.format("las").option("head", whole.hex()).mode("append").save(folder)
     return folder
 
 
@@ -247,6 +317,6 @@ def round_trip(records: DataFrame, h: Header) -> DataFrame:
     spark = records.sparkSession
     stored = records.select("pos", "ix", "iy", "iz", F.col("intensity").cast("int").alias("intensity"), F.col("classification").cast("int").alias("classification"), "ir", "ig", "ib")
     out = Header(h.count, h.scale, h.offset, h.low, h.high, 2, RECORD_LENGTH[2], HEADER_BYTES)
-    folder = write(stored, out, f"{shared_dir(spark)}/cloud", parts=4)
+    folder = write(stored, out, f"{shared_dir(spark)}/cloud")
     register(spark)
     return spark.read.format("las").load(folder)

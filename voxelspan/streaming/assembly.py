@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def upload_state(parts: DataFrame) -> DataFrame:
@@ -34,60 +34,120 @@ def click_shapes(clicks: DataFrame, session: str, order: list[str], arity: int)
     return clicks.withColumn("shape_no", F.floor((rank - 1) / F.lit(arity)))
 
 
-def assemble_stream(parts: DataFrame, expire_ms: int = 3_600_000) -> DataFrame:
+def _keyed_state(df: DataFrame) -> None:
+    """State by key and part needs the store that keeps it so."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+
+
+class Upload(StatefulProcessor):
+    """Parts of one upload: a map of their contents, and how many there are."""
+
+    def __init__(self, expire_ms: int | None, whole: bool):
+        self.expire_ms, self.whole = expire_ms, whole
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "number int", "content binary")
+        self.seen = handle.getValueState("seen", "have int, timer bigint")
+
+    def _forget(self) -> None:
+        if self.seen.exists():
+            timer = self.seen.get()[1]
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.seen.clear()
+        self.parts.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        have, timer = self.seen.get() if self.seen.exists() else (0, 0)
+        total = 0
+        for row in rows:
+            total = int(row["total_chunks"])
+            at = (int(row["chunk_number"]),)
+            if 0 <= at[0] < total and not self.parts.containsKey(at):
+                self.parts.updateValue(at, (bytes(row["content"]),))
+                have += 1
+            if total and have >= total:
+                held = (bytes(self.parts.getValue((k,))[0]) for k in range(total))
+                if self.whole:
+                    yield Row(uploader_id=key[0], n_parts=total, content=b"".join(held))
+                else:
+                    for k, content in enumerate(held):
+                        yield Row(uploader_id=key[0], chunk_number=k, total_chunks=total, content=content)
+                self.seen.update((have, timer))
+                self._forget()
+                have, timer = 0, 0
+        if have:
+            if self.expire_ms is not None:
+                if timer:
+                    self.handle.deleteTimer(timer)
+                timer = timerValues.getCurrentProcessingTimeInMs() + self.expire_ms
+                self.handle.registerTimer(timer)
+            self.seen.update((have, timer))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.seen.update((0, 0))
+        self._forget()
+        yield from ()
+
+
+def assemble_stream(parts: DataFrame, expire_ms: int | None = 3_600_000, whole: bool = True) -> DataFrame:
     """A stream of (uploader_id, chunk_number from 0, total_chunks, content) to one of complete uploads.
 
-    State holds an upload's parts until all have come, then they are given out in order and the state goes. A part that
+    State is a map with an entry a part: a part that comes in is one entry written, however large the upload. When all
+    have come they are given out in order, as one row (``whole``) or a row a part, and their entries go. A part that
     comes again before that changes nothing, one with a number outside the upload doesn't count. One that comes after
-    starts the upload anew, and an upload that no part came for in ``expire_ms`` is forgotten, so state is bounded by
-    what is under way.
+    starts the upload anew, and an upload that no part came for in ``expire_ms`` is forgotten by a timer, so state is
+    bounded by what is under way. Without ``expire_ms`` there are no timers, and a query ends when its input does.
     """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, total = pickle.loads(state.get[0]) if state.exists else {}, 0
-        for frame in frames:
-            for number, count, content in zip(frame["chunk_number"], frame["total_chunks"], frame["content"]):
-                total = int(count)
-                if 0 <= int(number) < total:
-                    held.setdefault(int(number), bytes(content))
-        if total and len(held) >= total:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"uploader_id": [key[0]], "n_parts": [total], "content": [b"".join(held[k] for k in range(total))]})
-        else:
-            state.update((pickle.dumps(held),))
-            state.setTimeoutDuration(expire_ms)
-
-    schema = "uploader_id string, n_parts int, content binary"
-    return parts.groupBy("uploader_id").applyInPandasWithState(run, schema, "parts binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def click_stream(clicks: DataFrame, arity: int, expire_ms: int = 3_600_000) -> DataFrame:
+    _keyed_state(parts)
+    schema = "uploader_id string, n_parts int, content binary" if whole else "uploader_id string, chunk_number int, total_chunks int, content binary"
+    return parts.groupBy("uploader_id").transformWithState(Upload(expire_ms, whole), schema, "Append", "None" if expire_ms is None else "ProcessingTime")
+
+
+class Shapes(StatefulProcessor):
+    """Clicks of one session: those that make no shape yet, and how many shapes there were."""
+
+    def __init__(self, arity: int, expire_ms: int | None):
+        self.arity, self.expire_ms = arity, expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "event_id bigint")
+        self.made = handle.getValueState("made", "shapes bigint, timer bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        shapes, timer = self.made.get() if self.made.exists() else (0, 0)
+        held = [r[0] for r in self.open.get()] if self.open.exists() else []
+        held += sorted(int(r["event_id"]) for r in rows)
+        while len(held) >= self.arity:
+            yield Row(session=key[0], shape_no=shapes, clicks=held[: self.arity])
+            held, shapes = held[self.arity :], shapes + 1
+        self.open.clear()
+        if held:
+            self.open.put([(i,) for i in held])
+        if self.expire_ms is not None:
+            if timer:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.expire_ms
+            self.handle.registerTimer(timer)
+        self.made.update((shapes, timer))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.open.clear()
+        self.made.clear()
+        yield from ()
+
+
+def click_stream(clicks: DataFrame, arity: int, expire_ms: int | None = 3_600_000) -> DataFrame:
     """A stream of (session bigint, event_id, rising) to one of shapes: session, shape_no and the ids of its clicks.
 
     State holds how many shapes a session has made and the clicks that don't make one yet, fewer than ``arity``; it goes
     when the session rests for ``expire_ms``.
     """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        made, held = state.get if state.exists else (0, [])
-        held = [*held, *sorted(int(i) for frame in frames for i in frame["event_id"])]
-        whole = len(held) // arity
-        out = [(key[0], made + k, held[k * arity : (k + 1) * arity]) for k in range(whole)]
-        state.update((made + whole, held[whole * arity :]))
-        state.setTimeoutDuration(expire_ms)
-        if out:
-            session, number, ids = zip(*out)
-            yield pd.DataFrame({"session": list(session), "shape_no": list(number), "clicks": list(ids)})
-
+    _keyed_state(clicks)
     schema = "session bigint, shape_no bigint, clicks array<bigint>"
-    return clicks.groupBy("session").applyInPandasWithState(run, schema, "made bigint, open array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return clicks.groupBy("session").transformWithState(Shapes(arity, expire_ms), schema, "Append", "None" if expire_ms is None else "ProcessingTime")
 
 
 def session_points(events: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ def test_clusters(spark):
     assert {r["k"]: r["cost"] for r in costs.collect()} == {1: 252.25, 2: 201.25, 3: 21.25}
     assert cluster.largest_drop(costs).first()[0] == 3
     cells = pts.withColumns({"cell_code": F.lit(1).cast("bigint"), "depth": F.lit(1)})
-    assert cluster.lloyd_cells(cells).count() == 2
+    assert cluster.lloyd_cells(cells, BOX).count() == 2
     assert [r["pos"] for r in cluster.pick(pts, (2.0, 0.5, 0.0), (1.0, 0.0, 0.0), 1.0).collect()] == [4]
     assert cluster.pick(pts, (2.0, 5.0, 0.0), (1.0, 0.0, 0.0), 1.0).count() == 0
 

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Centroids = list[tuple[float, float, float]]
+from voxelspan.operators import kdtree, neighbours, octree
+from voxelspan.operators.kdtree import Centroids
+from voxelspan.operators.octree import Box
+from voxelspan.sources.storage import stored
+
+#: Centroids up to which the nearest is one expression, and numbers of points that are ranked together.
+WIDE, SLICE = 64, 1 << 20
+TURN = 0.4142135
 
 
 def squared(c: tuple[float, float, float]) -> Column:
@@ -19,11 +27,32 @@ def squared(c: tuple[float, float, float]) -> Column:
 
 
 def nearest(points: DataFrame, centroids: Centroids) -> DataFrame:
-    """points with cluster_id and d2, the squared distance; of equal ones the first centroid. One expression, no join."""
+    """points with cluster_id and d2, the squared distance; of equal ones the first centroid. No join.
+
+    One expression for up to WIDE centroids, else a pass over Arrow batches.
+    """
+    if len(centroids) > WIDE:
+        return _nearest_in_batches(points, centroids)
     best = F.array_min(F.array(*[F.struct(squared(c).alias("d2"), F.lit(i).alias("i")) for i, c in enumerate(centroids)]))
     return points.withColumn("_best", best).withColumns({"cluster_id": F.col("_best.i"), "d2": F.col("_best.d2")}).drop("_best")
 
 
+def _nearest_in_batches(points: DataFrame, centroids: Centroids) -> DataFrame:
+    c = np.array(centroids, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                some = batch.slice(a, 2000)
+                w = [some.column(x).to_numpy(zero_copy_only=False)[:, None] - c[None, :, i] for i, x in enumerate("xyz")]
+                d2 = w[0] * w[0] + w[1] * w[1] + w[2] * w[2]
+                label = d2.argmin(1)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(label.astype(np.int32)), pa.array(d2[np.arange(len(label)), label])], [*some.schema.names, "cluster_id", "d2"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+    return points.mapInArrow(run, f"{fields}, cluster_id int, d2 double")
+
+
 def cost(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster_id").agg(F.count("*").alias("n_points"), F.sum("d2").alias("sse"))
 
@@ -68,41 +97,134 @@ def lloyd(points: DataFrame, k: int, iterations: int = 10, start: Centroids | No
     return centroids
 
 
-def two_means(points: DataFrame, iterations: int = 50) -> DataFrame:
+def two_means(points: DataFrame, iterations: int = 50, start: Centroids | None = None) -> DataFrame:
     """The viewer's clustering: two clusters of all points, their means."""
-    return means(nearest(points, lloyd(points, 2, iterations)))
+    return means(nearest(points, lloyd(points, 2, iterations, start)))
+
 
+def rounded(mean: Column) -> Column:
+    """To a thousandth, so that the order of additions doesn't show; turned where no mean of hundredths lies."""
+    return F.floor(mean * 1000 + TURN) / 1000
 
-def lloyd_cells(cells: DataFrame, share: float = 0.5, iterations: int = 10, cap: int = 100_000) -> DataFrame:
-    """Intended reduction: every cell's points become the means of about share * n clusters, intensity the highest.
 
-    A cell goes to one task; one of more than ``cap`` points is clustered in parts of at most that many.
+def lloyd_cells(cells: DataFrame, box: Box, share: float = 0.5, iterations: int = 10, cap: int = 100_000) -> DataFrame:
+    """Intended reduction: every cell's n points become the means of at most share * n clusters, intensity the highest.
+
+    Clusters start at points evenly spaced in the order of pos; their centres are rounded() means. A cell
+    of up to ``cap`` points is one task's, which finds nearest centres through a k-d tree of the points; a larger one is
+    spread over the cluster, nearest centres by a join that goes down a pyramid of the centres within each cell. Both
+    give the same rows. cells: of assign_cells, in which no pos stands twice; ``box`` holds them all.
     """
     every = list(cells.columns)
     names = [c for c in every if c != "cell_code"]
+    how = {x: "mean" for x in names} | {"pos": "min", "depth": "min", "intensity": "max"}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos").reset_index(drop=True)
-        k = max(1, int(len(rows) * share))
+        n, k = len(rows), max(1, int(len(rows) * share))
+        nodes, order = kdtree.grow(rows[["x", "y", "z"]].to_numpy())
         p = rows[["x", "y", "z"]].to_numpy()
-        c = p[np.linspace(0, len(p) - 1, k).astype(int)]
-        for _ in range(iterations):
-            label = ((p[:, None] - c[None]) ** 2).sum(2).argmin(1) if len(p) * k < 4_000_000 else np.concatenate([((part[:, None] - c[None]) ** 2).sum(2).argmin(1) for part in np.array_split(p, len(p) * k // 4_000_000 + 1)])
-            n = np.bincount(label, minlength=k)
-            new = np.stack([np.bincount(label, p[:, a], k) for a in range(3)], 1) / np.maximum(n, 1)[:, None]
-            new[n == 0] = c[n == 0]
+        c = p[np.arange(k) * (n - 1) // max(1, k - 1)]
+        label = np.zeros(n, np.int64)
+        for step in range(iterations):
+            label[order] = kdtree.labels(nodes, p[order], c)
+            if step == iterations - 1:
+                break
+            count = np.bincount(label, minlength=k)
+            new = np.floor(np.stack([np.bincount(label, p[:, a], k) for a in range(3)], 1) / np.maximum(count, 1)[:, None] * 1000 + TURN) / 1000
+            new[count == 0] = c[count == 0]
             if (new == c).all():
                 break
             c = new
         rows["_l"] = label
-        how = {x: "mean" for x in names} | {"pos": "min", "depth": "min", "intensity": "max", "_part": "min"}
-        out = rows.groupby("_l").agg({x: how[x] for x in [*names, "_part"]}).reset_index(drop=True)
+        out = rows.groupby("_l").agg({x: how[x] for x in names}).reset_index(drop=True)
         out["cell_code"] = rows["cell_code"].iloc[0]
         return out[every]
 
-    sizes = cells.groupBy("cell_code").agg(F.ceil(F.count("*") / cap).alias("_parts"))
-    parted = cells.join(sizes, "cell_code").withColumn("_part", F.pmod(F.xxhash64("pos"), F.col("_parts"))).drop("_parts")
-    return parted.groupBy("cell_code", "_part").applyInPandas(run, cells.schema)
+    sizes = cells.groupBy("cell_code").agg(F.count("*").alias("_n"))
+    sized = cells.join(sizes, "cell_code")
+    whole = sized.where(F.col("_n") <= cap).drop("_n").groupBy("cell_code").applyInPandas(run, cells.schema)
+    if not sizes.where(F.col("_n") > cap).limit(1).count():
+        return whole
+    large = stored(sized.where(F.col("_n") > cap))
+    label = _labels_spread(large, box, share, iterations)
+    merged = {"mean": F.avg, "min": F.min, "max": F.max}
+    means = large.join(label, ["cell_code", "pos"]).groupBy("cell_code", "_l").agg(*[merged[how[x]]("pos" if x == "pos" else x).alias(x) for x in names])
+    kinds = dict(cells.dtypes)
+    return whole.unionByName(means.select(*[F.col(c).cast(kinds[c]).alias(c) for c in every]))
+
+
+def _labels_spread(points: DataFrame, box: Box, share: float, iterations: int) -> DataFrame:
+    """cell_code, pos and _l, the number of its cluster, of the points (with _n) of large cells."""
+    part = F.floor(F.col("pos") / SLICE)
+    counts = points.groupBy("cell_code", part.alias("_p")).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("cell_code").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("cell_code", "_p", F.coalesce(before, F.lit(0)).alias("_b"))
+    ranked = points.withColumn("_p", part).withColumn("_r", F.row_number().over(Window.partitionBy("cell_code", "_p").orderBy("pos")) - 1).join(starts, ["cell_code", "_p"])
+    rank, k, n = F.col("_b") + F.col("_r"), F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)).cast("bigint")), F.col("_n")
+    gaps = F.greatest(F.lit(1), k - 1)
+    # centre i starts at rank i * (n - 1) div (k - 1); several may start at one rank
+    low, high = F.ceil(rank * gaps / (n - 1)) - 1, F.floor((rank + 1) * gaps / (n - 1)) + 1
+    which = F.filter(F.sequence(F.greatest(low, F.lit(0).cast("bigint")), F.least(high, k - 1)), lambda i: F.floor(i * (n - 1) / gaps).cast("bigint") == rank)
+    seeds_of = ranked.select("cell_code", F.explode(F.when(n == 1, F.array(F.lit(0).cast("bigint"))).otherwise(which)).alias("_l"), "x", "y", "z")
+    centres, label = stored(seeds_of), None
+    queries = points.select(F.col("cell_code").alias("_cell"), F.col("pos").alias("id"), "x", "y", "z")
+    most, level = points.agg(F.max("_n"), F.max("depth")).first()
+    depth = min(octree.MAX_DEPTH, level + neighbours.depth_for(most))
+    wide = tuple((lo - w, hi + w) for lo, hi in box for w in (1e-3 + 1e-6 * max(abs(lo), abs(hi)),))  # a rounded mean may leave the box
+    for step in range(iterations):
+        near = neighbours.nearest_join(queries, centres.withColumnsRenamed({"_l": "pos", "cell_code": "_cell"}), wide, depth, by="_cell")
+        label = stored(near.select(F.col("_cell").alias("cell_code"), F.col("id").alias("pos"), F.col("pos").alias("_l")))
+        if step == iterations - 1:
+            break
+        moved = points.join(label, ["cell_code", "pos"]).groupBy("cell_code", "_l").agg(*[rounded(F.avg(a)).alias(f"n{a}") for a in "xyz"])
+        changed = F.lit(False)
+        for a in "xyz":
+            changed = changed | F.coalesce(F.col(f"n{a}") != F.col(a), F.lit(False))
+        new = stored(centres.join(moved, ["cell_code", "_l"], "left").select("cell_code", "_l", *[F.coalesce(f"n{a}", a).alias(a) for a in "xyz"], changed.alias("_moved")))
+        if not new.where("_moved").limit(1).count():
+            break
+        centres = new.drop("_moved")
+    return label
+
+
+def unit(pos: Column, turn: int) -> Column:
+    """A number from 0 to 1 that stands for chance: of pos and the turn alone."""
+    return ((pos + turn * 48271) % 1000003 * 7919 + 104729) % 1000000 / F.lit(1000000.0)
+
+
+def candidate_seeds(points: DataFrame, k: int, rounds: int = 3, factor: float = 2.0) -> list[tuple[int, float, float, float, int]]:
+    """(pos, x, y, z, weight) of candidates for k seeds, by k-means|| (Bahmani et al., VLDB 2012).
+
+    The first is chosen by chance. Each round takes points with a chance of factor * k * d2 / cost, about factor * k of
+    them; the weight counts the points that are nearest to a candidate, and those without any are left out. Each round
+    is two passes; the driver holds the candidates, about factor * k * rounds.
+    """
+    first = points.select("pos", "x", "y", "z").orderBy(unit(F.col("pos"), 0), "pos").limit(1).collect()
+    found = [tuple(r) for r in first]
+    for turn in range(1, rounds + 1) if found else ():
+        near = nearest(points.select("pos", "x", "y", "z"), [c[1:] for c in found])
+        cost = near.agg(F.sum("d2")).first()[0]
+        if not cost:
+            break
+        taken = near.where(unit(F.col("pos"), turn) * F.lit(float(cost)) < F.lit(float(factor * k)) * F.col("d2"))
+        found += [tuple(r) for r in sorted(taken.select("pos", "x", "y", "z").collect())]
+    counts = nearest(points.select("x", "y", "z"), [c[1:] for c in found]).groupBy("cluster_id").agg(F.count("*").alias("n")).collect() if found else []
+    return [(*found[r["cluster_id"]], r["n"]) for r in sorted(counts)]
+
+
+def parallel_seeds(points: DataFrame, k: int, rounds: int = 3, factor: float = 2.0) -> Centroids:
+    """k seeds among the candidates: the heaviest first, then each time that of the largest weight times squared distance."""
+    found = candidate_seeds(points, k, rounds, factor)
+    if not found:
+        return []
+    places, weight = np.array([c[1:4] for c in found], float), np.array([c[4] for c in found], float)
+    chosen = [int(weight.argmax())]
+    d2 = ((places - places[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < min(k, len(found)) and (weight * d2).max() > 0:
+        chosen.append(int((weight * d2).argmax()))
+        d2 = np.minimum(d2, ((places - places[chosen[-1]]) ** 2).sum(1))
+    return [tuple(map(float, places[i])) for i in chosen]
 
 
 def prefix_costs(points: DataFrame, order: str, k_max: int) -> DataFrame:
@@ -119,8 +241,6 @@ def prefix_costs(points: DataFrame, order: str, k_max: int) -> DataFrame:
 
 def largest_drop(costs: DataFrame) -> DataFrame:
     """The k before which the cost falls most, the first of equals: a few rows by construction."""
-    from pyspark.sql import Window
-
     drop = costs.withColumn("drop", F.lag("cost").over(Window.orderBy("k")) - F.col("cost"))
     return drop.where("drop is not null").agg(F.max_by("k", F.struct("drop", -F.col("k"))).alias("k"))
 

@@ -70,12 +70,16 @@ def assign_cells(points: DataFrame, box: Box, depth: int) -> DataFrame:
         bit = (z + 1).bitwiseAND(-(z + 1))
         tie = (F.get(F.lit(middles["z"]), z.cast("int")) == F.col("z")) & (x.bitwiseAND(bit) != 0) & (y.bitwiseAND(bit) == 0)
         z = z + F.when(tie, F.lit(1)).otherwise(F.lit(0))
+    return df.select(*own, encode(x, y, z, depth).alias("cell_code"), F.lit(depth).alias("depth"))
+
+
+def encode(x: Column, y: Column, z: Column, depth: int) -> Column:
+    """The cell at a place of whole numbers from 0 to 2 ** depth - 1 on each axis."""
     keep = lambda v: F.bitwise_not(v)
     middle = x.bitwiseAND(y).bitwiseOR(keep(x).bitwiseAND(z))
     low = x.bitwiseAND(keep(y.bitwiseXOR(z))).bitwiseOR(keep(x).bitwiseAND(y))
-    spread = lambda v: F.get(_spread(depth), v.bitwiseAND(F.lit(n - 1)).cast("int"))
-    code = (spread(x) * 4 + spread(middle) * 2 + spread(low)).cast("bigint")
-    return df.select(*own, code.alias("cell_code"), F.lit(depth).alias("depth"))
+    spread = lambda v: F.get(_spread(depth), v.bitwiseAND(F.lit((1 << depth) - 1)).cast("int"))
+    return (spread(x) * 4 + spread(middle) * 2 + spread(low)).cast("bigint")
 
 
 def parent(code: Column, levels: int = 1) -> Column:
@@ -112,3 +116,39 @@ def cell_stats(cells: DataFrame) -> DataFrame:
 def dropped(points: DataFrame, box: Box) -> DataFrame:
     """One row: points in all, and those that no cell holds."""
     return points.agg(F.count("*").alias("n_points"), F.coalesce(F.sum((~in_box(box)).cast("bigint")), F.lit(0)).alias("n_dropped"))
+
+
+def meets(box: Box, part: Box) -> bool:
+    return all(lo <= b and a <= hi for (lo, hi), (a, b) in zip(box, part))
+
+
+def covering(part: Box, box: Box, level: int, depth: int, most: int = 64) -> list[tuple[int, int]]:
+    """Ranges of cell codes of ``depth`` that hold every point of ``part``: at most ``most``, from cells of ``level``.
+
+    Ranges that lie closest are joined until they are few enough, so what they hold beyond is read and dropped.
+    """
+    found, width = [], 3 * (depth - level)
+    cells = [0] if meets(box, part) else []
+    for k in range(1, level + 1):
+        cells = [c * 8 + o for c in cells for o in range(8) if meets(cell_box(c * 8 + o, k, box), part)]
+    for c in sorted(cells):
+        if found and found[-1][1] + 1 == c << width:
+            found[-1][1] = ((c + 1) << width) - 1
+        else:
+            found.append([c << width, ((c + 1) << width) - 1])
+    return few_ranges([tuple(r) for r in found], most)
+
+
+def few_ranges(ranges: list[tuple[int, int]], most: int = 64) -> list[tuple[int, int]]:
+    """The same with the smallest gaps closed, until there are at most ``most``. ranges rise and don't overlap."""
+    gaps = sorted(range(1, len(ranges)), key=lambda i: ranges[i][0] - ranges[i - 1][1], reverse=True)
+    cut = sorted(gaps[: most - 1])
+    return [(ranges[a][0], ranges[b - 1][1]) for a, b in zip([0, *cut], [*cut, len(ranges)])] if ranges else []
+
+
+def in_ranges(column: str, ranges: list[tuple[int, int]]) -> Column:
+    """A predicate that the statistics of sorted files can prune by."""
+    out = F.lit(False)
+    for lo, hi in ranges:
+        out = out | F.col(column).between(F.lit(lo), F.lit(hi))
+    return out

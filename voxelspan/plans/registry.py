@@ -339,7 +339,24 @@ def elbow_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.observed_elbow(cluster.prefix_costs(points(spark, sf_dir), "pos", 8))
 
 
-@query()
+def lloyd_sql(k: int, passes: int, tag: str = "") -> str:
+    """CTEs c0 to c_passes (centroids) and last (points with their nearest of c_passes), named with the tag."""
+    near = lambda r: f"(SELECT * FROM (SELECT p.*, c.i, (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z) AS d2 FROM p, c{tag}{r} AS c) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY d2, i) = 1)"
+    out = [f"c{tag}0 AS MATERIALIZED (SELECT pos AS i, x, y, z FROM p WHERE pos < {k})"]
+    for r in range(passes):
+        out.append(f"m{tag}{r} AS MATERIALIZED (SELECT i, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {near(r)} GROUP BY i)")
+        out.append(f"c{tag}{r + 1} AS MATERIALIZED (SELECT c.i, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y, coalesce(m.z, c.z) AS z FROM c{tag}{r} AS c LEFT JOIN m{tag}{r} AS m USING (i))")
+    return ",\n".join([*out, f"last{tag} AS (SELECT * FROM {near(passes)})"])
+
+
+BISECTED = ",\n".join(lloyd_sql(k, 3, f"_{k}_") for k in range(1, 7)) + ",\ncost AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, sum(d2) AS c FROM last_{k}_" for k in range(1, 7)) + """),
+fall AS MATERIALIZED (SELECT k, CASE WHEN k BETWEEN 2 AND 6 THEN abs(lag(c) OVER (ORDER BY k) - c) ELSE 0 END AS f FROM (SELECT * FROM cost UNION ALL SELECT unnest([0, 7]), 0)),
+step AS (SELECT 1 AS low, 7 AS high, CAST(NULL AS INT) AS found UNION ALL
+    SELECT CASE WHEN a.f >= b.f AND b.f >= c.f THEN low ELSE b.k + 1 END, CASE WHEN a.f >= b.f AND b.f >= c.f THEN b.k ELSE high END, CASE WHEN a.f < b.f AND b.f > c.f THEN b.k END
+    FROM step JOIN fall AS b ON b.k = (low + high) // 2 JOIN fall AS a ON a.k = b.k - 1 JOIN fall AS c ON c.k = b.k + 1 WHERE found IS NULL AND low < high)"""
+
+
+@query(f"{WITH.replace('WITH', 'WITH RECURSIVE', 1)}, {BISECTED} SELECT CAST(coalesce(max(found), 7) AS INT) AS k FROM step")
 def elbow_bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By halving over the costs of Lloyd's iterations."""
     p = points(spark, sf_dir)
@@ -347,16 +364,6 @@ def elbow_bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(cluster.bisected_elbow(cost, 6),)], "k int")
 
 
-def lloyd_sql(k: int, passes: int) -> str:
-    """CTEs c0 to c_passes (centroids) and last (points with their nearest of c_passes)."""
-    near = lambda r: f"(SELECT * FROM (SELECT p.*, c.i, (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z) AS d2 FROM p, c{r} AS c) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY d2, i) = 1)"
-    out = [f"c0 AS MATERIALIZED (SELECT pos AS i, x, y, z FROM p WHERE pos < {k})"]
-    for r in range(passes):
-        out.append(f"m{r} AS MATERIALIZED (SELECT i, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {near(r)} GROUP BY i)")
-        out.append(f"c{r + 1} AS MATERIALIZED (SELECT c.i, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y, coalesce(m.z, c.z) AS z FROM c{r} AS c LEFT JOIN m{r} AS m USING (i))")
-    return ",\n".join([*out, f"last AS (SELECT * FROM {near(passes)})"])
-
-
 def _first(spark: SparkSession, sf_dir: str, k: int) -> cluster.Centroids:
     return [(r["x"], r["y"], r["z"]) for r in points(spark, sf_dir).where(F.col("pos") < k).orderBy("pos").collect()]
 
@@ -368,14 +375,50 @@ def kmeans_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("cluster_id", "n_points", F.round(F.col("sse") / 1000).cast("bigint").alias("sse_k"))
 
 
-@query()
+TURNED = lambda v: f"floor({v} * 1000 + {d(cluster.TURN)}) / 1000"
+
+
+@query(f"{WITH}, {lloyd_sql(2, 8)} SELECT CAST(i AS INT) AS cluster_id, " + ", ".join(f"{TURNED(f'avg({a})')} AS {a}" for a in ("x", "y", "z", "classification")) + ", max(intensity) AS intensity FROM last GROUP BY i")
 def viewer_two_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.two_means(points(spark, sf_dir))
+    m = cluster.two_means(points(spark, sf_dir), 8, _first(spark, sf_dir, 2))
+    return m.select("cluster_id", *[cluster.rounded(F.col(a)).alias(a) for a in ("x", "y", "z", "classification")], "intensity")
 
 
-@query()
+def cell_means_sql(depth: int, passes: int) -> str:
+    """CTE ``last``: points with the number of their cluster (i) within their cell."""
+    near = lambda r: f"(SELECT s.*, c.i, (s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y) + (s.z - c.z) * (s.z - c.z) AS d2 FROM s JOIN g{r} AS c USING (cell_code) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY d2, i) = 1)"
+    out = [octree_sql(depth), "s AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY cell_code) AS n, row_number() OVER (PARTITION BY cell_code ORDER BY pos) - 1 AS rk FROM cells)"]
+    out.append("w AS (SELECT cell_code, any_value(n) AS n, unnest(range(greatest(any_value(n) // 2, 1))) AS i FROM s GROUP BY cell_code)")
+    out.append("g0 AS MATERIALIZED (SELECT w.cell_code, w.i, s.x, s.y, s.z FROM w JOIN s ON s.cell_code = w.cell_code AND s.rk = w.i * (w.n - 1) // greatest(w.n // 2 - 1, 1))")
+    for r in range(passes - 1):
+        out.append(f"mm{r} AS MATERIALIZED (SELECT cell_code, i, {', '.join(f'{TURNED(f"avg({a})")} AS {a}' for a in 'xyz')} FROM {near(r)} GROUP BY ALL)")
+        out.append(f"g{r + 1} AS MATERIALIZED (SELECT c.cell_code, c.i, {', '.join(f'coalesce(m.{a}, c.{a}) AS {a}' for a in 'xyz')} FROM g{r} AS c LEFT JOIN mm{r} AS m USING (cell_code, i))")
+    return ",\n".join([*out, f"last AS (SELECT * FROM {near(passes - 1)})"])
+
+
+@query(f"{WITH}, {cell_means_sql(3, 10)} SELECT cell_code, min(pos) AS pos, " + ", ".join(f"{TURNED(f'avg({a})')} AS {a}" for a in ("x", "y", "z", "classification")) + ", max(intensity) AS intensity FROM last GROUP BY cell_code, i")
 def cell_means_intended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.lloyd_cells(cells(spark, sf_dir, 3))
+    means = cluster.lloyd_cells(cells(spark, sf_dir, 3), header(spark, sf_dir).box())
+    return means.select("cell_code", "pos", *[cluster.rounded(F.col(a)).alias(a) for a in ("x", "y", "z", "classification")], "intensity")
+
+
+def seeds_sql(k: int, rounds: int, factor: float) -> str:
+    """CTEs of the rounds of k-means||, of which the last is ``heavy``: candidates and their weights."""
+    unit = lambda t: f"((pos + {t * 48271}) % 1000003 * 7919 + 104729) % 1000000 / {d(1000000.0)}"
+    dist = "(p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y) + (p.z - a.z) * (p.z - a.z)"
+    out = [f"a0 AS MATERIALIZED (SELECT 0 AS turn, pos, x, y, z FROM p ORDER BY {unit(0)}, pos LIMIT 1)"]
+    for t in range(1, rounds + 1):
+        out.append(f"d{t} AS MATERIALIZED (SELECT p.pos, any_value(p.x) AS x, any_value(p.y) AS y, any_value(p.z) AS z, min({dist}) AS d2 FROM p, a{t - 1} AS a GROUP BY p.pos)")
+        out.append(f"a{t} AS MATERIALIZED (SELECT * FROM a{t - 1} UNION ALL SELECT {t}, pos, x, y, z FROM d{t}, (SELECT sum(d2) AS cost FROM d{t}) WHERE {unit(t)} * cost < {d(factor * k)} * d2)")
+    out.append(f"near AS (SELECT p.pos AS pos, a.pos AS seed FROM p, a{rounds} AS a QUALIFY row_number() OVER (PARTITION BY p.pos ORDER BY {dist}, a.turn, a.pos) = 1)")
+    return ",\n".join([*out, "heavy AS (SELECT seed AS pos, count(*) AS weight FROM near GROUP BY seed)"])
+
+
+@query(f"{WITH}, {seeds_sql(8, 2, 2.0)} SELECT pos, weight FROM heavy")
+def kmeans_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for eight seeds: two rounds of oversampling, and the points that are nearest to each."""
+    found = cluster.candidate_seeds(points(spark, sf_dir), 8, 2, 2.0)
+    return spark.createDataFrame([(c[0], c[4]) for c in found], "pos bigint, weight bigint")
 
 
 @query(f"""{WITH}, t AS (SELECT *, {" + ".join(f"({a} - {d(o)}) * {d(v)}" for a, o, v in zip("xyz", CAMERA, RAY))} AS t FROM p),

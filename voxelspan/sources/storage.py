@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     fs.mkdirs(path)
     fs.deleteOnExit(path)
     return path.toString() if "://" in path.toString() else f"file://{path.toString().removeprefix('file:')}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and a lost executor takes nothing with it."""
+    path = f"{shared_dir(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -110,3 +110,44 @@ def test_query_sql_on_repeated_rows(spark, tmp_path):
     found = con.execute(f"SELECT {', '.join(names)} FROM ({warc.ROUND_TRIP_SQL})").fetchall()
     mine = warc.round_trip(docs).withColumn("target_uri", F.regexp_replace(F.regexp_replace("target_uri", "%0D", "\r"), "%0A", "\n"))
     assert sorted(map(repr, found)) == sorted(repr(tuple(r)) for r in mine.select(*names).collect())
+
+
+def _read(path, damaged, payload="true"):
+    """The first rows only: a reader that doesn't end would give more."""
+    from itertools import islice
+
+    from pyspark.sql.types import _parse_datatype_string as parse
+
+    reader = warc.Reader({"path": f"file://{path}", "damaged": damaged, "payload": payload}, parse(warc.SCHEMA))
+    return [dict(zip(reader.names, r))["record_id"] for p in reader.partitions() for r in islice(reader.read(p), 50)]
+
+
+def test_lengths_that_lead_nowhere_end_the_read(tmp_path):
+    import struct
+
+    import pytest
+
+    good = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <good>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    bad = lambda n: b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <bad>\r\nContent-Length: %s\r\n\r\nabc\r\n\r\n" % n
+    for i, n in enumerate((b"-1", b"-9", b"-200", b"-100000", b"900", b"9999999999", b"x")):
+        path = tmp_path / f"{i}.warc"
+        path.write_bytes(good + bad(n) + good)
+        for payload in ("true", "false"):
+            with pytest.raises(ValueError):
+                _read(path, "fail", payload)
+            assert _read(path, "skip", payload) in (["<good>"], ["<good>", "<good>"])
+    zero = tmp_path / "zero.warc"
+    zero.write_bytes(good + bad(b"0").replace(b"abc", b"") + good)
+    assert _read(zero, "fail") == ["<good>", "<bad>", "<good>"]
+    assert _read(zero, "skip") == ["<good>", "<bad>", "<good>"]
+    member = warc.record(7, "u", b"payload " * 40, 320, "00", None, False)
+    at = member.index(b"sl") + 4
+    for i, n in enumerate((0, 1, 19, 60, len(member) + 5, 0xFFFFFFFF)):
+        path = tmp_path / f"{i}.warc.gz"
+        path.write_bytes(member + member[:at] + struct.pack("<I", n) + member[at + 4 :] + member)
+        for payload in ("true", "false"):
+            with pytest.raises(ValueError):
+                _read(path, "fail", payload)
+            assert 1 <= len(_read(path, "skip", payload)) <= 3
+    (tmp_path / "empty.warc").write_bytes(b"")
+    assert _read(tmp_path / "empty.warc", "fail") == []

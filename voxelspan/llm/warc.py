@@ -164,6 +164,8 @@ class Member:
                     name, n = struct.unpack_from("<2sH", extra)
                     if name == b"sl" and n == 8:
                         self.end = at + struct.unpack_from("<I", extra, 4)[0]
+                        if self.end < at + 20:  # less than a member's own header and end take
+                            raise ValueError("a member's length is too small")
                     extra = extra[4 + n :]
             self.inflate = zlib.decompressobj(31)
 
@@ -176,6 +178,8 @@ class Member:
         lines = self.data[: max(cut, 0)].decode("utf-8", "replace").split("\r\n")
         self.headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         self.body, self.length = cut + 4, int(self.headers.get("content-length", 0) or 0)
+        if self.length < 0:
+            raise ValueError("a record's length is negative")
         if not self.gzip:
             self.end = self.at + self.body + self.length + 4
         return self
@@ -208,7 +212,11 @@ class Member:
         if self.end is None:
             while not self.inflate.eof and self._more(1 << 16):
                 self.data = self.data[: self.body]
+            if not self.inflate.eof:
+                raise EOFError("a member is cut off")
             self.end = self.read_to - len(self.inflate.unused_data)
+        if self.end - (0 if self.gzip else 4) > self.file.size():  # the line ends behind an uncompressed record may be missing
+            raise EOFError("a record's length leads beyond the file")
         return self.end
 
 
@@ -255,7 +263,7 @@ class Reader(DataSourceReader):
                         after, row = (member and member.end) or size, None
                     if row is not None:
                         yield row
-                    at = after
+                    at = after if after > at else size  # every step goes on
 
     def record(self, member: Member) -> tuple | None:
         """A record's row, None if it doesn't pass the predicates."""

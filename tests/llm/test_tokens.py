@@ -138,3 +138,31 @@ def test_sum_of_squares_is_near_the_bound():
             else:
                 gaps.append(1024 - x)
         assert len(filled) <= 1.02 * len(gaps) + 2
+
+
+def test_placement_is_the_least_sum_of_squares():
+    """Against sums computed anew for each open bin that fits, the fullest of equals."""
+    rng = np.random.default_rng(3)
+    for capacity, n in ((12, 200), (50, 400), (101, 300)):
+        lengths = rng.integers(1, capacity + 1, n)
+        bins, offsets = packing.sum_of_squares(lengths, capacity)
+        filled, total = [], {}
+        for i in sorted(range(n), key=lambda i: (-lengths[i], i)):
+            s, choices = int(lengths[i]), []
+            gaps = np.bincount([capacity - f for f in filled if f < capacity], minlength=capacity + 1)
+            for gap in {capacity - f for f in filled if capacity - f >= s}:
+                after = gaps.copy()
+                after[gap] -= 1
+                if gap > s:
+                    after[gap - s] += 1
+                choices.append((int((after**2).sum()), gap - s))
+            if choices:
+                rest = min(choices)[1]
+                assert capacity - offsets[i] - s == rest, (capacity, i)
+                b = bins[i]
+                assert filled[b] == offsets[i]
+                filled[b] += s
+            else:
+                assert bins[i] == len(filled) and offsets[i] == 0
+                filled.append(s)
+        assert max(filled) <= capacity

@@ -62,8 +62,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     for i in np.argsort(-lengths, kind="stable").tolist():
         s = int(lengths[i])
         gaps = n[s:]  # gap s + r leaves r
-        rise = n[: len(gaps)] - gaps  # half the rise of the sum, but for constants
-        rise[0] -= 1  # a bin that closes adds nothing where it goes
+        rise = 2 * (n[: len(gaps)] - gaps)  # of the sum, but for a constant
+        rise[0] -= 1  # a bin that closes leaves the sum
         rise[gaps == 0] = 1 << 40
         r = int(rise.argmin())
         if gaps[r]:  # an open bin that fits is always used before a new one

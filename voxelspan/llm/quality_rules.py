@@ -141,6 +141,16 @@ def ablation(entries: DataFrame, p: Policy) -> DataFrame:
     )
 
 
+def compare(docs: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
+    """policy, version, n_kept and, for each of its rules, rule, failed, failed_alone, kept_without: all from one recorded ledger."""
+    entries, out = record(docs), None
+    for p in policies:
+        kept = apply_policy(entries, p).agg(F.count(F.when(F.col("kept"), 1)).alias("n_kept"))  # one row
+        one = ablation(entries, p).join(F.broadcast(kept)).select(F.lit(p.name).alias("policy"), F.lit(p.version).alias("version"), "n_kept", "rule", "failed", "failed_alone", "kept_without")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def judge(docs: DataFrame, p: Policy = POLICIES[-1]) -> DataFrame:
     """doc_id, the measurements, fail_bits, base_failed and kept of each row of docs, from its recorded ledger."""
     entries = apply_policy(record(docs), p)
@@ -182,3 +192,12 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
     CAST(n_exclaim AS BIGINT) AS n_exclaim, CAST(fail_bits AS BIGINT) AS fail_bits, fail_bits % 4 <> 0 AS base_failed, fail_bits = 0 AS kept
 FROM b
 """
+
+#: DuckDB SQL for compare() over documents.
+COMPARE_SQL = f"""WITH j AS ({JUDGE_SQL}),
+p AS (SELECT * FROM (VALUES {", ".join(f"('{p.name}', {p.version}, {p.mask})" for p in POLICIES)}) AS p(policy, version, mask)),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES)}) AS r(rule, bit)),
+k AS (SELECT policy, version, count(*) FILTER (fail_bits & (mask | {BASE_MASK}) = 0) AS n_kept FROM j, p GROUP BY policy, version)
+SELECT policy, version, any_value(n_kept) AS n_kept, rule, count(*) FILTER (fail_bits & bit <> 0) AS failed, count(*) FILTER (fail_bits & mask = bit) AS failed_alone,
+    count(*) FILTER (fail_bits & mask & ~bit = 0) AS kept_without
+FROM j, p JOIN k USING (policy, version), r WHERE mask & bit <> 0 GROUP BY policy, version, rule"""

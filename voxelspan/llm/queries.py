@@ -39,6 +39,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_quality_rules"] = quality_rules.JUDGE_SQL
 
 
+@query
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both versions of the policy and what each of their rules costs, from the ledger of op3."""
+    return quality_rules.compare(table(spark, sf_dir, "documents"))
+
+
+ORACLES["quality_policies"] = quality_rules.COMPARE_SQL
+
+
 @query
 def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)

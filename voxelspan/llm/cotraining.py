@@ -1,8 +1,9 @@
 """Quality classifier by co-training (Blum and Mitchell, COLT 1998): a view of the text and a view of the page's metadata.
 
 Each view has a logistic regression. In every round each view scores all unlabelled documents and hands those that it
-is sure enough of, by its calibrated probability, to the other view as pseudo-labels. They are scored where they are;
-fitting gets sums of gradients and Hessians. After the last round both views are calibrated on labelled documents that they were not fitted on and combined by a
+is surest of, of either class, to the other view as pseudo-labels: a share of them, and all beyond some calibrated
+probability. A pseudo-label is that probability, so a view that knows little takes part and misleads little. Documents
+are scored where they are; fitting gets sums of gradients and Hessians. After the last round both views are calibrated on labelled documents that they were not fitted on and combined by a
 logistic regression over their logits, fitted on the same documents.
 """
 
@@ -23,12 +24,16 @@ from voxelspan.llm.toxicity import held_out, sigmoid
 
 #: Labelled documents that fitting uses at most: those whose hashed doc_id comes first.
 LABELLED = 4000
-ROUNDS, SURE = 5, 0.95
-BUCKETS = 24
+#: SHARE of the unlabelled documents is handed over in any case, split by the labels' rate.
+ROUNDS, SURE, SHARE = 5, 0.95, 0.3
+#: Hashed values of language and of source, steps of the stated length (four an octave), steps of a probability.
+BUCKETS, SIZES, STEPS = 32, 80, 1000
+#: Tasks that add up what the others have summed.
+ADDERS = 16
 
 
 def text_view(texts: pa.Array) -> np.ndarray:
-    """Measures of each whole text; null is empty."""
+    """Measures of each whole text, none of which is its length: that is the other view's; null is empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     codes, offsets, _ = words_of(texts)
     n = np.diff(offsets)
@@ -43,22 +48,29 @@ def text_view(texts: pa.Array) -> np.ndarray:
     symbols, bangs, upper, digits, bars, lines = (per(count(p)) for p in ("[#*$%&<>]", "!", "[A-Z]", "[0-9]", r"\|", "\n"))
     length = per(chars)
     rare = per(distinct) * np.log1p(n)  # long texts repeat more words
-    cols = [np.log1p(n), length, np.abs(length - 7), np.minimum(symbols, 3), np.sqrt(symbols), np.minimum(bangs, 3), np.sqrt(bangs), np.minimum(upper, 5), np.sqrt(upper), digits, np.minimum(bars, 2), np.sqrt(bars), lines, per(distinct), rare, per(top), n < 5]
+    cols = [length, np.abs(length - 7), np.minimum(symbols, 3), np.sqrt(symbols), np.minimum(bangs, 3), np.sqrt(bangs), np.minimum(upper, 5), np.sqrt(upper), digits, np.minimum(bars, 2), np.sqrt(bars), lines, per(distinct), rare, per(top)]
     return np.stack([np.asarray(c, float) for c in cols], 1)
 
 
-def meta_view(lang: pa.Array, source: pa.Array, chars: pa.Array) -> np.ndarray:
-    """Hashed language and source and the stated length; nulls are values of their own."""
-    size = pc.fill_null(chars.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
-    out = np.zeros((len(size), 2 * BUCKETS + 3))
-    for k, column in enumerate((lang, source)):
-        at = [zlib.crc32(repr(v).encode()) % BUCKETS for v in column.to_pylist()]
-        out[np.arange(len(at)), k * BUCKETS + np.array(at, int)] = 1
-    log = np.log1p(np.maximum(size, 0))
-    out[:, -3:] = np.stack([log, log * log / 10, size < 60], 1)
+def meta_codes(lang: pa.Array, source: pa.Array, chars: pa.Array) -> np.ndarray:
+    """Numbers of hashed language and source and of the step of the stated length; nulls are values of their own."""
+    hashed = [np.array([zlib.crc32(repr(v).encode()) % BUCKETS for v in c.to_pylist()], int).reshape(-1) for c in (lang, source)]
+    size = pc.fill_null(chars.cast(pa.float64()), -1.0).to_numpy(zero_copy_only=False)
+    step = np.where(size < 0, 0, np.minimum(1 + np.floor(4 * np.log2(1 + np.maximum(size, 0))), SIZES - 1)).astype(int)
+    return np.stack([*hashed, step], 1)
+
+
+def spelled(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(codes), 2 * BUCKETS + SIZES))
+    for k in range(3):
+        out[np.arange(len(codes)), k * BUCKETS + codes[:, k]] = 1
     return out
 
 
+def meta_view(lang: pa.Array, source: pa.Array, chars: pa.Array) -> np.ndarray:
+    return spelled(meta_codes(lang, source, chars))
+
+
 @dataclass
 class Logistic:
     """Weights over standardised features, by Newton's method with a ridge."""
@@ -120,7 +132,7 @@ class Rows:
 
 
 class Table:
-    """The same for a table of _packed() measures (column x); each task sums its rows, the driver gets a vector a task."""
+    """The same for a table of _packed() measures (column x); each task sums its rows, ADDERS tasks their sums."""
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
@@ -135,23 +147,24 @@ class Table:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-        got = sorted(bytes(r["s"]) for r in self.rows.select("x").mapInArrow(run, "s binary").collect())
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = sorted(x for batch in batches for x in batch.column(0).to_pylist())
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([sum(np.frombuffer(x) for x in got).tobytes()], pa.binary())], ["s"])
+
+        sums = self.rows.select("x").mapInArrow(run, "s binary").repartition(ADDERS, "s").mapInArrow(add, "s binary")
+        got = sorted(bytes(r["s"]) for r in sums.collect())
         return sum(np.frombuffer(x) for x in got) if got else None
 
 
-def _packed(text: np.ndarray, meta: np.ndarray) -> list[bytes]:
-    """A row's measures, of its hashed values only their numbers."""
-    codes = [meta[:, k * BUCKETS : (k + 1) * BUCKETS].argmax(1)[:, None] for k in (0, 1)]
-    return [x.tobytes() for x in np.concatenate([*codes, meta[:, -3:], text], 1).astype(float)]
+def _packed(text: np.ndarray, codes: np.ndarray) -> list[bytes]:
+    """A row's measures, of the metadata only the numbers."""
+    return [x.tobytes() for x in np.concatenate([codes, text], 1).astype(float)]
 
 
 def _unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x = np.frombuffer(b"".join(rows)).reshape(len(rows), -1)
-    meta = np.zeros((len(x), 2 * BUCKETS + 3))
-    for k in (0, 1):
-        meta[np.arange(len(x)), k * BUCKETS + x[:, k].astype(int)] = 1
-    meta[:, -3:] = x[:, 2:5]
-    return x[:, 5:], meta
+    return x[:, 3:], spelled(x[:, :3].astype(int))
 
 
 def _newton(w: np.ndarray, z: np.ndarray, y: np.ndarray, rate: np.ndarray) -> np.ndarray:
@@ -160,7 +173,16 @@ def _newton(w: np.ndarray, z: np.ndarray, y: np.ndarray, rate: np.ndarray) -> np
     return np.concatenate([z.T @ (rate * (p - y)), ((z * (rate * p * (1 - p) + 1e-9 * (rate > 0))[:, None]).T @ z).ravel()])
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | Table, rounds: int = ROUNDS, sure: float = SURE) -> Model | None:
+def surest(counts: np.ndarray, prior: float, share: float, sure: float) -> tuple[float, float]:
+    """(low, high): a view hands over what it gives less than low or at least high, from how often it gives each step."""
+    total, steps = counts.sum(), len(counts)
+    above = np.cumsum(counts[::-1])[::-1]  # at least step k
+    high = np.flatnonzero(above >= share * prior * total).max(initial=0) / steps
+    low = (np.flatnonzero(np.cumsum(counts) >= share * (1 - prior) * total).min(initial=steps) + 1) / steps
+    return max(low, 1 - sure), min(high, sure)
+
+
+def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | Table, rounds: int = ROUNDS, sure: float = SURE, share: float = SHARE) -> Model | None:
     """labelled and pool hold the two views' features of the same rows; None if a label is missing.
 
     A pseudo-label weighs half a label, less where all together would weigh more than half the labelled documents.
@@ -172,6 +194,7 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple
     if not all(0 < y[m].sum() < m.sum() for m in (part, ~part)):
         part = np.ones(len(y), bool)  # too few labels to set some apart
     fitting = ~part if not part.all() else part
+    prior = y[fitting].mean()
     rest = Rows(*pool) if isinstance(pool, tuple) else pool
     known = [x[fitting] for x in labelled]
 
@@ -185,6 +208,9 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple
     def refitted(pair: tuple[Logistic, Logistic], start: tuple[Logistic, Logistic]) -> tuple[tuple[Logistic, Logistic], tuple[int, int]]:
         """Both views by Newton's method on the labelled rows and on what the other view of pair is sure of."""
         sources = calibrate(pair)
+        known_by = lambda v, x: sigmoid(sources[v].logit(pair[v].logit(x)[:, None]))
+        steps = lambda text, meta: np.concatenate([np.bincount(np.minimum(known_by(v, x) * STEPS, STEPS - 1).astype(int), minlength=STEPS) for v, x in enumerate((text, meta))]).astype(float)
+        bounds = [surest(h, prior, share, sure) for h in rest.sums(steps).reshape(2, -1)]
         out = tuple(Logistic(v.ridge, v.weights.copy(), v.mean, v.scale) for v in start)
         mine = [v.standard(x) for v, x in zip(out, known)]
         sizes = [len(v.weights) for v in out]
@@ -194,9 +220,9 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple
             def measure(text: np.ndarray, meta: np.ndarray, out=out) -> np.ndarray:
                 parts = []
                 for v, (x, other) in enumerate(((text, meta), (meta, text))):
-                    p = sigmoid(sources[1 - v].logit(pair[1 - v].logit(other)[:, None]))
-                    ok = (p >= sure) | (p <= 1 - sure)
-                    parts += [[ok.sum()], _newton(out[v].weights, out[v].standard(x[ok]), (p[ok] >= sure).astype(float), np.ones(ok.sum()))]
+                    p, (low, high) = known_by(1 - v, other), bounds[1 - v]
+                    ok = (p >= high) | (p < low)
+                    parts += [[ok.sum()], _newton(out[v].weights, out[v].standard(x[ok]), p[ok], np.ones(ok.sum()))]
                 return np.concatenate(parts)
 
             got, at = rest.sums(measure), 0
@@ -238,9 +264,13 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple
     return Model(pair, both, Logistic(0.1).fit(stacked, y[part]), exchanged)
 
 
-def _views(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    get = lambda n: rows.column(n).combine_chunks() if isinstance(rows.column(n), pa.ChunkedArray) else rows.column(n)
-    return text_view(get("text")), meta_view(get("lang"), get("source"), get("n_chars"))
+def _measured(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return text_view(rows.column("text")), meta_codes(rows.column("lang"), rows.column("source"), rows.column("n_chars"))
+
+
+def _views(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    text, codes = _measured(rows)
+    return text, spelled(codes)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -251,7 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
     """Fitted on at most ``labelled`` labelled documents that are not held out and on all unlabelled ones.
 
     Texts are measured where they are; the driver gets the measures of the labelled rows and sums over the others. Of
-    several labels of one document the largest counts, null labels don't.
+    several labels of one document the largest counts, null labels don't; of several rows of one labelled document one is
+    fitted on, whichever measures sort first.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.max("quality") > 0).cast("double").alias("_y"))
     some = F.broadcast(marked.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(labelled))
@@ -260,11 +291,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_packed(*_views(part)), pa.binary())], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_packed(*_measured(part)), pa.binary())], ["doc_id", "x"])
 
     measured = lambda rows: rows.mapInArrow(measure, "doc_id bigint, x binary")
     chosen = measured(_plain(docs).join(some, F.col("doc_id") == F.col("_id"), "left_semi")).join(some, F.col("doc_id") == F.col("_id"))
-    got = sorted((r["doc_id"], bytes(r["x"]), r["_y"]) for r in chosen.select("doc_id", "x", "_y").collect())
+    got = sorted((r["doc_id"], bytes(r["x"]), r["_y"]) for r in chosen.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("_y").alias("_y")).collect())
     if not got:
         return None
     rest = materialize(measured(_plain(docs)).join(marked, F.col("doc_id") == F.col("_id"), "left_anti").select("x"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspan.llm.common import discard, materialize, words_of
+from voxelspan.llm.common import discard, materialize, spread, words_of
 
 #: Words of a gram; windows of a segment at most, so that suffixes differ within 64 words; words of a shard.
 GRAM, RUN, SHARD_WORDS = 7, 29, 800_000
@@ -306,7 +306,8 @@ def _repeated_parts(segments: DataFrame, least: int) -> DataFrame:
     """
     words = F.split("words", " ")
     windows = F.posexplode(F.transform(F.sequence(F.lit(0), F.size(words) - least), lambda p: F.xxhash64(F.slice(words, p + 1, least))))
-    one = segments.select("h", "s1", "s2", "n", windows.alias("p", "w"))
+    # dealt by segment: those of one minimizer come from few tasks
+    one = segments.repartition(spread(segments), "s1", "s2").select("h", "s1", "s2", "n", windows.alias("p", "w"))
     twice = one.groupBy("h", "w").agg(F.sum("n").alias("c")).where("c > 1").select("h", "w")
     left = one.join(twice, ["h", "w"], "left_semi").groupBy("h", "s1", "s2").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     runs = left.join(segments.select("h", "s1", "s2", "words", "n"), ["h", "s1", "s2"])

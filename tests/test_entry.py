@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 REPO = Path(__file__).resolve().parents[1]
-NAMES = ["scale_axis_swap", "file_metadata", "class_hex", "octree_prefix_range", "cell_reduce", "lod_low", "chunk_progress", "cluster_mean", "measure_area", "part_order", "reduced_file_records"]
+NAMES = ["scale_axis_swap", "file_metadata", "class_hex", "octree_prefix_range", "cell_reduce", "lod_low", "chunk_progress", "cluster_mean", "measure_area", "part_order", "reduced_file_records", "pyramid_levels", "pick_rays", "nearest_many", "kmeans_kdtree", "kmeans_candidates", "lod_kept", "cell_means_intended"]
 
 
 def test_queries_and_sql_without_the_corpus_operators(tmp_path):
@@ -32,7 +32,7 @@ def test_query_matches_its_sql(spark, name):
     folder = Path("/root/testdata/sf0.001")
     if not folder.is_dir():
         pytest.skip("no test tables")
-    from voxelspan.plans import registry
+    from voxelspan.plans import registry, spatial  # noqa: F401
 
     con = duckdb.connect()
     for t in folder.glob("*.parquet"):

@@ -302,3 +302,27 @@ def test_an_upload_at_rest_is_forgotten(spark, tmp_path):
         assert spark.table("forgotten").count() == 0
     finally:
         q.stop()
+
+
+def test_a_landed_upload_runs_as_its_options_say(spark, tmp_path):
+    from voxelspan.plans import upload
+
+    data, folder = point_file_bytes(500), tmp_path / "landing"
+    folder.mkdir()
+    size = -(-len(data) // 12)
+    for k in range(12):
+        (folder / f"u1.{k}.12.part").write_bytes(data[k * size : (k + 1) * size])
+    (folder / "u1.options.json").write_text(json.dumps({"clustering": "true", "lod": "1", "density": "x"}))
+    for k in range(2):
+        (folder / f"u11.{k}.2.part").write_bytes(point_file_bytes(9)[k * 300 : (k + 1) * 300])
+    las.register(spark)
+    landed = f"file://{folder}"
+    points = las.read_points(spark, f"{landed}/u1.*.part")
+    assert sorted(r["x"] for r in points.collect()) == [0.5 * i for i in range(500)]  # part 10 after part 9
+    out = upload.process_landed(spark, landed, "u11", "s")
+    assert out.header.count == 9 and out.file is None and {r["event"] for r in out.messages.collect()} >= {"sessionId", "points", "done"}
+    boxed = las.header_bytes(Header(500, (0.5, 0.5, 0.5), low=(0.0, 0.0, 0.0), high=(249.5, 2.0, 3.0), format_id=2, record_length=26)) + data[227:]
+    for k in range(12):
+        (folder / f"u1.{k}.12.part").write_bytes(boxed[k * size : (k + 1) * size])
+    out = upload.process_landed(spark, landed, "u1", "s", depth=4)
+    assert list(out.levels) == ["base", "medium", "low"] and out.file and las.read_header(out.file).count > 0

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from glob import escape
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxelspan.functions import scalar
 from voxelspan.operators import events, octree, reduce
 from voxelspan.schema import OCTREE_DEPTH, WINDOW_POINTS, Header, Options
-from voxelspan.sources import las
+from voxelspan.sources import las, parts
 from voxelspan.sources.storage import shared_dir
 
 
@@ -24,8 +26,15 @@ class Upload:
     messages: DataFrame | None = None
 
 
+def process_landed(spark: SparkSession, folder: str, uploader_id: str, session: str = "", **settings) -> Upload:
+    """process() of the upload whose parts lie in a landing folder, as the options say that came with it; without any, by default."""
+    found = parts.read_options(spark, folder).where(F.col("uploader_id") == uploader_id).limit(1).collect()
+    options = Options(*[found[0][c] for c in ("clustering", "subsample", "lod", "density")]) if found else Options()
+    return process(spark, f"{folder}/{escape(uploader_id)}.*.part", options, session, **settings)
+
+
 def process(spark: SparkSession, uri: str, options: Options, session: str = "", folder: str | None = None, depth: int = OCTREE_DEPTH, window: int = WINDOW_POINTS) -> Upload:
-    """Runs an upload's parts, which are files below uri, as its options say.
+    """Runs an upload's parts, the files that uri names (las.Parts), as its options say.
 
     Without clustering: sampled if asked for, centred, sent in windows. With it: sampled, dealt to cells, reduced,
     centred; sent, written as a reduced file, and with lod sent as two coarser levels. Sampling is done by the scan.

@@ -1,16 +1,18 @@
 """Binary point files: a Spark data source that reads ranges of records, and a distributed writer.
 
-A file may come in several parts, cut anywhere; they are read as one in the order of their names. Every partition is a
+A file may come in several parts, cut anywhere; they are read as one in the order of their names and numbers. Every partition is a
 range of record numbers, so pos needs no shuffle. Records beyond the header's count and a cut-off last record are not
 there.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +65,17 @@ def record_type(fmt: int, length: int) -> np.dtype:
 
 
 class Parts:
-    """Files read as one."""
+    """Files read as one: a file, those of a folder, or those of a folder that a pattern with * names. Numbers in names count as such."""
 
     def __init__(self, uri: str):
         self.store, path = pafs.FileSystem.from_uri(uri)
-        info = self.store.get_file_info(path)
-        files = [info] if info.is_file else [f for f in self.store.get_file_info(pafs.FileSelector(path)) if f.is_file and not f.base_name.startswith((".", "_"))]
-        self.files = sorted(((f.path, f.size) for f in files), key=lambda f: f[0])
+        folder, _, pattern = path.rpartition("/")
+        if "*" not in pattern:
+            folder, pattern = path, "*"
+        info = self.store.get_file_info(folder)
+        files = [info] if info.is_file else [f for f in self.store.get_file_info(pafs.FileSelector(folder)) if f.is_file and not f.base_name.startswith((".", "_")) and fnmatchcase(f.base_name, pattern)]
+        numbered = lambda name: [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"(\d+)", name)]
+        self.files = sorted(((f.path, f.size) for f in files), key=lambda f: numbered(f[0]))
         self.size = sum(n for _, n in self.files)
 
     def read(self, offset: int, length: int) -> bytes:

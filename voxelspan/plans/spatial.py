@@ -72,7 +72,7 @@ def pick_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{WITH}, q AS (SELECT pos AS id, x, y, z FROM p WHERE pos % 6 = 0), c AS (SELECT pos, x, y, z FROM p WHERE pos % 6 = 1),
 m AS (SELECT id, pos, (c.x - q.x) * (c.x - q.x) + (c.y - q.y) * (c.y - q.y) + (c.z - q.z) * (c.z - q.z) AS d2 FROM q, c)
-SELECT id, unnest.rank AS rank, unnest.pos AS pos, unnest.d2 AS d2 FROM (SELECT id, list(struct_pack(d2 := d2, pos := pos) ORDER BY d2, pos)[:3] AS l FROM m GROUP BY id),
+SELECT id, unnest.rank AS rank, unnest.pos AS pos, unnest.d2 AS d2 FROM (SELECT id, min(struct_pack(d2 := d2, pos := pos), 3) AS l FROM m GROUP BY id),
 LATERAL (SELECT unnest(list_transform(l, lambda s, i: struct_pack(rank := CAST(i AS INT), pos := s.pos, d2 := s.d2))) AS unnest)""")
 def nearest_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sixth of the points looks for its three nearest of another sixth."""

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 REPO = Path(__file__).resolve().parents[1]
-NAMES = ["scale_axis_swap", "file_metadata", "class_hex", "octree_prefix_range", "cell_reduce", "lod_low", "chunk_progress", "cluster_mean", "measure_area", "part_order", "reduced_file_records", "pyramid_levels", "pick_rays", "nearest_many", "kmeans_kdtree", "kmeans_candidates", "lod_kept", "cell_means_intended"]
+NAMES = ["scale_axis_swap", "file_metadata", "class_hex", "octree_prefix_range", "cell_reduce", "lod_low", "chunk_progress", "cluster_mean", "measure_area", "part_order", "reduced_file_records", "pyramid_levels", "pick_rays", "nearest_many", "kmeans_kdtree", "kmeans_candidates", "lod_kept", "cell_means_intended", "stage_counts", "time_totals", "viewer_sevens", "viewer_seven_means"]
 
 
 def test_queries_and_sql_without_the_corpus_operators(tmp_path):

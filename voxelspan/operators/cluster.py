@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from voxelspan.operators import kdtree, neighbours, octree
 from voxelspan.operators.kdtree import Centroids
 from voxelspan.operators.octree import Box
+from voxelspan.schema import FIELDS
 from voxelspan.sources.storage import stored
 
 #: Centroids up to which the nearest is one expression, and numbers of points that are ranked together.
@@ -102,6 +103,27 @@ def two_means(points: DataFrame, iterations: int = 50, start: Centroids | None =
     return means(nearest(points, lloyd(points, 2, iterations, start)))
 
 
+def by_sevens(points: DataFrame, width: int = 7) -> DataFrame:
+    """What the viewer takes for points: the values of all points, one after another, read ``width`` at a time.
+
+    points have FIELDS and pos, gapless from 0; returned are pos (of the group) and its values x, y, z, r, g, b, alpha, of
+    which fewer are there for a smaller width. A run of ``width`` points ends where a group ends, so a task needs one
+    such run. A last group that isn't full is left out: it would turn a mean into no number.
+    """
+    names = ("x", "y", "z", "r", "g", "b", "alpha")[:width]
+    row = F.struct("pos", F.array(*FIELDS).alias("v"))
+    runs = points.groupBy(F.floor(F.col("pos") / width).alias("_run")).agg(F.flatten(F.transform(F.sort_array(F.collect_list(row)), lambda s: s["v"])).alias("_v"))
+    place = F.explode(F.sequence(F.lit(0), F.lit(len(FIELDS) - 1))).alias("_k")
+    whole = runs.select("_run", "_v", place).where((F.col("_k") + 1) * width <= F.size("_v"))
+    return whole.select((F.col("_run") * len(FIELDS) + F.col("_k")).alias("pos"), *[F.get("_v", F.col("_k") * width + i).alias(n) for i, n in enumerate(names)])
+
+
+def seven_means(groups: DataFrame, iterations: int = 50, start: Centroids | None = None) -> DataFrame:
+    """The viewer's clustering as it is observed: two clusters of by_sevens(), best stored; alpha is the largest, at least 0."""
+    found = nearest(groups, lloyd(groups, 2, iterations, start)).groupBy("cluster_id")
+    return found.agg(F.count(F.lit(1)).alias("n_groups"), *[F.avg(c).alias(c) for c in ("x", "y", "z", "r", "g", "b")], F.greatest(F.max("alpha"), F.lit(0.0)).alias("alpha"))
+
+
 def rounded(mean: Column) -> Column:
     """To a thousandth, so that the order of additions doesn't show; turned where no mean of hundredths lies."""
     return F.floor(mean * 1000 + TURN) / 1000

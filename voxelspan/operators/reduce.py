@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,12 +94,12 @@ def coarser(cells: DataFrame, slice_rows: int = SLICE, largest: int | None = Non
     return reduce_cells(up, ["leaf_code", "pos"], slice_rows, largest)
 
 
-def levels_of_detail(cells: DataFrame, steps: int = 2, slice_rows: int = SLICE) -> list[DataFrame]:
+def levels_of_detail(cells: DataFrame, steps: int = 2, slice_rows: int = SLICE, watch: Callable[[int, DataFrame], DataFrame] = lambda k, level: level) -> list[DataFrame]:
     """The reduced cells and ``steps`` coarser levels, each reduced from the one before over its own cells.
 
     One aggregation gives the fullest cell of each level before any reduction, a bound of what the level has to reduce.
     Whole cells share one shuffle, by the coarsest; if a cell of any level is too full for one task, or the coarsest
-    are too few to keep a cluster busy, each level has its own.
+    are too few to keep a cluster busy, each level has its own. What ``watch`` makes of a level stands in its place.
     """
     codes = [parent(F.col("cell_code"), k) for k in range(steps + 1)]
     counts = cells.groupBy("cell_code").agg(F.count("*").alias("n"))
@@ -110,23 +112,14 @@ def levels_of_detail(cells: DataFrame, steps: int = 2, slice_rows: int = SLICE)
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if found[steps][0] <= slice_rows and found[steps][1] >= 4 * tasks:
         base = base.repartition(parent(F.col("leaf_code"), steps))
-    level = reduce_cells(base, ["pos"], slice_rows, found[0][0])
+    level = watch(0, reduce_cells(base, ["pos"], slice_rows, found[0][0]))
     out = [level]
     for k in range(1, steps + 1):
-        level = coarser(level, slice_rows, found[k][0])
+        level = watch(k, coarser(level, slice_rows, found[k][0]))
         out.append(level)
     return out
 
 
-def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
-    """stage and n_points of each."""
-    parts = [df.agg(F.count("*").alias("n_points")).select(F.lit(name).alias("stage"), "n_points") for name, df in stages.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def chunks(points: DataFrame, group: str, order: list[str], size: int = 162, depth: int = 0) -> DataFrame:
     """points with chunk_no (from 0) and total_chunks: messages of ``size`` points in (group, order).
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from voxelspan.functions import measure as M
 from voxelspan.functions import scalar as P
-from voxelspan.operators import cluster, octree, reduce, sample
+from voxelspan.operators import cluster, metrics, octree, reduce, sample
 from voxelspan.plans.pointview import POINTS_SQL, RECORDS_SQL, S, header, lod_sql, octree_sql, palette_sql, point_file, points, records, reduce_sql
 from voxelspan.schema import LOD_DISTANCES, VIEW_PALETTE, WINDOW_POINTS
+from voxelspan.sources.storage import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -248,8 +249,21 @@ def lod_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{WITH}, i AS (SELECT {INNER} FROM h), {lod_sql(DEPTH)} SELECT 'raw' AS stage, count(*) AS n_points FROM p UNION ALL SELECT 'sampled', count(*) FROM p WHERE {HASHED} <= 400000
 UNION ALL SELECT 'reduced', count(*) FROM base UNION ALL SELECT 'medium', count(*) FROM medium UNION ALL SELECT 'low', count(*) FROM low""")
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, (base, medium, low) = points(spark, sf_dir), lod(spark, sf_dir)
-    return reduce.stage_counts({"raw": p, "sampled": sample.subsample(p, 0.4, "hash"), "reduced": base, "medium": medium, "low": low})
+    """From one run of the levels of detail."""
+    names = ("reduced", "medium", "low")
+    with metrics.Stages(spark) as seen:
+        raw = seen.watch("raw", points(spark, sf_dir), sampled=sample.hashed(F.col("pos")) <= 400_000)
+        levels = reduce.levels_of_detail(octree.assign_cells(raw, header(spark, sf_dir).box(), DEPTH), watch=lambda k, level: seen.watch(names[k], level))
+        seen.run(levels[-1])
+    return seen.counts()
+
+
+@query("""SELECT event_type AS name, count(*) AS n_samples, CAST(sum(CAST(floor(value) AS BIGINT)) - arg_min(CAST(floor(value) AS BIGINT), event_id) AS BIGINT) AS total_ms,
+CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS intended_ms FROM events GROUP BY event_type""")
+def time_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples of time: their type the name, their value whole milliseconds."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("name"), F.col("event_id").alias("seq"), F.floor("value").alias("ms"))
+    return metrics.time_totals(e).join(metrics.time_totals(e, "intended").select("name", F.col("total_ms").alias("intended_ms")), "name")
 
 
 # ---- messages
@@ -384,6 +398,30 @@ def viewer_two_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("cluster_id", *[cluster.rounded(F.col(a)).alias(a) for a in ("x", "y", "z", "classification")], "intensity")
 
 
+SEVENS = """v AS (SELECT pos * 8 + unnest(range(8)) AS j, unnest([x, y, z, r, g, b, intensity, classification]) AS v FROM q),
+p AS MATERIALIZED (SELECT j // 7 AS pos, """ + ", ".join(f"max(CASE WHEN j % 7 = {i} THEN v END) AS {a}" for i, a in enumerate(("x", "y", "z", "r", "g", "b", "alpha"))) + " FROM v GROUP BY j // 7 HAVING count(*) = 7)"
+SEVENS_WITH = f"WITH {POINTS_SQL.replace('p AS (', 'q AS (').replace('FROM p)', 'FROM q)')}, {SEVENS}"
+
+
+def _sevens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.by_sevens(points(spark, sf_dir))
+
+
+@query(f"{SEVENS_WITH} SELECT * FROM p")
+def viewer_sevens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All groups of seven values that the viewer takes for points."""
+    return _sevens(spark, sf_dir)
+
+
+@query(f"{SEVENS_WITH}, {lloyd_sql(2, 8)} SELECT CAST(i AS INT) AS cluster_id, count(*) AS n_groups, " + ", ".join(f"{TURNED(f'avg({a})')} AS {a}" for a in ("x", "y", "z", "r", "g", "b")) + ", greatest(max(alpha), 0) AS alpha FROM last GROUP BY i")
+def viewer_seven_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two means of those groups, as observed; the first two groups begin."""
+    groups = stored(_sevens(spark, sf_dir))
+    start = [(r["x"], r["y"], r["z"]) for r in groups.where("pos < 2").orderBy("pos").collect()]
+    m = cluster.seven_means(groups, 8, start)
+    return m.select("cluster_id", "n_groups", *[cluster.rounded(F.col(a)).alias(a) for a in ("x", "y", "z", "r", "g", "b")], "alpha")
+
+
 def cell_means_sql(depth: int, passes: int) -> str:
     """CTE ``last``: points with the number of their cluster (i) within their cell."""
     near = lambda r: f"(SELECT s.*, c.i, (s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y) + (s.z - c.z) * (s.z - c.z) AS d2 FROM s JOIN g{r} AS c USING (cell_code) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY d2, i) = 1)"

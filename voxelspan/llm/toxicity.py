@@ -1,7 +1,7 @@
 """Toxicity of whole texts: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as two kinds of input: the word itself, if the training texts have it, and its characters, as n-grams
-of bytes with the word's borders. Each kind has a learned embedding, trained with the network (the characters' is the
+A word enters, without marks at its ends, as two kinds of input: the word itself, if the training texts have it, and its
+characters, as n-grams of bytes with the word's borders. Each kind has a learned embedding, trained with the network (the characters' is the
 mean over a word's n-grams), and a table of shrunken log-odds that the training labels give (of the n-grams maximum and
 mean), in training without a text's own label. The network reads windows of WINDOW words that overlap by WINDOW -
 STRIDE; a document's score is the calibrated maximum over all its windows. A fifth of the labelled texts is kept out of
@@ -10,6 +10,7 @@ training and calibrates.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,11 @@ FEATURES = BASE + WORD_DIM + CHAR_DIM
 PART_BYTES = 2 << 20
 
 
+def bare(words: pa.Array) -> pa.Array:
+    """Words in lower case without the ASCII marks at their ends, which stand at words of every kind; of marks alone nothing is left."""
+    return pc.utf8_trim(pc.utf8_lower(words), characters=string.punctuation)
+
+
 def gram_buckets(words: pa.Array, n: int, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of each word with its borders, one after another, and how many each word has."""
     found, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
@@ -82,7 +88,7 @@ class Tables:
 
     def features(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """(word, BASE) for distinct words, the place of each in the vocabulary (-1: none), and its first kind of n-grams."""
-        lower = pc.utf8_lower(words)
+        lower = bare(words)
         at = pc.fill_null(pc.index_in(lower, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False)
         out, grams = np.zeros((len(words), BASE), np.float32), None
         if len(self.words):
@@ -309,7 +315,7 @@ def trained(texts: list[str | None], y: np.ndarray, epochs: int, seed: int) -> t
     """An uncalibrated model, and the highest logit of each text."""
     rng, rate = np.random.default_rng(seed), float(y.mean())
     codes, offsets, words = words_of(pa.array(texts, pa.large_string()))
-    lower = pc.utf8_lower(words).dictionary_encode()
+    lower = bare(words).dictionary_encode()
     codes, words = lower.indices.to_numpy().astype(np.int64)[codes], lower.dictionary
     text_of = np.repeat(np.arange(len(y)), np.diff(offsets))
     pairs = np.unique(text_of * len(words) + codes)  # each text's distinct words

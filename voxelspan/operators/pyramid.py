@@ -19,6 +19,16 @@ from voxelspan.operators.octree import Box
 PAGE_ROWS, GROUP_BYTES = 4096, 8 << 20
 
 
+def whole(value: Column) -> Column:
+    """The part of a number before the point, as a decimal: sums of those lose nothing, in whatever order."""
+    return F.floor(value).cast("decimal(20,0)")
+
+
+def exact_sum(value: str) -> Column:
+    """A sum that rounds as if it were rounded once: what stands before the point is added up exactly, the rest is small."""
+    return F.sum(whole(F.col(value))).cast("double") + F.sum(F.col(value) - F.floor(value))
+
+
 def levels_of(cells: DataFrame, depth: int, by: list[str] | None = None) -> DataFrame:
     """level, cell_code, n_points, min and max and sum of x, y, z, max_intensity for levels 0 to depth.
 
@@ -26,11 +36,13 @@ def levels_of(cells: DataFrame, depth: int, by: list[str] | None = None) -> Data
     the same for each group.
     """
     own = list(by or [])
-    ends = [f(a).alias(f"{f.__name__}_{a}") for a in "xyz" for f in (F.min, F.max, F.sum)]
+    ends = [f(a).alias(f"{f.__name__}_{a}") for a in "xyz" for f in (F.min, F.max)]
+    ends += [s for a in "xyz" for s in (F.sum(whole(F.col(a))).alias(f"_w{a}"), F.sum(F.col(a) - F.floor(a)).alias(f"_f{a}"))]  # as exact_sum() adds
     leaf = cells.groupBy(*own, "cell_code").agg(F.count("*").alias("n_points"), *ends, F.max("intensity").alias("max_intensity"))
     names = [f"_c{k}" for k in range(depth + 1)]
     leaf = leaf.withColumns({c: octree.parent(F.col("cell_code"), depth - k) for k, c in enumerate(names)})
-    merged = [f(f"{f.__name__}_{a}").alias(f"{f.__name__}_{a}") for a in "xyz" for f in (F.min, F.max, F.sum)]
+    merged = [f(f"{f.__name__}_{a}").alias(f"{f.__name__}_{a}") for a in "xyz" for f in (F.min, F.max)]
+    merged += [(F.sum(f"_w{a}").cast("double") + F.sum(f"_f{a}")).alias(f"sum_{a}") for a in "xyz"]
     level = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(k)) for k, c in enumerate(names)]).alias("level")
     rolled = leaf.groupingSets([[*map(F.col, own), F.col(c)] for c in names], *own, *names).agg(level, F.sum("n_points").alias("n_points"), *merged, F.max("max_intensity").alias("max_intensity"))
     return rolled.select(*own, "level", F.coalesce(*names).alias("cell_code"), "n_points", *[f"{f}_{a}" for a in "xyz" for f in ("min", "max", "sum")], "max_intensity")

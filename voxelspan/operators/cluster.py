@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from voxelspan.operators import kdtree, neighbours, octree
 from voxelspan.operators.kdtree import Centroids
 from voxelspan.operators.octree import Box
+from voxelspan.operators.pyramid import exact_sum
 from voxelspan.schema import FIELDS
 from voxelspan.sources.storage import stored
 
-#: Centroids up to which the nearest is one expression, and numbers of points that are ranked together.
+#: Centroids up to which the nearest is one expression (of more, its code is too long to be compiled), and numbers of
+#: points that are ranked together.
 WIDE, SLICE = 64, 1 << 20
 TURN = 0.4142135
 
@@ -55,12 +57,12 @@ def _nearest_in_batches(points: DataFrame, centroids: Centroids) -> DataFrame:
 
 
 def cost(assigned: DataFrame) -> DataFrame:
-    return assigned.groupBy("cluster_id").agg(F.count("*").alias("n_points"), F.sum("d2").alias("sse"))
+    return assigned.groupBy("cluster_id").agg(F.count("*").alias("n_points"), exact_sum("d2").alias("sse"))
 
 
 def mean_cost(assigned: DataFrame, k: int, fields: int = 8) -> DataFrame:
     """The variant that divides by the count of centroid values."""
-    return assigned.agg((F.sum("d2") / F.lit(float(fields * k))).alias("mean_cost"))
+    return assigned.agg((exact_sum("d2") / F.lit(float(fields * k))).alias("mean_cost"))
 
 
 def means(assigned: DataFrame) -> DataFrame:
@@ -250,15 +252,25 @@ def parallel_seeds(points: DataFrame, k: int, rounds: int = 3, factor: float = 2
 
 
 def prefix_costs(points: DataFrame, order: str, k_max: int) -> DataFrame:
-    """k and the cost of taking the first k points as centroids, for k up to k_max; the driver holds k_max points."""
-    first = points.orderBy(order).limit(k_max).select("x", "y", "z").collect()
-    near = F.lit(None).cast("double")
-    costs = []
-    for k, c in enumerate(first, 1):
-        near = F.least(near, squared((c["x"], c["y"], c["z"])))  # least() skips the null
-        costs.append(F.struct(F.lit(k).alias("k"), near.alias("d2")))
-    each = points.select(F.explode(F.array(*costs)).alias("c"))
-    return each.groupBy(F.col("c.k").alias("k")).agg(F.sum("c.d2").alias("cost"))
+    """k and the cost of taking the first k points as centroids, for k up to k_max; the driver holds k_max points.
+
+    A batch of points is one row a k; those are added up without loss.
+    """
+    first = [(r["x"], r["y"], r["z"]) for r in points.orderBy(order).limit(k_max).select("x", "y", "z").collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = [batch.column(a).to_numpy(zero_copy_only=False) for a in "xyz"]
+            near, costs = np.full(batch.num_rows, np.inf), []
+            for c in first:
+                w = [v - o for v, o in zip(p, c)]
+                near = np.fmin(near, w[0] * w[0] + w[1] * w[1] + w[2] * w[2])
+                costs.append(float(near.sum()))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(range(1, len(first) + 1), pa.int32()), pa.array(costs, pa.float64())], ["k", "cost"])
+
+    placed = points.select("x", "y", "z").where("x is not null and y is not null and z is not null")
+    return placed.mapInArrow(run, "k int, cost double").groupBy("k").agg(exact_sum("cost").alias("cost"))
 
 
 def largest_drop(costs: DataFrame) -> DataFrame:

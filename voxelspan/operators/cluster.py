@@ -20,7 +20,7 @@ from voxelspan.sources.storage import stored
 
 #: Centroids up to which the nearest is one expression (of more, its code is too long to be compiled), and numbers of
 #: points that are ranked together.
-WIDE, SLICE = 64, 1 << 20
+WIDE, SLICE = 8, 1 << 20
 TURN = 0.4142135
 
 

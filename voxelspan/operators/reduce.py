@@ -15,12 +15,13 @@ SLICE = 1 << 20
 COARSE_LEVELS = 4
 
 
-def numbered(df: DataFrame, group: str | list[str], order: list[Column | str], name: str = "rn", coarse: Column | None = None, total: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, group: str | list[str], order: list[Column | str], name: str = "rn", coarse: Column | None = None, total: str | None = None, ranges: int | None = None) -> DataFrame:
     """df with a running number from 1 over (group, order), and the count of all rows as ``total`` if that is named.
 
     Rows are numbered within their group; the groups' counts give what stands before each. ``coarse`` is a column over
     the group's columns, rising with them and of a few thousand values: counts are summed within each, and only one row
-    for each of those meets in one task. Without it, the groups themselves have to be that few.
+    for each of those meets in one task. Without it, the groups themselves have to be that few. With ``ranges`` rows are dealt
+    to that many partitions by ranges of the group, and come out in their order; the groups have to be few enough to broadcast.
     """
     groups = [group] if isinstance(group, str) else list(group)
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
@@ -32,29 +33,30 @@ def numbered(df: DataFrame, group: str | list[str], order: list[Column | str], n
         tops = counts.groupBy("_k").agg(F.sum("_c").alias("_c"))
         tops = tops.select("_k", F.coalesce(F.sum("_c").over(before(Window.orderBy("_k"))), F.lit(0)).alias("_s0"), F.sum("_c").over(Window.partitionBy()).alias("_t"))
         starts = counts.join(F.broadcast(tops), "_k").select(*groups, (F.col("_s0") + within).alias("_s"), "_t")  # some thousand rows
-    local = df.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
-    out = local.join(starts, groups).withColumn(name, F.col("_s") + F.col("_r"))
+    dealt = df.repartitionByRange(ranges, *groups) if ranges else df  # the window and the join leave rows where they are
+    local = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    out = local.join(F.broadcast(starts) if ranges else starts, groups).withColumn(name, F.col("_s") + F.col("_r"))
     if total:
         out = out.withColumn(total, F.col("_t"))
     return out.drop("_s", "_r", "_t")
 
 
+#: Rows of a cell that can stay: its first, and those of its first half.
+HALF = "_rn = 1 or _rn * 2 <= _n"
+
+
 def _reduce_whole(cells: DataFrame, order: list[str]) -> DataFrame:
     """One shuffle, by cell."""
     cell = Window.partitionBy("cell_code")
-    df = cells.withColumns({
-        "_rn": F.row_number().over(cell.orderBy(*order)),
-        "_fo": F.row_number().over(Window.partitionBy("cell_code", "x", "y", "z").orderBy(*order)),
-        "_n": F.count("*").over(cell),
-    })
-    new = F.when((F.col("_fo") == 1) & (F.col("_rn") * 2 <= F.col("_n")), F.col("_rn"))
-    df = df.withColumn("_keep", F.when(F.col("_n") == 1, F.lit(1)).otherwise(F.max(new).over(cell)))
+    df = cells.withColumns({"_rn": F.row_number().over(cell.orderBy(*order)), "_n": F.count("*").over(cell)}).where(HALF)
+    df = df.withColumn("_fo", F.row_number().over(Window.partitionBy("cell_code", "x", "y", "z").orderBy("_rn")))
+    df = df.withColumn("_keep", F.max(F.when(F.col("_fo") == 1, F.col("_rn"))).over(cell))
     return df.where("_rn <= _keep").drop("_rn", "_fo", "_n", "_keep")
 
 
 def _reduce_sliced(cells: DataFrame, order: list[str], slice_rows: int) -> DataFrame:
-    """By ranges of the order: places are counted by aggregation, a rank is the rank within the range plus the points of
-    earlier ranges, and the cut is an aggregate again."""
+    """By ranges of the order: a rank is the rank within the range plus the points of earlier ranges; first halves are all
+    that goes on. Their places are counted by aggregation, the cut is an aggregate again, and comes to the ranges."""
     *outer, last = order
     part = ["cell_code", *outer, "_s"]
     sliced = cells.withColumn("_s", F.floor(F.col(last) / slice_rows).cast("bigint"))
@@ -63,9 +65,11 @@ def _reduce_sliced(cells: DataFrame, order: list[str], slice_rows: int) -> DataF
     earlier = F.sum("_c").over(cell.orderBy(*part[1:]).rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(*part, F.coalesce(earlier, F.lit(0)).alias("_b"), F.sum("_c").over(cell).alias("_n"))
     ranked = sliced.join(starts, part).withColumn("_rn", F.col("_b") + F.row_number().over(Window.partitionBy(*part).orderBy(last)))
-    firsts = ranked.groupBy("cell_code", "x", "y", "z").agg(F.min(F.struct("_rn", "_n")).alias("f"))
-    keep = firsts.groupBy("cell_code").agg(F.greatest(F.max(F.when(F.col("f._rn") * 2 <= F.col("f._n"), F.col("f._rn"))), F.lit(1)).alias("_keep"))
-    return ranked.join(keep, "cell_code").where("_rn <= _keep").select(*cells.columns)
+    half = ranked.where(HALF)
+    firsts = half.groupBy("cell_code", "x", "y", "z").agg(F.min("_rn").alias("_rn"))
+    keep = firsts.groupBy("cell_code").agg(F.max("_rn").alias("_keep"))
+    cuts = starts.where("_b = 0 or _b * 2 < _n").join(keep, "cell_code").select(*part, "_keep")
+    return half.join(cuts, part).where("_rn <= _keep").select(*cells.columns)
 
 
 def reduce_cells(cells: DataFrame, order: list[str] | None = None, slice_rows: int = SLICE, largest: int | None = None) -> DataFrame:

@@ -60,7 +60,8 @@ def _numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = raw.select(*ORDER, "l_quantity", F.floor((F.col("l_orderkey") - F.lit(lo or 0)) / F.lit(width)).alias("_bucket"))
     c = _coordinates()
     coarse = F.floor(F.col("_bucket") / F.lit(-(-buckets // BUCKETS))) if buckets > BUCKETS else None
-    return numbered(df, "_bucket", ORDER, coarse=coarse).select(
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-header(spark, sf_dir).count // 1_000_000))
+    return numbered(df, "_bucket", ORDER, coarse=coarse, ranges=tasks).select(
         (F.col("rn") - 1).alias("pos"), *[v.alias(k) for k, v in c.items()], F.pmod(c["ix"], F.lit(256)).alias("ir"), (F.pmod(c["iy"], F.lit(3)) * 100).alias("ig"),
         F.lit(0).alias("ib"), F.col("l_quantity").alias("intensity"), F.col("l_linenumber").cast("double").alias("classification"),
     )
@@ -74,8 +75,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def make() -> tuple:
         path, df = f"{shared_dir(spark)}/records", _numbered_records(spark, sf_dir)
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df.repartitionByRange(max(tasks, -(-header(spark, sf_dir).count // 1_000_000)), "pos").sortWithinPartitions("pos").write.parquet(path)
+        df.write.parquet(path)  # numbered within ranges of orders: ranges of pos, and sorted
         return path, df.schema
 
     path, schema = _stored(spark, sf_dir, "records", make)

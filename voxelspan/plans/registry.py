@@ -498,8 +498,10 @@ def angle_sql(a: int, at: int, c: int) -> str:
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """shape_id and p1 to p4 of every four consecutive centred points."""
     c = points(spark, sf_dir).withColumns(P.centred(header(spark, sf_dir)))
-    at = lambda k: F.max(F.when(F.pmod(F.col("pos"), F.lit(4)) == k - 1, F.struct("x", "y", "z"))).alias(f"p{k}")
-    return c.groupBy(F.floor(F.col("pos") / 4).alias("shape_id")).agg(*[at(k) for k in (1, 2, 3, 4)], F.count("*").alias("_n")).where("_n = 4").drop("_n")
+    at = lambda k, a: F.max(F.when(F.pmod(F.col("pos"), F.lit(4)) == k - 1, F.col(a))).alias(f"{a}{k}")
+    # numbers, not structs: those are aggregated by hashing, without sorting all points
+    flat = c.groupBy(F.floor(F.col("pos") / 4).alias("shape_id")).agg(*[at(k, a) for k in (1, 2, 3, 4) for a in "xyz"], F.count("*").alias("_n")).where("_n = 4")
+    return flat.select("shape_id", *[F.struct(*[F.col(f"{a}{k}").alias(a) for a in "xyz"]).alias(f"p{k}") for k in (1, 2, 3, 4)])
 
 
 def corners() -> list[M.Point]:

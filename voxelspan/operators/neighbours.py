@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelspan.operators import octree
+from voxelspan.operators import kdtree, octree
 from voxelspan.operators.octree import Box
 from voxelspan.operators.pyramid import Pyramid, high2, levels_of, low2
 from voxelspan.sources.storage import stored
 
-#: Levels of at most 8 ** 4 cells, which every task may hold.
-SMALL_LEVELS = 4
+#: Points of a cell that isn't cut further, points of a box within it, and queries that are held against those at once.
+CELL_POINTS, BOX_POINTS, AT_ONCE = 4096, 256, 4096
+#: Cells that every task may hold.
+SMALL = 1 << 17
 #: Cells of a ray that are read first, and by how much later rounds grow.
 FIRST_CELLS, GROWTH = 8, 8
 #: Cells up to which a round's are named to the files.
@@ -26,19 +32,79 @@ def depth_for(n: int) -> int:
     return depth
 
 
-def nearest_join(queries: DataFrame, points: DataFrame, box: Box, depth: int, k: int = 1, by: str | None = None) -> DataFrame:
+def closest(q: np.ndarray, bound: np.ndarray, p: np.ndarray, pos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """d2 and pos of the k of p that are nearest to each of q, the smallest pos first of equals; inf and -1 beyond.
+
+    What lies farther than bound may be left out. Boxes of p are looked at whole: the nearest one, then those that can
+    still hold something.
+    """
+    nodes, order = kdtree.grow(p, BOX_POINTS)
+    boxes = nodes[nodes["left"] < 0]
+    held = [o[np.argsort(pos[o])] for o in (order[b["start"] : b["stop"]] for b in boxes)]
+    best, who = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
+    for start in range(0, len(q), AT_ONCE):
+        some, d, w = q[start : start + AT_ONCE], best[start : start + AT_ONCE], who[start : start + AT_ONCE]
+        limit = bound[start : start + AT_ONCE]
+        low = np.zeros((len(some), len(boxes)))
+        for a in range(3):
+            away = np.maximum(np.maximum(boxes["low"][None, :, a] - some[:, a, None], some[:, a, None] - boxes["high"][None, :, a]), 0)
+            low += away * away
+        nearest = low.argmin(1)
+
+        def look(rows: np.ndarray, i: int) -> None:
+            own, n = p[held[i]], min(k, len(held[i]))
+            v = [own[None, :, a] - some[rows, a, None] for a in range(3)]
+            far = v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+            pick = far.argmin(1)[:, None] if n == 1 else np.argsort(far, 1, kind="stable")[:, :n]  # the first of equals has the smallest pos
+            both = np.concatenate([d[rows], np.take_along_axis(far, pick, 1)], 1), np.concatenate([w[rows], pos[held[i]][pick]], 1)
+            first = np.lexsort(both[::-1], axis=1)[:, :k]
+            d[rows], w[rows] = np.take_along_axis(both[0], first, 1), np.take_along_axis(both[1], first, 1)
+
+        for i in np.unique(nearest).tolist():
+            look(np.flatnonzero(nearest == i), i)
+        for i in range(len(boxes)):
+            # widened by more than rounding can take
+            rows = np.flatnonzero((nearest != i) & (low[:, i] <= np.minimum(d[:, -1], limit) * (1 + 1e-9) + 1e-300))
+            if len(rows):
+                look(rows, i)
+    return best, who
+
+
+def _held(queries: DataFrame, cells: DataFrame, keys: list[str], own: list[str], k: int, last: bool = False) -> DataFrame:
+    """Queries (id, qx, qy, qz, hint) against the points of their cell: pos and d2 of the k nearest, or with last d2 of the k-th."""
+    kinds = dict(queries.dtypes)
+    names = [*own, "id", "d2"] if last else [*own, "id", "pos", "d2"]
+    schema = ", ".join(f"`{n}` {kinds.get(n, {'pos': 'bigint', 'd2': 'double'}.get(n))}" for n in names)
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        numbers = lambda t, columns: np.stack([t.column(x).to_numpy() for x in columns], 1)
+        if not q.num_rows or not c.num_rows:
+            return pa.table({n: pa.array([], q.schema.field(n).type if n in q.schema.names else pa.int64() if n == "pos" else pa.float64()) for n in names})
+        bound = q.column("hint").fill_null(float("inf")).to_numpy()
+        d2, who = closest(numbers(q, ("qx", "qy", "qz")), bound, numbers(c, "xyz"), c.column("pos").to_numpy(), k)
+        i, j = np.nonzero(who >= 0) if not last else (np.flatnonzero(who[:, -1] >= 0), -1)
+        out = {n: q.column(n).take(pa.array(i)) for n in [*own, "id"]} | {"pos": who[i, j], "d2": d2[i, j]}
+        return pa.table({n: out[n] for n in names})
+
+    q = queries.select(*keys, "id", "qx", "qy", "qz", "hint")
+    return q.groupBy(*keys).cogroup(cells.select(*keys, "pos", "x", "y", "z").groupBy(*keys)).applyInArrow(run, schema)
+
+
+def nearest_join(queries: DataFrame, points: DataFrame, box: Box, depth: int, k: int = 1, by: str | None = None, cell_points: int = CELL_POINTS) -> DataFrame:
     """The k nearest of ``points`` (pos, x, y, z, intensity) to each of ``queries`` (id, x, y, z): id, rank, pos, d2.
 
     Of equally near ones the smallest pos comes first. Points outside ``box`` take no part; queries may lie anywhere.
     Fewer than k rows if there are fewer points. With ``by``, a column of both (not one of a pyramid's), a query looks among the points of its own
     group only; an id is then one within its group, and the group is returned too.
 
-    From the root on, each query keeps the cells that can hold one of its k nearest: those no farther, at their extent's
-    nearest, than a distance within which k points must be. The next level joins the children of those cells only, the
-    last one their points. So a query meets some cells a level, however many points there are. Of points at the same
-    place, no more than the first k are looked at; a place with very many points is one row a query.
+    Cells are cut until they hold at most ``cell_points`` points, or are of ``depth``. A query is held against the cell
+    that it lies in, which gives a distance within which k points are; then, from the root on, it keeps the cells that
+    reach into that distance, and is held against those. So a query is moved once for each cell near it. A query that
+    lies where no k points are goes down by the cells' extents instead: those no farther, at their nearest, than a
+    distance within which k points must be. Of points at the same place, no more than the first k are looked at.
     """
     own = [by] if by else []
+    keys = [*own, "level", "cell"]
     at = tuple(F.col(f"q{a}") for a in "xyz")
     place = Window.partitionBy(*own, "x", "y", "z").orderBy("pos")
     if k > 1:
@@ -46,23 +112,45 @@ def nearest_join(queries: DataFrame, points: DataFrame, box: Box, depth: int, k:
     else:
         first = points.groupBy(*own, "x", "y", "z").agg(F.min("pos").alias("pos"))
     cells = stored(octree.assign_cells(first.select(*own, "pos", "x", "y", "z", F.lit(0.0).alias("intensity")), box, depth))
-    levels = stored(levels_of(cells, depth, own))
-    frontier = queries.select(*own, "id", *[F.col(a).alias(f"q{a}") for a in "xyz"], F.lit(0).cast("bigint").alias("cell"))
     ends = [f"{f}_{a}" for a in "xyz" for f in ("min", "max")]
+    levels = stored(levels_of(cells, depth, own).select(*own, "level", F.col("cell_code").alias("cell"), "n_points", *ends))
+    cut = levels.where(F.col("n_points") > cell_points).select(*own, (F.col("level") + 1).alias("level"), F.col("cell").alias("_up"))
+    up = octree.parent(F.col("cell")).alias("_up")
+    tree = levels.where("level = 0").select(*keys, F.lit(0).cast("bigint").alias("_up"), "n_points", *ends).unionByName(levels.where("level > 0").select("*", up).join(cut, [*own, "level", "_up"]))
+    leaf = (F.col("n_points") <= cell_points) | (F.col("level") == depth)
+    tree = stored(tree.withColumn("leaf", leaf))
+    found = {(r["level"], r["leaf"]): r["n"] for r in tree.groupBy("level", "leaf").agg(F.count("*").alias("n")).collect()}
+    told: Callable[[DataFrame], DataFrame] = F.broadcast if sum(found.values()) <= SMALL else lambda df: df
+    ends_at = sorted(level for level, is_leaf in found if is_leaf)
+
+    def placed(df: DataFrame) -> DataFrame:
+        each = df.withColumn("level", F.explode(F.lit(ends_at).cast("array<int>"))).withColumn("cell", F.expr(f"shiftright(cell_code, 3 * ({depth} - level))"))
+        return each.join(told(tree.where("leaf").select(*keys)), keys)
+
+    held = placed(cells)
+    asked = queries.select(*own, "id", *[F.col(a).alias(f"q{a}") for a in "xyz"])
+    within = placed(octree.assign_cells(queries.select(*own, "id", "x", "y", "z"), box, depth)).withColumnsRenamed({a: f"q{a}" for a in "xyz"})
+    hints = stored(_held(within.withColumn("hint", F.lit(None).cast("double")), held, keys, own, k, last=True).withColumnRenamed("d2", "hint"))
+    seen, blind = asked.join(hints, [*own, "id"]), asked.join(hints, [*own, "id"], "left_anti").withColumn("hint", F.lit(None).cast("double"))
     one = Window.partitionBy(*own, "id")
-    for level in range(1, depth + 1):
-        below = levels.where(F.col("level") == level).select(*own, octree.parent(F.col("cell_code")).alias("cell"), "cell_code", "n_points", *ends)
-        below = F.broadcast(below) if level <= SMALL_LEVELS and not by else below
-        near = frontier.join(below, [*own, "cell"]).withColumns({"_low": low2(at), "_high": high2(at)})
-        held = F.sum("n_points").over(one.orderBy("_high", "cell_code"))
-        near = near.withColumn("_held", held).withColumn("_bound", F.min(F.when(F.col("_held") >= k, F.col("_high"))).over(one))
-        # the bound is widened by more than rounding can take from it
-        frontier = near.where(F.col("_bound").isNull() | (F.col("_low") <= F.col("_bound") * (1 + 1e-9) + 1e-300)).select(*own, "id", "qx", "qy", "qz", F.col("cell_code").alias("cell"))
-        if level > SMALL_LEVELS:
-            frontier = stored(frontier)
-    d = [F.col(a) - q for a, q in zip("xyz", at)]
-    found = frontier.join(cells.select(*own, F.col("cell_code").alias("cell"), "pos", "x", "y", "z"), [*own, "cell"]).withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    best = found.withColumn("rank", F.row_number().over(one.orderBy("d2", "pos")))
+    far = lambda bound: bound * (1 + 1e-9) + 1e-300  # noqa: E731  more than rounding can take
+
+    def narrowed(near: DataFrame) -> DataFrame:
+        near = near.withColumn("_held", F.sum("n_points").over(one.orderBy("_high", "level", "cell")))
+        near = near.withColumn("_bound", F.min(F.when(F.col("_held") >= k, F.col("_high"))).over(one))
+        return near.where(F.col("_bound").isNull() | (F.col("_low") <= far(F.col("_bound"))))
+
+    def down(rows: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        rows = rows.withColumns({"level": F.lit(0), "cell": F.lit(0).cast("bigint")})
+        for level in range(1, max((lv for lv, _ in found), default=0) + 1):
+            # a cell's children, or itself if it isn't cut
+            below = tree.where(F.col("level") == level).withColumn("_level", F.lit(level - 1)).unionByName(tree.where(F.col("leaf") & (F.col("level") < level)).withColumns({"_up": F.col("cell"), "_level": F.col("level")}))
+            rows = rows.withColumnsRenamed({"level": "_level", "cell": "_up"}).join(told(below), [*own, "_level", "_up"])
+            rows = keep(rows.withColumns({"_low": low2(at), "_high": high2(at)})).select(*keys, "id", "qx", "qy", "qz", "hint")
+        return rows
+
+    met = down(seen, lambda near: near.where(F.col("_low") <= far(F.col("hint")))).unionByName(down(blind, narrowed))
+    best = _held(met, held, keys, own, k).withColumn("rank", F.row_number().over(one.orderBy("d2", "pos")))
     return best.where(F.col("rank") <= k).select(*own, "id", "rank", "pos", "d2")
 
 

@@ -1,7 +1,9 @@
 """Near copies by resemblance: texts whose sets of word shingles have a Jaccard similarity of at least some bound.
 
-Candidates are texts that agree on a band of MinHash values; each is verified on the whole shingle sets. A pair at the
-bound 0.8 shares none of the bands with a probability of 7 in 100,000, a more similar one with less. Candidates that
+SimHash comes first: texts whose 64-bit fingerprints of those shingles differ in at most MAX_BITS bits are candidates. At
+the bound 0.8 fingerprints differ in more bits than pigeonhole blocks can reach, so what SimHash leaves apart are
+candidates if they agree on a band of MinHash values. Each candidate is verified on the whole shingle sets. A pair at the
+bound shares none of the bands with a probability of 7 in 100,000, a more similar one with less. Candidates that
 links already found connect are not verified again, so a large group costs some links a text and not all its pairs.
 """
 
@@ -17,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspan.llm.common import connected_components, discard, give_back, materialize, words_of
-from voxelspan.llm.simhash import named_groups, survivors
+from voxelspan.llm.simhash import links, named_groups, survivors
 
 SHINGLE, SIMILAR = 5, 0.8
+#: Bits in which the fingerprints of SimHash's candidates may differ.
+MAX_BITS = 4
 BANDS, ROWS = 24, 5
 #: Rounds in which the texts of a bucket are held against one of them, before those that are still apart are joined by
 #: their rarest shingles.
@@ -80,6 +84,15 @@ def bands(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each text's SimHash: a bit is 1 if it is set in over half of its shingles' hashes; 0 for texts without shingles."""
+    out = np.zeros(len(ends) - 1, np.uint64)
+    for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        bits = np.unpackbits(hashes[a:b].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        out[i] = np.packbits(2 * bits.sum(0, dtype=np.int64) > b - a).view(">u8")[0]
+    return out
+
+
 def _marked(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +100,10 @@ def _marked(docs: DataFrame, size: int) -> DataFrame:
                 some = batch.slice(k, 1000)
                 h, ends = shingles(some.column(1), size)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(some.num_rows + 1) * BANDS, pa.int32()), pa.array(bands(h, ends).view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([mark(t.as_py()) for t in some.column(1)], pa.int64()), keys], ["doc_id", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([mark(t.as_py()) for t in some.column(1)], pa.int64()), keys, pa.array(fingerprints(h, ends).view(np.int64))], ["doc_id", "fp", "keys", "sim"])
         give_back()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint, keys array<bigint>, sim bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -137,17 +150,30 @@ def prefix_pairs(sets: DataFrame, similar: float) -> DataFrame:
     return small.join(large, "e").where(fits & room).select("a", "b")
 
 
+def simhash_pairs(firsts: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """a, b: SimHash's candidates among marks (fp) with their fingerprints (sim); of texts of one fingerprint, each with one of them."""
+    worded = firsts.where(F.element_at("keys", 1) != 0).select("fp", "sim")
+    one = materialize(worded.groupBy("sim").agg(F.min("fp").alias("least"), F.count("*").alias("n")))
+    near = materialize(links(one.select(F.col("sim").alias("fp")), max_bits)).distinct()
+    of = lambda n: one.select(F.col("sim").alias(n), F.col("least").alias(f"m{n}"))
+    apart = near.join(of("a"), "a").join(of("b"), "b").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+    same = worded.join(one.where("n > 1"), "sim").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    return materialize(apart.unionByName(same))
+
+
 def groups(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """doc_id and mark (fp) of each row, and each mark's group: fp, root, component_id (the group's smallest doc_id).
 
     Texts of the same words are one mark. Null and wordless texts are alike, and like no other.
     """
     marked = materialize(_marked(docs, size))
-    firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")))
+    firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("sim").alias("sim")))
     keyed = firsts.select("fp", F.explode("keys").alias("key")).where("key <> 0")
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = materialize(keyed.join(crowded, "key"))
-    sets = materialize(_sets(docs, shared.select("fp").distinct(), size))
+    by_simhash = simhash_pairs(firsts)
+    wanted = shared.select("fp").unionByName(by_simhash.select(F.col("a").alias("fp"))).unionByName(by_simhash.select(F.col("b").alias("fp")))
+    sets = materialize(_sets(docs, wanted.distinct(), size))
 
     def similar_pairs(pairs: DataFrame) -> DataFrame:
         of = lambda n: sets.select(F.col("fp").alias(n), F.col("s").alias(f"s{n}"))
@@ -155,12 +181,11 @@ def groups(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE) -> tu
         held = both.join(of("a"), "a").join(of("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
         return held.where(F.col("i") / (F.size("sa") + F.size("sb") - F.col("i")) >= similar).select("a", "b")
 
-    def rooted(parts: DataFrame | None) -> DataFrame:
-        if parts is None:
-            return shared.withColumn("root", F.col("fp"))
+    def rooted(parts: DataFrame) -> DataFrame:
         return shared.join(parts, shared["fp"] == parts["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
 
-    found, parts = None, None
+    found = materialize(similar_pairs(by_simhash))
+    parts = connected_components(found)
     for k in range(STARS + 1):
         here = rooted(parts)
         centres = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("x"), "fp", "root")).alias("c")).where("lo <> hi")
@@ -170,9 +195,9 @@ def groups(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE) -> tu
             apart = materialize(here.join(centres.select("key"), "key").select("fp", "root").distinct())
             pairs = prefix_pairs(sets.join(apart, "fp"), similar)
         new = materialize(similar_pairs(pairs))
-        if found is not None and new.isEmpty():
+        if new.isEmpty():
             continue
-        found = new if found is None else found.unionByName(new)
+        found = found.unionByName(new)
         parts = connected_components(found)
     return marked.select("doc_id", "fp"), named_groups(firsts, parts)
 

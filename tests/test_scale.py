@@ -100,3 +100,15 @@ def test_nearest_join_moves_a_query_for_a_few_cells(spark, monkeypatch):
     queries = df.select(F.col("pos").alias("id"), F.col("x") + 0.1, "y", "z").toDF("id", "x", "y", "z")
     assert neighbours.nearest_join(queries, df, ((0.0, 10.0),) * 3, 5, 3, cell_points=500).count() == 3 * 8000
     assert sum(moved) < 6 * 8000
+
+
+@pytest.mark.parametrize("slice_rows", [1 << 20, 300, 40])
+def test_levels_leave_second_halves_where_they_are(spark, slice_rows):
+    cells = octree.assign_cells(frame(spark, cloud_rows(900, 5, hot=300)), BOX, 2)
+    rows = lambda df: sorted((r["cell_code"], r["leaf_code"], r["pos"], r["x"]) for r in df.collect())
+    known = reduce.levels_of_detail(cells, slice_rows=slice_rows, depth=2)
+    assert list(map(rows, known)) == list(map(rows, reduce.levels_of_detail(cells, slice_rows=slice_rows)))
+    held = reduce.first_halves(cells, reduce.slice_counts(cells, 10), 10)
+    assert "Exchange hashpartitioning(pos" not in plan(held) and {r["_n"] for r in held.collect()} == {r["n"] for r in cells.groupBy("cell_code").agg(F.count("*").alias("n")).collect()}
+    halves = {(r["cell_code"], r["pos"]) for r in held.collect()}
+    assert {(r["cell_code"], r["pos"]) for r in known[0].collect()} <= halves and len(halves) < 700

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspan.operators.octree import parent
+from voxelspan.sources.storage import stored
 
 #: Points of a cell beyond which it is reduced in slices, so that no task gets more of it than that.
 SLICE = 1 << 20
-#: Levels of cells whose counts one task may order: 8 ** 4 rows.
+#: Levels of cells whose counts one task may order, and of which every task may hold a row each: 8 ** 4 rows.
 COARSE_LEVELS = 4
 
 
@@ -48,27 +49,49 @@ HALF = "_rn = 1 or _rn * 2 <= _n"
 def _reduce_whole(cells: DataFrame, order: list[str]) -> DataFrame:
     """One shuffle, by cell."""
     cell = Window.partitionBy("cell_code")
-    df = cells.withColumns({"_rn": F.row_number().over(cell.orderBy(*order)), "_n": F.count("*").over(cell)}).where(HALF)
+    df = cells.withColumns({"_rn": F.row_number().over(cell.orderBy(*order)), "_n": F.col("_n") if "_n" in cells.columns else F.count("*").over(cell)}).where(HALF)
     df = df.withColumn("_fo", F.row_number().over(Window.partitionBy("cell_code", "x", "y", "z").orderBy("_rn")))
     df = df.withColumn("_keep", F.max(F.when(F.col("_fo") == 1, F.col("_rn"))).over(cell))
-    return df.where("_rn <= _keep").drop("_rn", "_fo", "_n", "_keep")
+    return df.where("_rn <= _keep").drop("_rn", "_fo", "_n", "_keep")  # _n as first_halves() gives it too
 
 
-def _reduce_sliced(cells: DataFrame, order: list[str], slice_rows: int) -> DataFrame:
+def _starts(counts: DataFrame, part: list[str]) -> DataFrame:
+    """Ranges (cell_code first) that reach into their cell's first half: the points before each, _b, and of the cell, _n."""
+    cell = Window.partitionBy("cell_code")
+    earlier = F.sum("n").over(cell.orderBy(*part[1:]).rowsBetween(Window.unboundedPreceding, -1))
+    every = counts.select(*part, F.coalesce(earlier, F.lit(0)).alias("_b"), F.sum("n").over(cell).alias("_n"))
+    return every.where("_b = 0 or _b * 2 < _n")
+
+
+def slice_counts(cells: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """n points of each cell by ranges of pos, stored: cell_code, _s, n."""
+    return stored(cells.groupBy("cell_code", F.floor(F.col("pos") / slice_rows).cast("bigint").alias("_s")).agg(F.count("*").alias("n")))
+
+
+def first_halves(cells: DataFrame, counts: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """cells, with the count of their cell as _n, without the ranges of pos that lie behind its first half.
+
+    ``counts`` are slice_counts(); one row a cell goes to every task, so nothing is moved.
+    """
+    last = _starts(counts, ["cell_code", "_s"]).groupBy("cell_code").agg(F.max("_s").alias("_last"), F.max("_n").alias("_n"))
+    return cells.join(F.broadcast(last), "cell_code").where(F.floor(F.col("pos") / slice_rows) <= F.col("_last")).drop("_last")
+
+
+def _reduce_sliced(cells: DataFrame, order: list[str], slice_rows: int, counts: DataFrame | None = None) -> DataFrame:
     """By ranges of the order: a rank is the rank within the range plus the points of earlier ranges; first halves are all
-    that goes on. Their places are counted by aggregation, the cut is an aggregate again, and comes to the ranges."""
+    that goes on. Their places are counted by aggregation, the cut is an aggregate again, and comes to the ranges.
+    In the order of pos slice_counts() may be given; if Spark finds them small, ranges behind first halves aren't moved."""
     *outer, last = order
     part = ["cell_code", *outer, "_s"]
     sliced = cells.withColumn("_s", F.floor(F.col(last) / slice_rows).cast("bigint"))
-    counts = sliced.groupBy(*part).agg(F.count("*").alias("_c"))
-    cell = Window.partitionBy("cell_code")
-    earlier = F.sum("_c").over(cell.orderBy(*part[1:]).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*part, F.coalesce(earlier, F.lit(0)).alias("_b"), F.sum("_c").over(cell).alias("_n"))
+    if counts is None:
+        counts = sliced.groupBy(*part).agg(F.count("*").alias("n"))
+    starts = _starts(counts, part)
     ranked = sliced.join(starts, part).withColumn("_rn", F.col("_b") + F.row_number().over(Window.partitionBy(*part).orderBy(last)))
     half = ranked.where(HALF)
     firsts = half.groupBy("cell_code", "x", "y", "z").agg(F.min("_rn").alias("_rn"))
     keep = firsts.groupBy("cell_code").agg(F.max("_rn").alias("_keep"))
-    cuts = starts.where("_b = 0 or _b * 2 < _n").join(keep, "cell_code").select(*part, "_keep")
+    cuts = starts.join(keep, "cell_code").select(*part, "_keep")
     return half.join(cuts, part).where("_rn <= _keep").select(*cells.columns)
 
 
@@ -89,7 +112,7 @@ def reduce_cells(cells: DataFrame, order: list[str] | None = None, slice_rows: i
 
 def reduce_hot_cells(cells: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """reduce_cells in slices, whatever the counts."""
-    return _reduce_sliced(cells, ["pos"], slice_rows)
+    return _reduce_sliced(cells, ["pos"], slice_rows, slice_counts(cells, slice_rows))
 
 
 def coarser(cells: DataFrame, slice_rows: int = SLICE, largest: int | None = None) -> DataFrame:
@@ -98,25 +121,37 @@ def coarser(cells: DataFrame, slice_rows: int = SLICE, largest: int | None = Non
     return reduce_cells(up, ["leaf_code", "pos"], slice_rows, largest)
 
 
-def levels_of_detail(cells: DataFrame, steps: int = 2, slice_rows: int = SLICE, watch: Callable[[int, DataFrame], DataFrame] = lambda k, level: level) -> list[DataFrame]:
+def levels_of_detail(cells: DataFrame, steps: int = 2, slice_rows: int = SLICE, watch: Callable[[int, DataFrame], DataFrame] = lambda k, level: level, depth: int | None = None) -> list[DataFrame]:
     """The reduced cells and ``steps`` coarser levels, each reduced from the one before over its own cells.
 
-    One aggregation gives the fullest cell of each level before any reduction, a bound of what the level has to reduce.
+    One aggregation bounds what the fullest cell of each level has to reduce: all points of a finest cell, of a coarser
+    one what its finest cells can have kept, halved once a level.
     Whole cells share one shuffle, by the coarsest; if a cell of any level is too full for one task, or the coarsest
     are too few to keep a cluster busy, each level has its own. What ``watch`` makes of a level stands in its place.
+
+    ``depth`` is that of the cells; if it says that they are few, points behind a cell's first half go before any is moved.
     """
-    codes = [parent(F.col("cell_code"), k) for k in range(steps + 1)]
-    counts = cells.groupBy("cell_code").agg(F.count("*").alias("n"))
-    tops = [counts.groupBy(c.alias("c")).agg(F.sum("n").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("m")).select(F.lit(k).alias("k"), "n", "m") for k, c in enumerate(codes)]
+    held = depth is not None and depth <= COARSE_LEVELS
+    width = max(1, slice_rows // 16)
+    sliced = slice_counts(cells, width) if held else None
+    counts = (sliced if held else cells).groupBy("cell_code").agg((F.sum("n") if held else F.count("*")).alias("n"))
+    bound, tops = counts, []
+    for k in range(steps + 1):
+        tops.append(bound.agg(F.max("n").alias("n"), F.count("*").alias("m")).select(F.lit(k).alias("k"), "n", "m"))
+        kept = F.greatest(F.floor(F.col("n") / 2), F.lit(1).cast("bigint"))
+        bound = bound.groupBy(parent(F.col("cell_code")).alias("cell_code")).agg(F.sum(kept).alias("n"))
     every = tops[0]
     for t in tops[1:]:
         every = every.unionByName(t)
     found = {r["k"]: (r["n"] or 0, r["m"]) for r in every.collect()}
     base = cells.withColumn("leaf_code", F.col("cell_code"))
+    hot = found[0][0] > slice_rows
+    if held and not hot:
+        base = first_halves(base, sliced, width)
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if found[steps][0] <= slice_rows and found[steps][1] >= 4 * tasks:
         base = base.repartition(parent(F.col("leaf_code"), steps))
-    level = watch(0, reduce_cells(base, ["pos"], slice_rows, found[0][0]))
+    level = watch(0, _reduce_sliced(base, ["pos"], width, sliced) if held and hot else reduce_cells(base, ["pos"], slice_rows, found[0][0]))
     out = [level]
     for k in range(1, steps + 1):
         level = watch(k, coarser(level, slice_rows, found[k][0]))

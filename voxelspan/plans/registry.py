@@ -221,7 +221,7 @@ def cell_reduce_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lod(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return reduce.levels_of_detail(cells(spark, sf_dir))
+    return reduce.levels_of_detail(cells(spark, sf_dir), depth=DEPTH)
 
 
 @query(f"{WITH}, {lod_sql(DEPTH)} SELECT cell_code, leaf_code, pos, x, y, z FROM medium")
@@ -253,7 +253,7 @@ def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("reduced", "medium", "low")
     with metrics.Stages(spark) as seen:
         raw = seen.watch("raw", points(spark, sf_dir), sampled=sample.hashed(F.col("pos")) <= 400_000)
-        levels = reduce.levels_of_detail(octree.assign_cells(raw, header(spark, sf_dir).box(), DEPTH), watch=lambda k, level: seen.watch(names[k], level))
+        levels = reduce.levels_of_detail(octree.assign_cells(raw, header(spark, sf_dir).box(), DEPTH), watch=lambda k, level: seen.watch(names[k], level), depth=DEPTH)
         seen.run(levels[-1])
     return seen.counts()
 

@@ -112,3 +112,14 @@ def test_levels_leave_second_halves_where_they_are(spark, slice_rows):
     assert "Exchange hashpartitioning(pos" not in plan(held) and {r["_n"] for r in held.collect()} == {r["n"] for r in cells.groupBy("cell_code").agg(F.count("*").alias("n")).collect()}
     halves = {(r["cell_code"], r["pos"]) for r in held.collect()}
     assert {(r["cell_code"], r["pos"]) for r in known[0].collect()} <= halves and len(halves) < 700
+
+
+def test_an_upload_is_reduced_once(spark):
+    """Messages are made from stored levels: nothing in their plan reads the file or reduces cells again."""
+    from voxelspan.plans import upload
+    from voxelspan.schema import Options
+
+    out = upload.process(spark, pointview.point_file(spark, SF), Options(clustering=True, lod=True), depth=4)
+    made = plan(out.messages)
+    assert "BatchScan" not in made and "_keep" not in made
+    assert sorted(out.levels) == ["base", "low", "medium"] and out.messages.where("event = 'lod-points'").count() > 0

@@ -12,7 +12,7 @@ from voxelspan.functions import scalar
 from voxelspan.operators import events, octree, reduce
 from voxelspan.schema import OCTREE_DEPTH, WINDOW_POINTS, Header, Options
 from voxelspan.sources import las, parts
-from voxelspan.sources.storage import shared_dir
+from voxelspan.sources.storage import shared_dir, stored
 
 
 @dataclass
@@ -38,7 +38,8 @@ def process(spark: SparkSession, uri: str, options: Options, session: str = "",
 
     Without clustering: sampled if asked for, centred, sent in windows. With it: sampled, dealt to cells, reduced,
     centred; sent, written as a reduced file, and with lod sent as two coarser levels. Sampling is done by the scan.
-    Parts are read where they lie, by ranges of records, and only the header comes to the driver.
+    Parts are read where they lie, by ranges of records, and only the header comes to the driver. Levels are stored once:
+    messages, the file and the coarser levels are made from what was stored.
     """
     h = las.read_header(uri)
     rate = options.keep_rate if options.subsample else None
@@ -51,7 +52,7 @@ def process(spark: SparkSession, uri: str, options: Options, session: str = "",
     else:
         cells = octree.assign_cells(points, h.box(), depth)
         told += [events.progress(spark, 3, events.OPTIMIZING), events.progress(spark, 4, events.CLUSTERING)]
-        levels = reduce.levels_of_detail(cells, len(options.levels) - 1)
+        levels = reduce.levels_of_detail(cells, len(options.levels) - 1, watch=lambda k, level: stored(level), depth=depth)
         moved = {name: df.withColumns(scalar.centred(h)) for name, df in zip(options.levels, levels)}
         told.append(events.clustered_points(moved["base"], 5, depth))
         for k, name in enumerate(options.levels[1:], 1):

@@ -39,3 +39,12 @@ def test_only_touched_parts_are_written(spark, tmp_path):
     # an addition that never got to its manifest isn't seen
     (tmp_path / "levels" / "level0" / "v=3").mkdir()
     assert np.isin(599, [r["pos"] for r in kept.raw().collect()])
+
+
+def test_an_addition_is_written_once(spark, tmp_path, monkeypatch):
+    """Only cells are stored beside what stays; points aren't."""
+    seen, own = [], upkeep.stored
+    monkeypatch.setattr(upkeep, "stored", lambda df: seen.append(df.columns) or own(df))
+    kept = upkeep.KeptLevels(spark, f"file://{tmp_path}/levels", BOX, 3, steps=1, part_level=1)
+    assert kept.add(frame(spark, cloud_rows(200, 23))) > 0
+    assert seen and all("x" not in columns for columns in seen)

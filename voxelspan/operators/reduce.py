@@ -110,6 +110,16 @@ def reduce_cells(cells: DataFrame, order: list[str] | None = None, slice_rows: i
     return _reduce_sliced(cells, order, slice_rows) if largest > slice_rows else _reduce_whole(cells, order)
 
 
+def reduce_finest(cells: DataFrame, depth: int, slice_rows: int = SLICE) -> DataFrame:
+    """reduce_cells of cells of a known depth: if they are few, points behind first halves go before any is moved."""
+    if depth > COARSE_LEVELS:
+        return reduce_cells(cells, ["pos"], slice_rows)
+    width = max(1, slice_rows // 16)
+    counts = slice_counts(cells, width)
+    largest = counts.groupBy("cell_code").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    return _reduce_sliced(cells, ["pos"], width, counts) if largest > slice_rows else _reduce_whole(first_halves(cells, counts, width), ["pos"])
+
+
 def reduce_hot_cells(cells: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """reduce_cells in slices, whatever the counts."""
     return _reduce_sliced(cells, ["pos"], slice_rows, slice_counts(cells, slice_rows))

@@ -68,17 +68,19 @@ class KeptLevels:
         before = self.manifest()
         version = before["version"] + 1
         up = 3 * (self.depth - self.part_level)
-        new = stored(octree.assign_cells(points, self.box, self.depth).withColumn("part", F.shiftright("cell_code", up).cast("int")))
-        parts = [r["part"] for r in new.select("part").distinct().collect()]  # coarse cells: at most 8 ** part_level
+        new = octree.assign_cells(points, self.box, self.depth).withColumn("part", F.shiftright("cell_code", up).cast("int"))
+        new.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/raw/v={version}")  # no manifest names it yet
+        came = self.spark.read.schema(new.schema).parquet(f"{self.path}/raw/v={version}")
+        touched = stored(came.select("cell_code", "part").distinct())
+        parts = [r["part"] for r in touched.select("part").distinct().collect()]  # coarse cells: at most 8 ** part_level
         if not parts:
             return 0
-        new.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/raw/v={version}")
-        touched = stored(new.select("cell_code").distinct())
+        touched = touched.select("cell_code")
         source = self.raw(before | {"version": version}).where(F.col("part").isin(parts)).drop("v")
         source = source.join(touched, "cell_code", "left_semi").withColumn("leaf_code", F.col("cell_code"))
         cells, order = touched, ["pos"]
         for step in range(self.steps + 1):
-            made = reduce.reduce_cells(source, order)
+            made = reduce.reduce_cells(source, order) if step else reduce.reduce_finest(source, self.depth)
             old = self.level(step, before)
             if old is not None:
                 same = old.where(F.col("part").isin(parts)).drop("v").join(cells, "cell_code", "left_anti")

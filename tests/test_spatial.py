@@ -129,6 +129,14 @@ def test_rays_against_brute_force(spark, tmp_path, reach, level, flat):
         assert sum(r["cells_read"] for r in rows) < 0.05 * sum(r["cells_all"] for r in rows)
 
 
+def test_a_ray_meets_the_cells_within_its_reach(spark):
+    """Along the middle of cells those alone; near a plane the ones behind it too."""
+    box = ((0.0, 16.0),) * 3
+    rays = spark.createDataFrame([(0, -3.0, 5.5, 7.5, 1.0, 0.0, 0.0), (1, -3.0, 5.1, 7.5, 1.0, 0.0, 0.0)], "ray_id bigint, ox double, oy double, oz double, dx double, dy double, dz double")
+    met = neighbours.cells_met(rays, box, 4, 0.2).groupBy("ray_id").agg(F.count("*").alias("n")).collect()
+    assert {r["ray_id"]: r["n"] for r in met} == {0: 16, 1: 32}
+
+
 def test_ranges_are_few_and_hold_everything():
     ranges = [(i * 10, i * 10 + 3) for i in range(100)]
     few = octree.few_ranges(ranges, 7)

@@ -157,8 +157,8 @@ def nearest_join(queries: DataFrame, points: DataFrame, box: Box, depth: int, k:
 def cells_met(rays: DataFrame, box: Box, level: int, reach: float) -> DataFrame:
     """ray_id and cell_code of the cells within ``reach`` of each ray, and some that are a little farther.
 
-    A ray (ox, oy, oz, and dx, dy, dz of length 1) is cut where it crosses a plane between cells; the middle of each
-    stretch names the cell it is in. Cells as far from those as reach goes are met too. Projections only.
+    A ray (ox, oy, oz, and dx, dy, dz of length 1) is cut where it crosses a plane between cells; each stretch meets the
+    cells between its ends, widened by reach on every axis. One shuffle, for cells that several stretches meet.
     """
     n = 1 << level
     step = [(hi - lo) / n for lo, hi in box]
@@ -179,14 +179,18 @@ def cells_met(rays: DataFrame, box: Box, level: int, reach: float) -> DataFrame:
     planes = [crossings(lo, s, w, oi, di) for (lo, _), s, w, oi, di in zip(box, step, wide, o, d) if s]
     crossed = F.filter(F.concat(*planes), lambda t: (t > F.col("_in")) & (t < F.col("_out"))) if planes else F.array().cast("array<double>")
     cuts = spans.withColumn("_t", F.array_sort(F.concat(F.array("_in"), crossed, F.array("_out"))))
-    middle = F.transform(F.sequence(F.lit(1), F.size("_t") - 1), lambda i: (F.get("_t", i - 1) + F.get("_t", i)) / 2)
-    at = cuts.select("ray_id", *[f"o{a}" for a in "xyz"], *[f"d{a}" for a in "xyz"], F.explode(middle).alias("_m"))
-    place = [F.floor((oi + di * F.col("_m") - F.lit(lo)) / F.lit(s)) if s else F.lit(0).cast("bigint") for (lo, _), s, oi, di in zip(box, step, o, d)]
-    visited = at.select("ray_id", *[p.alias(f"c{a}") for a, p in zip("xyz", place)]).distinct()
-    for a, w, s in zip("xyz", wide, step):
-        if s:
-            first, last = F.greatest(F.col(f"c{a}") - w, F.lit(0)), F.least(F.col(f"c{a}") + w, F.lit(n - 1))
-            visited = visited.withColumn(f"c{a}", F.explode(F.when(first <= last, F.sequence(first, last)))).distinct()
+    stretch = F.transform(F.sequence(F.lit(1), F.size("_t") - 1), lambda i: F.struct(F.get("_t", i - 1).alias("a"), F.get("_t", i).alias("b")))
+    met = cuts.select("ray_id", *[f"o{a}" for a in "xyz"], *[f"d{a}" for a in "xyz"], F.explode(stretch).alias("_m"))
+    for a, (lo, hi), s, oi, di in zip("xyz", box, step, o, d):
+        if not s:
+            met = met.withColumn(f"c{a}", F.lit(0).cast("bigint"))
+            continue
+        p, q = oi + di * F.col("_m.a"), oi + di * F.col("_m.b")
+        more = F.lit(reach) + 1e-7 * (F.lit(abs(lo) + abs(hi) + reach) + F.abs(oi) + F.abs(F.col("_m.b")))  # than rounding can take
+        first = F.greatest(F.floor((F.least(p, q) - more - F.lit(lo)) / F.lit(s)), F.lit(0).cast("bigint"))
+        last = F.least(F.floor((F.greatest(p, q) + more - F.lit(lo)) / F.lit(s)), F.lit(n - 1).cast("bigint"))
+        met = met.withColumn(f"c{a}", F.explode(F.when(first <= last, F.sequence(first, last))))
+    visited = met.select("ray_id", "cx", "cy", "cz").distinct()
     return visited.select("ray_id", octree.encode(F.col("cx"), F.col("cy"), F.col("cz"), level).alias("cell_code"))
 
 
@@ -213,9 +217,18 @@ def pick_many(rays: DataFrame, cloud: Pyramid, reach: float, level: int | None =
     half = [(F.col(f"max_{a}") - F.col(f"min_{a}")) / 2 for a in "xyz"]
     radius = F.sqrt(half[0] * half[0] + half[1] * half[1] + half[2] * half[2])
     t, away = _along(tuple(F.col(f"min_{a}") + h for a, h in zip("xyz", half)))
-    slack = 1e-9 * (1 + radius + F.abs(t))  # more than rounding takes
-    met = met.withColumns({"_low": t - radius - slack, "_high": t + radius + slack, "_away": F.sqrt(F.greatest(away, F.lit(0.0))), "_far": radius + reach + slack})
-    near = met.where((F.col("_high") >= 0) & (F.col("_away") <= F.col("_far") + 1e-6 * F.abs(F.col("_low"))))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  an array of one row: what is read several times isn't copied into each expression
+    met = met.withColumn("_e", once(F.lit(float(reach)) + 1e-7 * (1 + radius + F.abs(t) + F.sqrt(F.greatest(away, F.lit(0.0))))))  # more than rounding takes
+    # along the ray, where it is within reach of the extent on every axis
+    inf, low, high = F.lit(float("inf")), [], []
+    for a in "xyz":
+        lo, hi, di = (F.col(f"min_{a}") - F.col("_e") - F.col(f"o{a}")), (F.col(f"max_{a}") + F.col("_e") - F.col(f"o{a}")), F.col(f"d{a}")
+        there = (lo <= 0) & (hi >= 0)
+        low.append(F.when(di != 0, F.least(lo / di, hi / di)).otherwise(F.when(there, -inf).otherwise(inf)))
+        high.append(F.when(di != 0, F.greatest(lo / di, hi / di)).otherwise(F.when(there, inf).otherwise(-inf)))
+    met = met.withColumn("_span", once(F.struct(F.greatest(*low).alias("a"), F.least(*high).alias("b"))))
+    met = met.withColumns({"_low": F.col("_span.a") - 1e-9 * (1 + F.abs("_span.a")), "_high": F.col("_span.b") + 1e-9 * (1 + F.abs("_span.b"))})
+    near = met.where((F.col("_span.a") <= F.col("_span.b")) & (F.col("_high") >= 0))
     order = Window.partitionBy("ray_id").orderBy("_low", "cell_code")
     queue = stored(near.select("ray_id", "cell_code", "_low", F.row_number().over(order).alias("_k")))
     best = stored(rays.select("ray_id").where("false").withColumns({"hit": F.lit(None).cast("struct<t: double, pos: bigint, x: double, y: double, z: double>"), "_read": F.lit(0)}))

@@ -31,6 +31,23 @@ def test_stages_are_counted_anew_where_a_task_failed(spark, monkeypatch):
     assert {r["stage"]: r["n_points"] for r in seen.counts().collect()} == {"raw": 50, "few": 10, **{f"level{k}": df.count() for k, df in enumerate(levels)}} and seen.recounted
 
 
+def test_skipped_stages_may_be_forgotten(spark, monkeypatch):
+    """As in a long session: what is kept of stages is bounded, and those that never ran go first."""
+    own = spark.sparkContext.statusTracker()
+
+    class Tracker:
+        getJobIdsForGroup, getJobInfo = own.getJobIdsForGroup, own.getJobInfo
+
+        def getStageInfo(self, stage):
+            found = own.getStageInfo(stage)
+            return found if found is not None and found.numCompletedTasks else None
+
+    monkeypatch.setattr(spark.sparkContext, "statusTracker", Tracker)
+    seen, _ = staged(spark, cloud_rows(400, 5, hot=100))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert len(seen.counts().collect()) == 5 and not seen.recounted
+
+
 def test_stages_of_no_points(spark):
     seen, _ = staged(spark, cloud_rows(0, 5))
     assert {r["n_points"] for r in seen.counts().collect()} == {0}

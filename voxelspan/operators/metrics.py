@@ -48,10 +48,13 @@ class Stages:
         df.agg(F.count(F.lit(1))).collect()
 
     def _undisturbed(self) -> bool:
+        """Spark forgets stages that were skipped first, then those that ended first: while the first job's are there, what is missing never ran."""
         tracker = self.spark.sparkContext.statusTracker()
-        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(self._group)]
-        stages = [tracker.getStageInfo(s) for j in jobs if j is not None for s in j.stageIds]
-        return bool(stages) and None not in jobs and all(s is not None and s.currentAttemptId == 0 and s.numFailedTasks == 0 for s in stages)
+        jobs = [tracker.getJobInfo(j) for j in sorted(tracker.getJobIdsForGroup(self._group))]
+        if not jobs or any(j is None or j.status != "SUCCEEDED" for j in jobs):
+            return False
+        stages = [[tracker.getStageInfo(s) for s in j.stageIds] for j in jobs]
+        return None not in stages[0] and all(s is None or (s.currentAttemptId == 0 and s.numFailedTasks == 0) for of_job in stages for s in of_job)
 
     def counts(self) -> DataFrame:
         """stage and n_points, a row a stage; after run(), within the ``with`` or behind it."""

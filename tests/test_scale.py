@@ -123,3 +123,26 @@ def test_an_upload_is_reduced_once(spark):
     made = plan(out.messages)
     assert "BatchScan" not in made and "_keep" not in made
     assert sorted(out.levels) == ["base", "low", "medium"] and out.messages.where("event = 'lod-points'").count() > 0
+
+
+@pytest.mark.parametrize("slice_rows", [1 << 20, 40, 3])
+def test_slices_leave_points_where_they_are(spark, monkeypatch, slice_rows):
+    """Counts and places of first halves are moved, points never; with few points in a cell's slice, counts stay few too."""
+    kept, own = [], reduce.stored
+    monkeypatch.setattr(reduce, "stored", lambda df: kept.append(own(df)) or kept[-1])
+    cells = octree.assign_cells(frame(spark, cloud_rows(900, 5, hot=300)), BOX, 2).repartition(5)
+    reduced = reduce.reduce_hot_cells(cells, slice_rows)
+    assert "Exchange hashpartitioning" not in plan(reduced)
+    assert sorted((r["cell_code"], r["pos"], r["x"]) for r in reduced.collect()) == sorted((r["cell_code"], r["pos"], r["x"]) for r in reduce._reduce_whole(cells, ["pos"]).collect())
+    n_cells = cells.select("cell_code").distinct().count()
+    assert kept and all(df.count() == n_cells for df in kept)
+
+
+@pytest.mark.parametrize("slice_rows", [1 << 20, 30, 2])
+def test_slices_in_the_order_of_two_columns(spark, slice_rows):
+    """A place may lie under several values of the first; the same rows as by ranks."""
+    cells = octree.assign_cells(frame(spark, cloud_rows(900, 5, hot=300)), BOX, 1).withColumn("leaf_code", F.pmod(F.hash("pos"), F.lit(7)).cast("bigint"))
+    order = ["leaf_code", "pos"]
+    rows = lambda df: sorted((r["cell_code"], r["leaf_code"], r["pos"]) for r in df.collect())
+    assert rows(reduce._reduce_sliced(cells, order, slice_rows)) == rows(reduce._reduce_whole(cells, order))
+    assert rows(reduce.reduce_cells(cells, order, slice_rows)) == rows(reduce._reduce_whole(cells, order))

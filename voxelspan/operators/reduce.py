@@ -14,6 +14,8 @@ from voxelspan.sources.storage import stored
 SLICE = 1 << 20
 #: Levels of cells whose counts one task may order, and of which every task may hold a row each: 8 ** 4 rows.
 COARSE_LEVELS = 4
+#: Slices whose points are counted together before those of one of them are.
+SLICES = 64
 
 
 def numbered(df: DataFrame, group: str | list[str], order: list[Column | str], name: str = "rn", coarse: Column | None = None, total: str | None = None, ranges: int | None = None) -> DataFrame:
@@ -77,22 +79,56 @@ def first_halves(cells: DataFrame, counts: DataFrame, slice_rows: int = SLICE) -
     return cells.join(F.broadcast(last), "cell_code").where(F.floor(F.col("pos") / slice_rows) <= F.col("_last")).drop("_last")
 
 
+def _up_to(order: list[str]) -> Column:
+    """Rows up to the place in the order that _end_<column> name, that included."""
+    *outer, last = order
+    out = F.col(last) <= F.col(f"_end_{last}")
+    for c in reversed(outer):
+        out = (F.col(c) < F.col(f"_end_{c}")) | ((F.col(c) == F.col(f"_end_{c}")) & out)
+    return out
+
+
+def _half_ends(cells: DataFrame, order: list[str], slice_rows: int, counts: DataFrame | None = None) -> DataFrame:
+    """Where each cell's first half ends (of a single point, at that): cell_code and _end_<column> of the order, stored.
+
+    Counts lead there, each within what the one before found: by the columns before the last, by ranges of the last while
+    some cell has more than slice_rows points in what was found, and by rank in a range. ``counts``, by the first of these, may be given.
+    """
+    *outer, last = order
+    ranges = {"_w": SLICES * slice_rows, "_s": slice_rows} if counts is None else {"_s": slice_rows}
+    steps = {c: F.col(c) for c in outer} | {k: F.floor(F.col(last) / w).cast("bigint") for k, w in ranges.items()} | {"_p": F.col(last)}
+    keyed, cell = cells.select("cell_code", *[c.alias(k) for k, c in steps.items()]), Window.partitionBy("cell_code")
+    found, known = None, []
+    for k in steps:
+        if found is None:
+            rows = keyed.groupBy("cell_code", k).agg(F.count("*").alias("n")) if counts is None else counts
+            rows = rows.withColumn("_left", F.greatest(F.floor(F.sum("n").over(cell) / 2), F.lit(1).cast("bigint")))
+        elif k in ranges and (found.agg(F.max("_m")).first()[0] or 0) <= slice_rows:
+            continue
+        else:
+            rows = keyed.join(found.drop("_m"), ["cell_code", *known])
+            rows = rows.withColumn("n", F.lit(1)) if k == "_p" else rows.groupBy("cell_code", *known, "_left", k).agg(F.count("*").alias("n"))
+        reached = F.sum("n").over(cell.orderBy(k).rowsBetween(Window.unboundedPreceding, 0))
+        there = rows.withColumn("_u", reached).where("_u - n < _left and _left <= _u")
+        known.append(k)
+        found = stored(there.select("cell_code", *known, (F.col("_left") - F.col("_u") + F.col("n")).alias("_left"), F.col("n").alias("_m")))
+    return found.select("cell_code", *[F.col(c).alias(f"_end_{c}") for c in outer], F.col("_p").alias(f"_end_{last}"))
+
+
 def _reduce_sliced(cells: DataFrame, order: list[str], slice_rows: int, counts: DataFrame | None = None) -> DataFrame:
-    """By ranges of the order: a rank is the rank within the range plus the points of earlier ranges; first halves are all
-    that goes on. Their places are counted by aggregation, the cut is an aggregate again, and comes to the ranges.
-    In the order of pos slice_counts() may be given; if Spark finds them small, ranges behind first halves aren't moved."""
+    """No point is moved: counts say where first halves end, an aggregate of their places where the last new one is, and
+    points are held against that, a row a cell, where they are (if Spark finds these rows small). No rank of all points is
+    taken; at most slice_rows of a cell are ordered in a task. Places of first halves are all that is shuffled, once.
+    In the order of pos slice_counts() may be given."""
     *outer, last = order
-    part = ["cell_code", *outer, "_s"]
-    sliced = cells.withColumn("_s", F.floor(F.col(last) / slice_rows).cast("bigint"))
-    if counts is None:
-        counts = sliced.groupBy(*part).agg(F.count("*").alias("n"))
-    starts = _starts(counts, part)
-    ranked = sliced.join(starts, part).withColumn("_rn", F.col("_b") + F.row_number().over(Window.partitionBy(*part).orderBy(last)))
-    half = ranked.where(HALF)
-    firsts = half.groupBy("cell_code", "x", "y", "z").agg(F.min("_rn").alias("_rn"))
-    keep = firsts.groupBy("cell_code").agg(F.max("_rn").alias("_keep"))
-    cuts = starts.join(keep, "cell_code").select(*part, "_keep")
-    return half.join(cuts, part).where("_rn <= _keep").select(*cells.columns)
+    half = cells.join(_half_ends(cells, order, slice_rows, counts), "cell_code").where(_up_to(order))
+    firsts = half.groupBy("cell_code", "x", "y", "z", *outer).agg(F.min(last).alias(last))
+    if outer:
+        key = F.col(outer[0]) if len(outer) == 1 else F.struct(*outer)
+        firsts = firsts.groupBy("cell_code", "x", "y", "z").agg(*[F.min_by(c, key).alias(c) for c in order])
+    tops = firsts.groupBy("cell_code", *outer).agg(F.max(last).alias(last))
+    cuts = tops.groupBy("cell_code").agg(F.max(F.struct(*order)).alias("_c")).select("cell_code", *[F.col("_c")[c].alias(f"_end_{c}") for c in order])
+    return cells.join(stored(cuts), "cell_code").where(_up_to(order)).select(*cells.columns)
 
 
 def reduce_cells(cells: DataFrame, order: list[str] | None = None, slice_rows: int = SLICE, largest: int | None = None) -> DataFrame:
@@ -101,13 +137,19 @@ def reduce_cells(cells: DataFrame, order: list[str] | None = None, slice_rows: i
     Of n points in order, p_1 to p_keep stay, keep being the largest i <= n / 2 whose x, y, z none of p_1 to p_(i-1)
     has; a cell of one point keeps it. ``order`` ends with a whole number.
 
-    If a cell has more than slice_rows points, all are reduced in slices: the same rows, and no task holds a whole cell.
-    ``largest`` is the count of the fullest cell, found by one aggregation where it isn't given.
+    Cells of more than slice_rows points are reduced in slices: the same rows, and no task holds such a cell whole.
+    ``largest`` is the count of the fullest cell, or a bound, found by one aggregation where it isn't given.
     """
-    order = order or ["pos"]
+    order, counts = order or ["pos"], cells.groupBy("cell_code").agg(F.count("*").alias("n"))
     if largest is None:
-        largest = cells.groupBy("cell_code").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return _reduce_sliced(cells, order, slice_rows) if largest > slice_rows else _reduce_whole(cells, order)
+        largest = counts.agg(F.max("n")).first()[0] or 0
+    if largest <= slice_rows:
+        return _reduce_whole(cells, order)
+    hot = stored(counts.where(F.col("n") > slice_rows).select("cell_code"))  # at most a cell for slice_rows points
+    if hot.isEmpty():
+        return _reduce_whole(cells, order)
+    sliced = _reduce_sliced(cells.join(hot, "cell_code", "left_semi").select(*cells.columns), order, slice_rows)
+    return sliced.unionByName(_reduce_whole(cells.join(hot, "cell_code", "left_anti").select(*cells.columns), order))
 
 
 def reduce_finest(cells: DataFrame, depth: int, slice_rows: int = SLICE) -> DataFrame:
@@ -122,7 +164,7 @@ def reduce_finest(cells: DataFrame, depth: int, slice_rows: int = SLICE) -> Data
 
 def reduce_hot_cells(cells: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """reduce_cells in slices, whatever the counts."""
-    return _reduce_sliced(cells, ["pos"], slice_rows, slice_counts(cells, slice_rows))
+    return _reduce_sliced(cells, ["pos"], slice_rows)
 
 
 def coarser(cells: DataFrame, slice_rows: int = SLICE, largest: int | None = None) -> DataFrame:

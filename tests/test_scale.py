@@ -1,6 +1,7 @@
 """Sums that don't depend on the order of additions, and plans whose cost grows with the rows alone."""
 
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +147,10 @@ def test_slices_in_the_order_of_two_columns(spark, slice_rows):
     rows = lambda df: sorted((r["cell_code"], r["leaf_code"], r["pos"]) for r in df.collect())
     assert rows(reduce._reduce_sliced(cells, order, slice_rows)) == rows(reduce._reduce_whole(cells, order))
     assert rows(reduce.reduce_cells(cells, order, slice_rows)) == rows(reduce._reduce_whole(cells, order))
+
+
+def test_ranges_of_a_large_table_are_few_enough_not_to_be_sorted(spark, monkeypatch):
+    many = pointview.header(spark, SF)
+    monkeypatch.setattr(pointview, "header", lambda *_: replace(many, count=216_000_000))
+    dealt = re.search(r"Exchange rangepartitioning\(.*, (\d+)\)", plan(pointview._numbered_records(spark, SF)))
+    assert 4 < int(dealt[1]) <= 200

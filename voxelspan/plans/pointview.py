@@ -16,6 +16,8 @@ ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedpric
 #: Groups of neighbouring orders that points are numbered in, each one window partition: at least so many, and one for
 #: so many points. Their counts are summed by at most BUCKETS coarser ones first.
 BUCKETS, BUCKET_POINTS = 4096, 1 << 18
+#: Points of a range that one task numbers and stores. Up to 200 ranges Spark writes the shuffle without sorting, so nothing is spilled.
+RANGE_POINTS = 1 << 21
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def _numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = raw.select(*ORDER, "l_quantity", F.floor((F.col("l_orderkey") - F.lit(lo or 0)) / F.lit(width)).alias("_bucket"))
     c = _coordinates()
     coarse = F.floor(F.col("_bucket") / F.lit(-(-buckets // BUCKETS))) if buckets > BUCKETS else None
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-header(spark, sf_dir).count // 1_000_000))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-header(spark, sf_dir).count // RANGE_POINTS))
     return numbered(df, "_bucket", ORDER, coarse=coarse, ranges=tasks).select(
         (F.col("rn") - 1).alias("pos"), *[v.alias(k) for k, v in c.items()], F.pmod(c["ix"], F.lit(256)).alias("ir"), (F.pmod(c["iy"], F.lit(3)) * 100).alias("ig"),
         F.lit(0).alias("ib"), F.col("l_quantity").alias("intensity"), F.col("l_linenumber").cast("double").alias("classification"),

@@ -39,6 +39,18 @@ def test_prefix_costs_lose_nothing(spark):
         spark.conf.set(key, before)
 
 
+@pytest.mark.parametrize("rows", ["100", "10000"])
+def test_prefix_costs_lose_nothing_within_a_batch(spark, rows):
+    """Wherever batches end, sums are those of whole numbers: 2 ** 54 is followed by ones that it would swallow."""
+    p = spark.createDataFrame([(i, v, 0.0, 0.0) for i, v in enumerate([0.0, 2.0**27, *[1.0] * 1000, 1.25])], "pos bigint, x double, y double, z double").coalesce(1)
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, rows)
+    try:
+        assert {r["k"]: r["cost"] for r in cluster.prefix_costs(p, "pos", 2).collect()} == {1: 2.0**54 + 1000, 2: 1001.5625}
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_many_centroids_are_no_long_expression(spark):
     p = frame(spark, cloud_rows(300, 3))
     centres = [(r["x"], r["y"], r["z"]) for r in p.orderBy("pos").limit(20).collect()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 from functools import cache
 
 import numpy as np
@@ -254,10 +255,16 @@ def parallel_seeds(points: DataFrame, k: int, rounds: int = 3, factor: float = 2
 def prefix_costs(points: DataFrame, order: str, k_max: int) -> DataFrame:
     """k and the cost of taking the first k points as centroids, for k up to k_max; the driver holds k_max points.
 
-    A batch of points is one row a k; those are added up without loss.
+    A batch of points is one row a k. What stands before the point is added up as whole numbers within batches too, so
+    neither the order of additions nor where batches end shows.
     """
     first = [(r["x"], r["y"], r["z"]) for r in points.orderBy(order).limit(k_max).select("x", "y", "z").collect()]
 
+    def split(d2: np.ndarray) -> tuple[Decimal, float]:
+        held = np.floor(np.where(d2 < 2.0**63, d2, 0.0))  # larger ones are added up as they are
+        high, low = np.divmod(held.astype(np.int64), 1 << 31)
+        return Decimal((int(high.sum()) << 31) + int(low.sum())), float((d2 - held).sum())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = [batch.column(a).to_numpy(zero_copy_only=False) for a in "xyz"]
@@ -265,12 +272,13 @@ def prefix_costs(points: DataFrame, order: str, k_max: int) -> DataFrame:
             for c in first:
                 w = [v - o for v, o in zip(p, c)]
                 near = np.fmin(near, w[0] * w[0] + w[1] * w[1] + w[2] * w[2])
-                costs.append(float(near.sum()))
+                costs.append(split(near))
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(range(1, len(first) + 1), pa.int32()), pa.array(costs, pa.float64())], ["k", "cost"])
+                wholes, parts = zip(*costs)
+                yield pa.RecordBatch.from_arrays([pa.array(range(1, len(first) + 1), pa.int32()), pa.array(wholes, pa.decimal128(38, 0)), pa.array(parts, pa.float64())], ["k", "whole", "part"])
 
     placed = points.select("x", "y", "z").where("x is not null and y is not null and z is not null")
-    return placed.mapInArrow(run, "k int, cost double").groupBy("k").agg(exact_sum("cost").alias("cost"))
+    return placed.mapInArrow(run, "k int, whole decimal(38,0), part double").groupBy("k").agg((F.sum("whole").cast("double") + F.sum("part")).alias("cost"))
 
 
 def largest_drop(costs: DataFrame) -> DataFrame:

@@ -85,3 +85,38 @@ def test_seeds_cost_no_more_than_chance(spark, k):
 def test_seeds_of_few_points(spark):
     assert cluster.parallel_seeds(frame(spark, cloud_rows(0, hot=0)), 3) == []
     assert len(cluster.parallel_seeds(frame(spark, np.ones((20, 3))), 3)) == 1
+
+
+@pytest.mark.parametrize("n, kind", [(1, "spread"), (2, "spread"), (17, "spread"), (700, "spread"), (700, "few places"), (700, "one place"), (900, "sheet"), (900, "lattice")])
+def test_groups_against_boxes_are_all_against_all(n, kind):
+    """Every pass of a cell, whichever groups it looks at, has the labels of all distances; equal ones go to the first."""
+    from voxelspan.operators import boxes
+
+    rng = np.random.default_rng(n)
+    p = rng.uniform(-5, 5, (n, 3)).round(2)
+    if kind != "spread":
+        p = {"few places": p[rng.integers(0, 9, n)], "one place": np.tile(p[:1], (n, 1)), "sheet": p * (900, 0, 3), "lattice": rng.integers(-3, 4, (n, 3)) * 1.0}[kind]
+    k = max(1, n // 2)
+    first = np.arange(k) * (n - 1) // max(1, k - 1)
+    order, own = boxes.ordered(p)
+    assert sorted(order) == list(range(n)) and (p[order] == own).all()
+    at, groups, c, moved = np.argsort(order)[first], boxes.Groups(own), p[first], None
+    for _ in range(8):
+        label = groups.assign(at, c, moved)
+        w = own[:, None] - c[None]
+        assert (label == (w[:, :, 0] * w[:, :, 0] + w[:, :, 1] * w[:, :, 1] + w[:, :, 2] * w[:, :, 2]).argmin(1)).all()
+        new = np.array([own[label == i].mean(0).round(3) if (label == i).any() else c[i] for i in range(k)])
+        moved, c = (new != c).any(1), new
+
+
+def test_a_crowded_cell_is_one_tasks_without_much_time(spark):
+    """400,000 points of one cell, ten passes: the trees of points before took 20 s a pass."""
+    import time
+
+    rows = spark.range(400_000).selectExpr("id AS pos", *[f"round(10 * rand({i}), 3) AS {a}" for i, a in enumerate("xyz")], "1D AS intensity").coalesce(1)
+    cells = octree.assign_cells(rows, ((0.0, 10.0),) * 3, 0).cache()
+    cells.count()
+    began = time.time()
+    means = cluster.lloyd_cells(cells, ((0.0, 10.0),) * 3)
+    assert 150_000 < means.count() <= 200_000 and time.time() - began < 60
+    cells.unpersist()

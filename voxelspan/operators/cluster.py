@@ -7,12 +7,11 @@ from decimal import Decimal
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelspan.operators import kdtree, neighbours, octree
+from voxelspan.operators import boxes, kdtree, neighbours, octree
 from voxelspan.operators.kdtree import Centroids
 from voxelspan.operators.octree import Box
 from voxelspan.operators.pyramid import exact_sum
@@ -132,46 +131,61 @@ def rounded(mean: Column) -> Column:
     return F.floor(mean * 1000 + TURN) / 1000
 
 
-def lloyd_cells(cells: DataFrame, box: Box, share: float = 0.5, iterations: int = 10, cap: int = 100_000) -> DataFrame:
+def lloyd_cells(cells: DataFrame, box: Box, share: float = 0.5, iterations: int = 10, cap: int = 1 << 22) -> DataFrame:
     """Intended reduction: every cell's n points become the means of at most share * n clusters, intensity the highest.
 
     Clusters start at points evenly spaced in the order of pos; their centres are rounded() means. A cell
-    of up to ``cap`` points is one task's, which finds nearest centres through a k-d tree of the points; a larger one is
+    of up to ``cap`` points is one task's, which holds groups of its points against boxes of centres; a larger one is
     spread over the cluster, nearest centres by a join that goes down a pyramid of the centres within each cell. Both
-    give the same rows. cells: of assign_cells, in which no pos stands twice; ``box`` holds them all.
+    give the same rows. cells: of assign_cells, in which no pos stands twice; ``box`` holds them all. Columns that
+    aren't needed are best left out before: all of them are moved.
     """
     every = list(cells.columns)
     names = [c for c in every if c != "cell_code"]
     how = {x: "mean" for x in names} | {"pos": "min", "depth": "min", "intensity": "max"}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos").reset_index(drop=True)
-        n, k = len(rows), max(1, int(len(rows) * share))
-        nodes, order = kdtree.grow(rows[["x", "y", "z"]].to_numpy())
-        p = rows[["x", "y", "z"]].to_numpy()
-        c = p[np.arange(k) * (n - 1) // max(1, k - 1)]
-        label = np.zeros(n, np.int64)
+    def run(rows: pa.Table) -> pa.Table:
+        n, k = rows.num_rows, max(1, int(rows.num_rows * share))
+        first = np.argsort(rows.column("pos").to_numpy())[np.arange(k) * (n - 1) // max(1, k - 1)]
+        order, p = boxes.ordered(np.stack([rows.column(a).to_numpy() for a in "xyz"], 1))
+        at = np.empty(n, np.int64)
+        at[order] = np.arange(n)
+        at, groups = at[first], boxes.Groups(p)
+        c, moved = p[at], None
         for step in range(iterations):
-            label[order] = kdtree.labels(nodes, p[order], c)
+            label = groups.assign(at, c, moved)
             if step == iterations - 1:
                 break
             count = np.bincount(label, minlength=k)
-            new = np.floor(np.stack([np.bincount(label, p[:, a], k) for a in range(3)], 1) / np.maximum(count, 1)[:, None] * 1000 + TURN) / 1000
+            new = np.floor(np.stack([np.bincount(label, groups.coordinates(a), k) for a in range(3)], 1) / np.maximum(count, 1)[:, None] * 1000 + TURN) / 1000
             new[count == 0] = c[count == 0]
-            if (new == c).all():
+            moved = (new != c).any(1)
+            if not moved.any():
                 break
             c = new
-        rows["_l"] = label
-        out = rows.groupby("_l").agg({x: how[x] for x in names}).reset_index(drop=True)
-        out["cell_code"] = rows["cell_code"].iloc[0]
-        return out[every]
-
-    sizes = cells.groupBy("cell_code").agg(F.count("*").alias("_n"))
-    sized = cells.join(sizes, "cell_code")
-    whole = sized.where(F.col("_n") <= cap).drop("_n").groupBy("cell_code").applyInPandas(run, cells.schema)
-    if not sizes.where(F.col("_n") > cap).limit(1).count():
+        by = np.argsort(label, kind="stable")
+        starts = np.flatnonzero(np.diff(label[by], prepend=-1))
+        out = {}
+        for x in every:
+            v = rows.column(x).to_numpy()[order][by]  # nulls are no numbers, and left out
+            if x == "cell_code":
+                v = v[starts]
+            elif how[x] == "mean":
+                there = ~np.isnan(v)
+                size = np.add.reduceat(there.astype(np.int64), starts)
+                v = np.where(size > 0, np.add.reduceat(np.where(there, v, 0.0), starts) / np.maximum(size, 1), np.nan)
+            else:
+                v = (np.fmin if how[x] == "min" else np.fmax).reduceat(v, starts)
+            out[x] = pa.array(v, from_pandas=True).cast(rows.schema.field(x).type, safe=False)
+        return pa.table(out)
+
+    sizes = cells.groupBy("cell_code").agg(F.count("*").alias("_n")).where(F.col("_n") > cap)
+    crowded = [tuple(r) for r in sizes.collect()]  # one for cap points at most
+    whole = cells if not crowded else cells.where(~F.col("cell_code").isin([c for c, _ in crowded]))
+    whole = whole.groupBy("cell_code").applyInArrow(run, cells.schema)
+    if not crowded:
         return whole
-    large = stored(sized.where(F.col("_n") > cap))
+    large = stored(cells.join(F.broadcast(cells.sparkSession.createDataFrame(crowded, "cell_code bigint, _n bigint")), "cell_code"))
     label = _labels_spread(large, box, share, iterations)
     merged = {"mean": F.avg, "min": F.min, "max": F.max}
     means = large.join(label, ["cell_code", "pos"]).groupBy("cell_code", "_l").agg(*[merged[how[x]]("pos" if x == "pos" else x).alias(x) for x in names])

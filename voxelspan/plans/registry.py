@@ -436,7 +436,8 @@ def cell_means_sql(depth: int, passes: int) -> str:
 
 @query(f"{WITH}, {cell_means_sql(3, 10)} SELECT cell_code, min(pos) AS pos, " + ", ".join(f"{TURNED(f'avg({a})')} AS {a}" for a in ("x", "y", "z", "classification")) + ", max(intensity) AS intensity FROM last GROUP BY cell_code, i")
 def cell_means_intended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = cluster.lloyd_cells(cells(spark, sf_dir, 3), header(spark, sf_dir).box())
+    own = cells(spark, sf_dir, 3).select("cell_code", "depth", "pos", "x", "y", "z", "classification", "intensity")
+    means = cluster.lloyd_cells(own, header(spark, sf_dir).box())
     return means.select("cell_code", "pos", *[cluster.rounded(F.col(a)).alias(a) for a in ("x", "y", "z", "classification")], "intensity")
 
 

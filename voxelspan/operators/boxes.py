@@ -16,7 +16,7 @@ NONE = np.iinfo(np.int64).max
 
 def ordered(p: np.ndarray, run: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
     """(order, p[order]): any run of run * 2 ** j points that begins at a multiple of that is a half by the longest side."""
-    n, order, p, size = len(p), np.arange(len(p)), p.copy(), run
+    n, order, axes, size = len(p), np.arange(len(p)), np.array(p.T, order="C"), run
     while size < n:
         size *= 2
     while size > run:
@@ -24,14 +24,16 @@ def ordered(p: np.ndarray, run: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
         for start, rows, width in ((0, whole, size), (whole * size, 1, n - whole * size)):
             if not rows or width <= half:
                 continue
-            stop = start + rows * width
-            own = p[start:stop].reshape(rows, width, 3)
-            side = (own.max(1) - own.min(1)).argmax(1)
-            by = np.argpartition(np.take_along_axis(own, side[:, None, None], 2)[:, :, 0], half, 1)
-            p[start:stop] = np.take_along_axis(own, by[:, :, None], 1).reshape(-1, 3)
-            order[start:stop] = np.take_along_axis(order[start:stop].reshape(rows, width), by, 1).ravel()
+            part = slice(start, start + rows * width)
+            own = axes[:, part].reshape(3, rows, width)
+            side = (own.max(2) - own.min(2)).argmax(0)
+            by = np.argpartition(own[side, np.arange(rows)], half, 1)
+            by = (by + np.arange(rows)[:, None] * width).ravel()
+            order[part] = order[part][by]
+            for v in axes:
+                v[part] = v[part][by]
         size = half
-    return order, p
+    return order, np.ascontiguousarray(axes.T)
 
 
 def first_of_equals(c: np.ndarray) -> np.ndarray:
@@ -78,7 +80,7 @@ class Groups:
         self.n, short = len(p), -len(p) % GROUP
         full = np.concatenate([p, np.repeat(p[-1:], short, 0)]).reshape(-1, GROUP, 3)
         self.low, self.high, self.q = full.min(1), full.max(1), np.ascontiguousarray(full.transpose(2, 0, 1))
-        self.label, self.bound = np.full((len(full), GROUP), -1), np.full(len(full), np.inf)
+        self.label, self.bound, self.number = np.full((len(full), GROUP), -1), np.full(len(full), np.inf), None
 
     def coordinates(self, a: int) -> np.ndarray:
         return self.q[a].ravel()[: self.n]
@@ -86,13 +88,15 @@ class Groups:
     def assign(self, at: np.ndarray, c: np.ndarray, moved: np.ndarray | None = None) -> np.ndarray:
         """The number of the nearest of c for each point, the first of equals.
 
-        ``at`` is where in the order each centre began. With ``moved``, which of c are elsewhere than at the call before, only
+        ``at`` is where in the order each centre began, the same in every call. With ``moved``, which of c are elsewhere than at the call before, only
         groups are looked at of which a point's centre moved, or into whose distances one of those reaches.
         """
-        number = np.argsort(at, kind="stable")
-        seen = np.zeros(len(c), bool)
-        seen[np.flatnonzero(first_of_equals(c))] = True
+        if self.number is None:
+            self.number = np.argsort(at, kind="stable")
+        seen, number = first_of_equals(c), self.number
         groups = np.arange(len(self.low)) if moved is None else self._touched(c[number[(moved & seen)[number]]], moved)
+        if not len(groups):
+            return self.label.ravel()[: self.n]
         number = number[seen[number]]
         places = at[number]
         runs = np.concatenate([number, np.repeat(number[-1:], -len(number) % CENTRES)]).reshape(-1, CENTRES)
